@@ -1,0 +1,117 @@
+"""Versioned tables on a shared folder.
+
+Parquet has no row-level MERGE, so a change writes new files next to the ones
+being read. One manifest names the files of every table; publishing it is the
+commit. A job that dies earlier leaves the old manifest current.
+"""
+
+from __future__ import annotations
+
+import json
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from reelshelf.operators.profile import build_facets
+from reelshelf.plans.catalogue import Catalogue
+from reelshelf.schemas import schema
+
+
+class Snapshots:
+    """Tables below one root folder."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark = spark
+        self.root = root.rstrip("/")
+        self._Path = spark._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._Path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _manifest(self) -> dict:
+        folder = self._Path(f"{self.root}/_manifests")
+        names = []
+        if self._fs.exists(folder):
+            names = [s.getPath().getName() for s in self._fs.listStatus(folder)]
+        names = sorted(n for n in names if n.startswith("v") and n.endswith(".json"))
+        if not names:
+            return {"version": 0, "tables": {}, "batches": {}}
+        stream = self._fs.open(self._Path(f"{self.root}/_manifests/{names[-1]}"))
+        try:
+            return json.loads(bytes(stream.readAllBytes()).decode("utf-8"))
+        finally:
+            stream.close()
+
+    @property
+    def version(self) -> int:
+        return self._manifest()["version"]
+
+    def batch(self, source: str) -> int:
+        """Last batch of ``source`` that was committed, -1 before the first."""
+        return self._manifest()["batches"].get(source, -1)
+
+    def read(self, table: str) -> DataFrame:
+        """Current rows; a table that was never written is empty."""
+        return self._read(table, self._manifest())
+
+    def _read(self, table: str, manifest: dict) -> DataFrame:
+        path = manifest["tables"].get(table)
+        if path is None:
+            return self.spark.createDataFrame([], schema(table))
+        return self.spark.read.schema(schema(table)).parquet(f"{self.root}/{path}")
+
+    def catalogue(self) -> Catalogue:
+        """All catalogue tables of one version."""
+        manifest = self._manifest()
+        return Catalogue(**{t: self._read(t, manifest) for t in Catalogue.tables()})
+
+    def commit(
+        self,
+        tables: dict[str, DataFrame],
+        source: str = "",
+        batch_id: int = 0,
+        partition_by: tuple[str, ...] = (),
+    ) -> None:
+        """Write ``tables`` and publish them together with the batch mark."""
+        manifest = self._manifest()
+        for table, rows in tables.items():
+            path = f"{table}/{uuid.uuid4().hex}"
+            columns = [F.col(f.name).cast(f.dataType).alias(f.name) for f in schema(table)]
+            writer = rows.select(*columns).write
+            if partition_by:
+                writer = writer.partitionBy(*partition_by)
+            writer.parquet(f"{self.root}/{path}")
+            manifest["tables"][table] = path
+        manifest["version"] += 1
+        if source:
+            manifest["batches"][source] = batch_id
+        self._publish(manifest)
+
+    def _publish(self, manifest: dict) -> None:
+        folder = f"{self.root}/_manifests"
+        draft = self._Path(f"{folder}/draft-{uuid.uuid4().hex}")
+        final = self._Path(f"{folder}/v{manifest['version']:012d}.json")
+        out = self._fs.create(draft, False)
+        out.write(bytearray(json.dumps(manifest).encode("utf-8")))
+        out.close()
+        # Another writer may have published this version in the meantime.
+        if self._fs.exists(final) or not self._fs.rename(draft, final):
+            raise RuntimeError(f"version {manifest['version']} was published by another job")
+
+    def commit_catalogue(
+        self, before: Catalogue, after: Catalogue, source: str = "", batch_id: int = 0, **extra
+    ) -> Catalogue:
+        """Commit the tables that changed and return the stored catalogue."""
+        changed = {
+            t: getattr(after, t)
+            for t in Catalogue.tables()
+            if getattr(after, t) is not getattr(before, t)
+        }
+        self.commit({**changed, **extra}, source, batch_id)
+        return self.catalogue()
+
+
+def publish_facets(store: Snapshots, cat: Catalogue) -> int:
+    """Replace the facet table and return its row count."""
+    keys = ("content_type", "facet_type")
+    store.commit({"catalogue_facet": build_facets(cat)}, partition_by=keys)
+    return store.read("catalogue_facet").count()

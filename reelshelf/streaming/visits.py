@@ -36,16 +36,16 @@ def visit_stream(visits: DataFrame, store: Snapshots, checkpoint: str) -> Stream
     """Fold a stream of visits into the stored ``site_visit`` table.
 
     Late visits are never dropped: each micro-batch is aggregated and merged
-    into the current version of its days. Versions carry the batch id, so a
-    batch that is replayed after a failure is applied once.
+    into the stored table. The commit carries the batch id, so a batch that is
+    replayed after a failure is applied once.
     """
     visits = visits.withColumn("ts", F.col("ts").cast("timestamp"))
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        if store.applied("site_visit", batch_id):
+        if batch_id <= store.batch("visits"):
             return
-        current = store.read("site_visit")
-        store.write("site_visit", upsert_visits(current, daily(batch)).select(*current.columns), batch_id)
+        merged = upsert_visits(store.read("site_visit"), daily(batch))
+        store.commit({"site_visit": merged}, "visits", batch_id)
 
     return (
         visits.writeStream.foreachBatch(apply)
