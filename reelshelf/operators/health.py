@@ -55,17 +55,17 @@ def scan_summary(results: DataFrame) -> DataFrame:
 def advance_state(state: DataFrame, results: DataFrame) -> DataFrame:
     """Scan state after a batch of pages.
 
-    ``results`` has ``scan_key``, ``page``, ``has_next_page``, ``at`` and
+    ``results`` has ``scan_key``, ``page``, ``has_next_page``, ``seen_at`` and
     ``error``. The latest page of a scan decides: a page in the middle moves the
     cursor on, the last page resets it to 1 and marks completion, a failed page
     stays current.
     """
-    fields = F.struct("page", "has_next_page", "at", "error")
-    order = F.struct("at", "page")
+    fields = F.struct("page", "has_next_page", "seen_at", "error")
+    order = F.struct("seen_at", "page")
     done = F.col("error").isNull() & ~F.col("has_next_page")
     last = results.groupBy(F.col("scan_key").alias("key")).agg(
         F.max_by(fields, order).alias("r"),
-        F.max(F.when(done, F.col("at"))).alias("_done"),
+        F.max(F.when(done, F.col("seen_at"))).alias("_done"),
     )
     moved = F.when(F.col("r.error").isNotNull(), F.col("r.page")).when(
         F.col("r.has_next_page"), F.col("r.page") + 1
@@ -75,7 +75,7 @@ def advance_state(state: DataFrame, results: DataFrame) -> DataFrame:
     return state.join(last, "key", "full_outer").select(
         "key",
         F.when(seen, moved.otherwise(1)).otherwise(F.col("next_page")).cast("int").alias("next_page"),
-        F.when(seen, F.col("r.at")).otherwise(F.col("last_attempt_at")).alias("last_attempt_at"),
+        F.when(seen, F.col("r.seen_at")).otherwise(F.col("last_attempt_at")).alias("last_attempt_at"),
         F.coalesce("_done", "last_completed_at").alias("last_completed_at"),
         F.when(seen, error).otherwise(F.col("last_error")).alias("last_error"),
     )

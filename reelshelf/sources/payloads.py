@@ -50,7 +50,7 @@ ANIME = {
     "|| ',\"name\":\"Supplier#' || lpad('' || (2 + 10 * (k % 9)), 9, '0') || '\"},"
     "{\"name\":\" supplier#' || lpad('' || (5 + 10 * (k % 9)), 9, '0') || '\"},"
     "{\"name\":\"Studio   ' || (k % 20) || '\"},{\"mal_id\":9,\"name\":\"STUDIO ' || (k % 20) || '\"}' || "
-    "CASE k % 6 WHEN 4 THEN ',null' WHEN 5 THEN ',{\"mal_id\":-1,\"name\":\"Odd ' || (k % 3) || '\"}' ELSE '' END || ']' END",
+    "CASE k % 6 WHEN 4 THEN ',null' WHEN 5 THEN ',{\"mal_id\":-1,\"name\":\"Odd ' || (k % 5) || '\"}' ELSE '' END || ']' END",
     "streaming": "CASE k % 5 WHEN 0 THEN NULL WHEN 1 THEN '5' WHEN 2 THEN '[]' ELSE '[{\"name\":\"Machinery\",\"url\":\" https://machinery.example/' || k "
     "|| '\"},{\"name\":\"New  Tube\",\"url\":\"HTTPS://tube.example/' || k || '\"}' || "
     "CASE k % 5 WHEN 4 THEN ',{\"name\":\"Bad\",\"url\":\"javascript:alert(1)\"}' ELSE '' END || ']' END",
@@ -78,7 +78,7 @@ MANGA = {
     "authors": "CASE k % 6 WHEN 0 THEN NULL WHEN 1 THEN '\"x\"' WHEN 2 THEN '[]' ELSE '[{\"mal_id\":' || (501 + 3 * (k % 60)) || ',\"name\":\"Author ' || (1 + 3 * (k % 60)) "
     "|| '\",\"type\":\"People\"},{\"name\":\"author   ' || (1 + 3 * (k % 60)) || '\",\"role\":\" Story \"},"
     "{\"mal_id\":' || (502 + 3 * (k % 60)) || ',\"name\":\"Pen ' || (k % 60) || '\",\"type\":\"Art\"}' || "
-    "CASE k % 6 WHEN 4 THEN ',\"plain\"' WHEN 5 THEN ',{\"mal_id\":-1,\"name\":\"Odd ' || (k % 3) || '\"}' ELSE '' END || ']' END",
+    "CASE k % 6 WHEN 4 THEN ',\"plain\"' WHEN 5 THEN ',{\"mal_id\":-1,\"name\":\"Odd ' || (k % 5) || '\"}' ELSE '' END || ']' END",
 }
 
 
