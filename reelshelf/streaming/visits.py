@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from reelshelf.operators.visits import KEY, daily, upsert_visits, visits_of
+from reelshelf.operators.visits import daily, upsert_visits, visits_of
 from reelshelf.schemas import schema
 from reelshelf.sources.snapshots import Snapshots
 
@@ -58,6 +58,3 @@ def visit_stream(visits: DataFrame, store: Snapshots, checkpoint: str) -> Stream
 def log_visit_stream(spark: SparkSession, path: str, store: Snapshots, checkpoint: str):
     """Access-log files to stored daily visits."""
     return visit_stream(visits_of(read_log(spark, path)), store, checkpoint)
-
-
-assert set(KEY) <= set(schema("site_visit").names)
