@@ -81,7 +81,8 @@ def array(v: Column | Fields, path: str) -> Column:
 
 def is_object(v: Column) -> Column:
     """Whether the value is a JSON object."""
-    return F.try_variant_get(v, "$", "map<string,variant>").isNotNull()
+    # Any field will do: an object without it gives a struct of NULL.
+    return F.try_variant_get(v, "$", "struct<mal_id:variant>").isNotNull()
 
 
 def filled(v: Column | Fields, path: str) -> Column:
@@ -96,17 +97,20 @@ def names(v: Column | Fields, field: str) -> Column:
     return F.coalesce(F.array_distinct(F.array_compact(found)), empty)
 
 
-def detailed_tags(v: Column | Fields) -> Column:
-    """H2: lower-case names of all four category fields, unique, in order."""
-    lists = [F.transform(names(v, f), F.lower) for f in fv.TAG_FIELDS]
-    return F.array_distinct(F.concat(*lists))
+def detailed_tags(lists: list[str]) -> Column:
+    """H2: lower-case names of all four category lists, unique, in order."""
+    return F.array_distinct(F.concat(*[F.transform(c, lambda t: F.lower(t)) for c in lists]))
 
 
-def is_adult(v: Column | Fields) -> Column:
-    """H3: restricted category name or restricted rating."""
-    tagged = F.exists(detailed_tags(v), lambda t: t.isin(*fv.ADULT_NAMES))
+def adult_rating(v: Column | Fields) -> Column:
+    """H3: whether the age rating is the restricted one."""
     rated = F.contains(F.lower(string(v, "rating")), F.lit(fv.ADULT_RATING))
-    return tagged | F.coalesce(rated, F.lit(False))
+    return F.coalesce(rated, F.lit(False))
+
+
+def is_adult(tags: Column, rated: Column) -> Column:
+    """H3: restricted category name or restricted rating."""
+    return F.arrays_overlap(tags, F.array(*[F.lit(n) for n in fv.ADULT_NAMES])) | rated
 
 
 def score(v: Column | Fields) -> Column:

@@ -13,11 +13,12 @@ from reelshelf.functions import fixed_values as fv
 
 # Unicode white space, plus the four ASCII separators that Python also strips.
 SPACE = r"[\s\x1c-\x1f]"
+SPACES = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 
 
 def strip(c: Column) -> Column:
     """Remove white space (any Unicode kind) from both ends."""
-    return F.regexp_replace(c, rf"(?U)^{SPACE}+|{SPACE}+$", "")
+    return F.trim(c, F.lit(SPACES))
 
 
 def collapse(c: Column) -> Column:
@@ -84,8 +85,9 @@ def entity_name(c: Column, max_length: int = fv.ENTITY_NAME_LENGTH) -> Column:
     function sees NULL for those rows.
     """
     folded = F.when(_is_ascii(c), c).otherwise(_nfkc(F.when(~_is_ascii(c), c)))
-    name = collapse(folded)
-    return F.when((name != "") & (F.length(name) <= max_length), name)
+    # One expression, so that the name is computed once per row.
+    fits = F.regexp_extract(collapse(folded), f"(?s)^.{{1,{max_length}}}$", 0)
+    return F.nullif(fits, F.lit(""))
 
 
 def entity_key(name: Column, max_length: int | None = fv.ENTITY_NAME_LENGTH) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from reelshelf.functions import fixed_values as fv
 from reelshelf.functions import payload as p
 from reelshelf.functions import text
+from reelshelf.session import materialise
 
 
 _COMMON = (
@@ -37,7 +38,7 @@ _MANGA = (*_COMMON, "published", "chapters", "volumes", "authors")
 def _fields(v: p.Fields) -> dict[str, Column]:
     return {
         "mal_id": p.provider_id(v),
-        "is_adult": p.is_adult(v),
+        "_rated": p.adult_rating(v),
         "title": p.filled(v, "title"),
         "alternative_title": F.coalesce(p.filled(v, "title_english"), p.filled(v, "title_japanese")),
         "has_synopsis": p.has(v, "synopsis"),
@@ -51,8 +52,7 @@ def _fields(v: p.Fields) -> dict[str, Column]:
         "members": p.metric(v, "members"),
         "url": p.filled(v, "url"),
         "image_url": p.image_url(v),
-        "genres": p.names(v, "genres"),
-        "tags": p.detailed_tags(v),
+        **{f"_{name}": p.names(v, name) for name in fv.TAG_FIELDS},
     }
 
 
@@ -121,7 +121,12 @@ def clean_manga(rows: DataFrame, entry: str = "entry") -> DataFrame:
 def _select(rows: DataFrame, entry: str, names, fields: dict[str, Column]) -> DataFrame:
     kept = [c for c in rows.columns if c != entry and c not in fields]
     rows = rows.withColumn(entry, p.open_object(F.col(entry), names))
-    return rows.select(*kept, *[c.alias(n) for n, c in fields.items()])
+    rows = rows.select(*kept, *[c.alias(n) for n, c in fields.items()])
+    # The name lists are shared, so they are built one step earlier.
+    lists = [f"_{name}" for name in fv.TAG_FIELDS]
+    rows = rows.withColumn("tags", p.detailed_tags(lists)).withColumnRenamed("_genres", "genres")
+    rows = rows.withColumn("is_adult", p.is_adult(F.col("tags"), F.col("_rated")))
+    return rows.drop("_rated", *lists)
 
 
 # --- entity arrays ------------------------------------------------------------
@@ -134,7 +139,9 @@ def _named(rows: DataFrame, field: str, max_length: int, key_length: int | None)
     """
     out = rows.select("item_id", "seq", F.posexplode(field).alias("pos", "e"))
     out = out.withColumn("name", text.entity_name(F.col("e.name"), max_length))
-    return out.withColumn("key", text.entity_key(F.col("name"), key_length))
+    out = out.withColumn("key", text.entity_key(F.col("name"), key_length))
+    # Read twice below, and the names may have gone through Python.
+    return materialise(out, field)
 
 
 def _first(rows: DataFrame, order: Column, *columns: str) -> DataFrame:
