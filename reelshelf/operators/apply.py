@@ -3,7 +3,8 @@
 Every function returns new lazy tables; :class:`Snapshots` stores them. Only
 the batch side is materialised, so its true size decides whether the joins with
 the catalogue broadcast it. For a small batch the catalogue is then streamed
-through without a shuffle.
+through without a shuffle. A table the batch does not change is handed on as the
+same object, so it is not stored again.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from reelshelf.operators import gate, identity, merge, parsing, reconcile
 from reelshelf.plans.catalogue import Catalogue
-from reelshelf.schemas import LINKS
+from reelshelf.schemas import LINKS, Link
 from reelshelf.session import materialise
 
 ANIME_BRIDGES = ("anime_genre", "anime_studio", "anime_streaming_service")
@@ -203,8 +204,14 @@ def _usable(work: DataFrame) -> DataFrame:
     return work.filter("e IS NOT NULL").withColumn("seq", seq)
 
 
+def _any(rows: DataFrame) -> bool:
+    return not rows.isEmpty()
+
+
 def _without(cat: Catalogue, work: DataFrame, bridges: tuple[str, ...], key: str) -> Catalogue:
     gone = _gone(work).select(F.col("item_id").alias(key))
+    if not _any(gone):
+        return cat
     kept = {b: getattr(cat, b) for b in bridges}
     return replace(
         cat, **{b: rows.join(gone, key, "left_anti").select(*rows.columns) for b, rows in kept.items()}
@@ -259,13 +266,30 @@ def _apply_genres(cat: Catalogue, used: DataFrame, table: str, replace_empty: bo
     link = LINKS[table]
     wanted = used.select("item_id", F.col("e.genres").alias("genres"), "has_genres")
     scope, named, unknown = reconcile.reconcile_genres(cat.genre, wanted, replace_empty, link)
-    fresh = identity.numbered(unknown, cat.genre, "name").select("id", "name")
-    genre = cat.genre.unionByName(fresh)
-    incoming = named.join(genre.withColumnRenamed("id", link.ref), "name").select(link.item, link.ref)
+    if not _any(scope):
+        return cat
+    unknown = materialise(unknown, "genres")
+    if _any(unknown):
+        fresh = identity.numbered(unknown, cat.genre, "name").select("id", "name")
+        cat = replace(cat, genre=cat.genre.unionByName(fresh))
+    incoming = named.join(cat.genre.withColumnRenamed("id", link.ref), "name")
+    incoming = incoming.select(link.item, link.ref)
     links = getattr(cat, table)
-    actions = reconcile.reconcile_links(links, incoming, scope, link)
-    links = reconcile.apply_actions(links, actions, scope, link)
-    return replace(cat, genre=genre, **{table: links})
+    actions = materialise(reconcile.reconcile_links(links, incoming, scope, link), "actions")
+    return _relinked(cat, table, actions, scope, link)
+
+
+def _relinked(cat: Catalogue, table: str, actions: DataFrame, scope: DataFrame, link: Link) -> Catalogue:
+    """Catalogue with the actions applied; without changes the table stays as it is."""
+    if not _any(actions.filter(~F.col("action").isin("keep", "retain"))):
+        return cat
+    return replace(cat, **{table: reconcile.apply_actions(getattr(cat, table), actions, scope, link)})
+
+
+def _no_log(used: DataFrame) -> DataFrame:
+    return used.sparkSession.createDataFrame(
+        [], "entity string, item_id bigint, created bigint, removed bigint, changed bigint, malformed bigint"
+    )
 
 
 def _scope(completeness: DataFrame, item: str) -> DataFrame:
@@ -281,24 +305,31 @@ def _entries(used: DataFrame, field: str) -> DataFrame:
 def _apply_studios(cat: Catalogue, used: DataFrame) -> tuple[Catalogue, DataFrame]:
     """Studios of the batch."""
     link = LINKS["studio"]
+    if not _any(used.filter("e.has_studios")):
+        return cat, _no_log(used)
     values, completeness = parsing.parse_studios(_entries(used, "studios"))
     values = materialise(values.withColumn("seq", F.struct("seq", "pos")), "studios")
     completeness = materialise(completeness, "complete")
     studio, resolved, remap = identity.resolve_studios(cat.studio, values)
-    links = identity.move_links(cat.anime_studio, remap, link.item, link.ref)
+    cat = replace(cat, studio=studio)
+    if _any(remap):
+        links = identity.move_links(cat.anime_studio, remap, link.item, link.ref)
+        cat = replace(cat, anime_studio=links)
     incoming = resolved.select(
         F.col("item_id").alias(link.item), F.col("ref_id").alias(link.ref)
     ).distinct()
     scope = _scope(completeness, link.item)
-    actions = materialise(reconcile.reconcile_links(links, incoming, scope, link), "actions")
+    actions = reconcile.reconcile_links(cat.anime_studio, incoming, scope, link)
+    actions = materialise(actions, "actions")
     log = reconcile.link_changes(actions, completeness, link, "studio")
-    links = reconcile.apply_actions(links, actions, scope, link)
-    return replace(cat, studio=studio, anime_studio=links), log
+    return _relinked(cat, "anime_studio", actions, scope, link), log
 
 
 def _apply_streaming(cat: Catalogue, used: DataFrame) -> tuple[Catalogue, DataFrame]:
     """Streaming services of the batch."""
     link = LINKS["streaming_service"]
+    if not _any(used.filter("e.has_streaming")):
+        return cat, _no_log(used)
     values, completeness = parsing.parse_streaming(_entries(used, "streaming"))
     values = materialise(values.withColumn("seq", F.struct("seq", "pos")), "streaming")
     completeness = materialise(completeness, "complete")
@@ -311,21 +342,19 @@ def _apply_streaming(cat: Catalogue, used: DataFrame) -> tuple[Catalogue, DataFr
     created = actions.filter("action = 'create'").select(
         F.col(link.item).alias("item_id"), F.col(link.ref).alias("key")
     )
-    created = values.join(created, ["item_id", "key"], "left_semi")
     log = reconcile.link_changes(actions, completeness, link, "streaming_service")
-    return (
-        replace(
-            cat,
-            streaming_service=identity.resolve_services(cat.streaming_service, created),
-            anime_streaming_service=reconcile.apply_actions(links, actions, scope, link),
-        ),
-        log,
-    )
+    if _any(created):
+        created = values.join(created, ["item_id", "key"], "left_semi")
+        services = identity.resolve_services(cat.streaming_service, created)
+        cat = replace(cat, streaming_service=services)
+    return _relinked(cat, "anime_streaming_service", actions, scope, link), log
 
 
 def _apply_authors(cat: Catalogue, used: DataFrame) -> tuple[Catalogue, DataFrame]:
     """Authors of the batch."""
     link = LINKS["author"]
+    if not _any(used.filter("e.has_authors")):
+        return cat, _no_log(used)
     values, completeness = parsing.parse_authors(_entries(used, "authors"))
     values = materialise(values.withColumn("seq", F.struct("seq", "pos")), "authors")
     completeness = materialise(completeness, "complete")
@@ -338,5 +367,4 @@ def _apply_authors(cat: Catalogue, used: DataFrame) -> tuple[Catalogue, DataFram
     links = cat.manga_author
     actions = materialise(reconcile.reconcile_links(links, incoming, scope, link, "role"), "actions")
     log = reconcile.link_changes(actions, completeness, link, "author")
-    links = reconcile.apply_actions(links, actions, scope, link)
-    return replace(cat, author=author, manga_author=links), log
+    return _relinked(replace(cat, author=author), "manga_author", actions, scope, link), log

@@ -93,9 +93,9 @@ def _last_per_title(rows: DataFrame, passes: Column) -> DataFrame:
 
 def gate_counts(rows: DataFrame, gated: DataFrame) -> DataFrame:
     """Entries seen, titles kept, adult ids, and entries skipped."""
-    seen = rows.agg(F.count("*").alias("entries"))
-    kept = gated.agg(
+    seen = rows.agg(F.count("*")).scalar()
+    out = gated.agg(
         F.count_if(~F.col("adult")).alias("kept"), F.count_if("adult").alias("adult_ids")
     )
-    # Two single-row aggregates.
-    return seen.crossJoin(F.broadcast(kept)).withColumn("skipped", F.col("entries") - F.col("kept"))
+    out = out.withColumn("entries", seen)
+    return out.withColumn("skipped", F.col("entries") - F.col("kept"))

@@ -11,11 +11,9 @@ from reelshelf.session import materialise
 
 def numbered(rows: DataFrame, dim: DataFrame, order: str, key: str = "id") -> DataFrame:
     """``rows`` with fresh ids above the largest id of ``dim``, in ``order``."""
-    top = dim.agg(F.coalesce(F.max(key), F.lit(0)).alias("_top"))  # one row
+    top = dim.agg(F.coalesce(F.max(key), F.lit(0))).scalar()
     ranked = global_rank(rows, [F.col(order).asc()])
-    return ranked.crossJoin(F.broadcast(top)).withColumn(key, F.col("_top") + F.col("rank")).drop(
-        "_top", "rank"
-    )
+    return ranked.withColumn(key, top + F.col("rank")).drop("rank")
 
 
 def _latest(rows: DataFrame, key: str, *columns: str) -> DataFrame:

@@ -168,9 +168,8 @@ def facet_page(facets, content_types, facet: str, q: str, offset: int, limit: in
     if q.strip():
         values = values.filter(F.contains(F.lower("value"), F.lower(F.lit(q.strip()))))
     rows = slice_rows(values, [F.col("value").asc()], offset, limit + 1)
-    # The look-ahead row is one of at most 101 rows, so a scalar is enough.
-    extra = rows.agg((F.count("*") > limit).alias("has_more"))
-    return rows.filter(F.col("rank") <= offset + limit).crossJoin(F.broadcast(extra))
+    more = rows.agg(F.count("*") > limit).scalar()
+    return rows.filter(F.col("rank") <= offset + limit).withColumn("has_more", more)
 
 
 def facet_values(facets, content_types, facet: str, q: str = "") -> DataFrame:

@@ -371,9 +371,8 @@ FROM {{anime}} WHERE NOT is_adult AND year = 2015 AND season = 'spring' {extra})
         cat = catalogue(spark, sf)
         spec = CatalogueQuery(scope="ANIME")
         page = cat.seasonal(2015, "spring", spec, sort, limit=12)
-        total = cat.season_rows(2015, "spring", spec, sort).agg(F.count("*").alias("total"))
-        # One page of at most twelve rows against one total.
-        return page.select("anime_id", "title", "rank").crossJoin(F.broadcast(total))
+        total = cat.season_rows(2015, "spring", spec, sort).agg(F.count("*")).scalar()
+        return page.select("anime_id", "title", "rank").withColumn("total", total)
 
 
 for _sort in fv.SEASONAL_SORTS:

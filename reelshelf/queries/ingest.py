@@ -521,9 +521,8 @@ def _(spark, sf):
     applied, counts = apply.import_season(
         catalogue(spark, sf), stored_anime_rows(spark, sf), now(), 2021, "spring", limit=500
     )
-    assigned = applied.titles.agg(F.count_if("season_assigned").alias("assigned"))
-    # Two single-row aggregates.
-    return counts.crossJoin(F.broadcast(assigned))
+    assigned = applied.titles.agg(F.count_if("season_assigned")).scalar()
+    return counts.withColumn("assigned", assigned)
 
 
 # --- I5, I9-I14: links and identities -------------------------------------------

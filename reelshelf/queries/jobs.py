@@ -185,9 +185,9 @@ def _(spark, sf):
     land_pages(spark, sf, root)
     store = store_of(spark, catalogue(spark, sf))
     ingest_pages_stream(spark, root + "/pages", store, root + "/checkpoint").awaitTermination()
-    state = store.read("sync_state").select("next_page")
-    # The sample has one scan, so its state is one row.
-    return store.read("anime").select("anime_id", "title", "type", "season").crossJoin(F.broadcast(state))
+    cursor = store.read("sync_state").filter(F.col("key") == MOVIE_SCAN).select("next_page").scalar()
+    rows = store.read("anime").select("anime_id", "title", "type", "season")
+    return rows.withColumn("next_page", cursor)
 
 
 def event_visits(spark, sf):

@@ -49,15 +49,21 @@ class Snapshots:
         """Last batch of ``source`` that was committed, -1 before the first."""
         return self._manifest()["batches"].get(source, -1)
 
-    def read(self, table: str) -> DataFrame:
-        """Current rows; a table that was never written is empty."""
-        return self._read(table, self._manifest())
-
-    def _read(self, table: str, manifest: dict) -> DataFrame:
-        path = manifest["tables"].get(table)
-        if path is None:
+    def read(self, table: str, values: set[str] | None = None) -> DataFrame:
+        """Current rows; a table that was never written is empty.
+
+        ``values`` picks partitions of a table kept by :meth:`commit_partitions`.
+        """
+        return self._read(table, self._manifest(), values)
+
+    def _read(self, table: str, manifest: dict, values: set[str] | None = None) -> DataFrame:
+        stored = manifest["tables"].get(table)
+        if isinstance(stored, dict):
+            stored = [p for value, p in stored.items() if values is None or value in values]
+        if not stored:
             return self.spark.createDataFrame([], schema(table))
-        return self.spark.read.schema(schema(table)).parquet(f"{self.root}/{path}")
+        paths = [stored] if isinstance(stored, str) else stored
+        return self.spark.read.schema(schema(table)).parquet(*[f"{self.root}/{p}" for p in paths])
 
     def catalogue(self) -> Catalogue:
         """All catalogue tables of one version."""
@@ -86,6 +92,29 @@ class Snapshots:
             manifest["batches"][source] = batch_id
         self._publish(manifest)
 
+    def commit_partitions(
+        self, table: str, rows: DataFrame, column: str, source: str = "", batch_id: int = 0
+    ) -> None:
+        """Replace the partitions of ``table`` that occur in ``rows``; keep the rest.
+
+        ``column`` must have few values per commit, such as days.
+        """
+        manifest = self._manifest()
+        path = f"{table}/{uuid.uuid4().hex}"
+        columns = [F.col(f.name).cast(f.dataType).alias(f.name) for f in schema(table)]
+        part = F.col(column).cast("string").alias("part")
+        rows.select(*columns, part).write.partitionBy("part").parquet(f"{self.root}/{path}")
+        folder = self._Path(f"{self.root}/{path}")
+        parts = manifest["tables"].setdefault(table, {})
+        for status in self._fs.listStatus(folder):
+            name = status.getPath().getName()
+            if name.startswith("part="):
+                parts[name.removeprefix("part=")] = f"{path}/{name}"
+        manifest["version"] += 1
+        if source:
+            manifest["batches"][source] = batch_id
+        self._publish(manifest)
+
     def _publish(self, manifest: dict) -> None:
         folder = f"{self.root}/_manifests"
         draft = self._Path(f"{folder}/draft-{uuid.uuid4().hex}")
