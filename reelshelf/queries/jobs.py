@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from reelshelf.functions import fixed_values as fv
 from reelshelf.operators import apply, ranking, visits
 from reelshelf.plans.catalogue import Catalogue
+from reelshelf.plans.scheduled import run_scheduled
 from reelshelf.queries.catalogue import FACETS
 from reelshelf.queries.ingest import (
-    E,
     M,
     P,
     PRINT_OUTCOME,
@@ -24,9 +24,10 @@ from reelshelf.queries.ingest import (
     now,
 )
 from reelshelf.queries.registry import query
+from reelshelf.queries.visits import HEALTH_SQL
 from reelshelf.session import materialise, scratch_dir
 from reelshelf.sources import landing, payloads
-from reelshelf.sources.bindings import SOURCES, catalogue, view
+from reelshelf.sources.bindings import SOURCES, VIEWS, catalogue, view
 from reelshelf.sources.snapshots import Snapshots, publish_facets
 from reelshelf.streaming.pages import TYPE_SCAN, ingest_pages_stream
 from reelshelf.streaming.visits import visit_stream, visit_windows
@@ -190,6 +191,44 @@ def _(spark, sf):
     return rows.withColumn("next_page", cursor)
 
 
+# The scheduled run on the sample: restricted titles go first, one page scan and
+# one set of print details have landed, every other request is still open.
+RUN = {
+    **V,
+    "base_anime": VIEWS["anime"],
+    "anime": "SELECT * FROM {base_anime} WHERE NOT is_adult AND anime_id % 37 <> 0",
+    "base_manga": VIEWS["manga"],
+    "manga": "SELECT * FROM {base_manga} WHERE NOT is_adult AND manga_id % 41 <> 0",
+    "arrived": ARRIVED,
+    "movies": MOVIES,
+    "stored": """SELECT COALESCE(a.anime_id, -p.k) AS anime_id, COALESCE(a.mal_id, p.k) AS mal_id, a.last_attempt,
+CASE WHEN p.k IS NULL THEN a.type ELSE 'MOVIE' END AS type, CASE WHEN p.k IS NULL THEN a.season ELSE p.season_named END AS season,
+CASE WHEN p.k % 5 IN (3, 4) THEN TRUE WHEN p.k % 5 = 2 THEN FALSE ELSE EXISTS (SELECT 1 FROM {anime_streaming_service} AS l WHERE l.anime_id = a.anime_id) END AS linked
+FROM (SELECT * FROM {anime} AS a WHERE NOT EXISTS (SELECT 1 FROM {arrived} AS r WHERE r.is_adult AND r.mal_id = a.mal_id)) AS a
+FULL JOIN {movies} AS p ON p.mal_id = a.mal_id""",
+    "waiting": "SELECT anime_id FROM {stored} WHERE season IS NULL AND mal_id > 0 AND type = 'TV' ORDER BY anime_id",
+    "refreshed": """SELECT mal_id FROM {stored} AS s ORDER BY CASE WHEN anime_id IN (SELECT anime_id FROM {waiting}) THEN TIMESTAMP '2024-06-01' ELSE last_attempt END ASC NULLS FIRST, anime_id LIMIT 1000""",
+    "printed": "SELECT mal_id FROM {manga} ORDER BY last_attempt ASC NULLS FIRST, manga_id LIMIT 1000",
+    "fetched": f"SELECT c_custkey AS mal_id, {PRINT_OUTCOME} AS outcome FROM {{customer}}",
+    "outcomes": """SELECT 'season_backfill' AS queue, 'temporary' AS outcome FROM {waiting}
+UNION ALL SELECT 'anime_refresh', CASE WHEN mal_id IS NULL THEN 'missing_mal_id' ELSE 'temporary' END FROM {refreshed}
+UNION ALL (SELECT 'streaming_backfill', 'temporary' FROM {stored} WHERE mal_id > 0 AND NOT linked LIMIT 2000)
+UNION ALL SELECT 'print_refresh', CASE f.outcome WHEN 'ok' THEN CASE WHEN q.mal_id % 59 = 0 THEN 'removed_adult' ELSE 'updated' END
+  WHEN 'unsupported_type' THEN 'removed_unsupported' ELSE f.outcome END FROM {printed} AS q JOIN {fetched} AS f ON f.mal_id = q.mal_id""",
+}
+
+
+@query("i20_scheduled_run", HEALTH_SQL, **RUN)
+def _(spark, sf):
+    root = folder(spark)
+    land_pages(spark, sf, root)
+    details = _details(spark, sf, "manga").withColumn("kind", F.lit("print_refresh"))
+    details.write.parquet(root + "/details")
+    store = store_of(spark, catalogue(spark, sf))
+    report = run_scheduled(spark, store, root + "/pages", root + "/checkpoint", root + "/details", now())
+    return report.health
+
+
 def event_visits(spark, sf):
     """The event file as a stream of visits."""
     events = spark.readStream.schema(SOURCES["events"]).option("pathGlobFilter", "events.parquet").parquet(sf)

@@ -131,14 +131,17 @@ OUTCOMES_SQL = """SELECT CASE o_orderstatus WHEN 'F' THEN 'season_backfill' WHEN
 FROM {orders}"""
 
 
-@query(
-    "e10_refresh_health",
-    """SELECT *, (updated + removed_adult + removed_unsupported) / selected AS success_rate,
+HEALTH_SQL = """SELECT *, (updated + removed_adult + removed_unsupported) / selected AS success_rate,
 selected >= 100 AND (updated + removed_adult + removed_unsupported) / selected < 0.25 AS degraded FROM (SELECT queue, count(*) AS selected,
 count(*) FILTER (WHERE outcome = 'updated') AS updated, count(*) FILTER (WHERE outcome = 'removed_adult') AS removed_adult,
 count(*) FILTER (WHERE outcome = 'removed_unsupported') AS removed_unsupported, count(*) FILTER (WHERE outcome = 'missing_mal_id') AS missing_mal_id,
 count(*) FILTER (WHERE outcome = 'not_found') AS not_found, count(*) FILTER (WHERE outcome = 'temporary') AS temporary,
-count(*) FILTER (WHERE outcome = 'invalid_payload') AS invalid_payload FROM {outcomes} GROUP BY queue)""",
+count(*) FILTER (WHERE outcome = 'invalid_payload') AS invalid_payload FROM {outcomes} GROUP BY queue)"""
+
+
+@query(
+    "e10_refresh_health",
+    HEALTH_SQL,
     outcomes=OUTCOMES_SQL,
 )
 def _(spark, sf):
