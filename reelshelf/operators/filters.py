@@ -71,12 +71,10 @@ def with_all(items, links, dim, link: Link, names: tuple[str, ...]) -> DataFrame
         return items
     matches = _matching_links(links, dim, link, names)
     if len(set(names)) > 1:
-        # Map-side combine keeps at most len(names) rows per title and task.
-        matches = (
-            matches.groupBy(link.item)
-            .agg(F.count_distinct("_name").alias("_hits"))
-            .filter(F.col("_hits") == len(set(names)))
-        )
+        # One flag per name: a single shuffle, combined to a row per title and task.
+        hits = [F.bool_or(F.col("_name") == n).alias(f"_h{i}") for i, n in enumerate(names)]
+        all_hit = reduce(and_, [F.col(f"_h{i}") for i in range(len(names))])
+        matches = matches.groupBy(link.item).agg(*hits).filter(all_hit)
     return items.join(matches.select(link.item), link.item, "left_semi")
 
 

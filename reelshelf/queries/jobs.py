@@ -165,13 +165,13 @@ def _(spark, sf):
 # --- J1, J2, I20 ----------------------------------------------------------------------
 
 MOVIE_SCAN = TYPE_SCAN.format("movie")
-ARRIVED = "SELECT * FROM {pay} WHERE mal_id IS NOT NULL AND page % 11 NOT IN (1, 2, 4, 7, 8, 9)"
+ARRIVED = "SELECT * FROM {pay} WHERE mal_id IS NOT NULL AND page % 11 NOT IN (1, 2, 4, 7, 8, 9, 10)"
 MOVIES = "SELECT * FROM {arrived} WHERE NOT is_adult AND k % 8 IN (0, 1, 4, 6)"
 INGESTED = """SELECT COALESCE(a.anime_id, -p.k) AS anime_id, COALESCE(p.title, a.title, 'MAL anime ' || p.k) AS title,
 CASE WHEN p.k IS NULL THEN a.type ELSE 'MOVIE' END AS type, CASE WHEN p.k IS NULL THEN a.season ELSE p.season_named END AS season
 FROM (SELECT * FROM {anime} AS a WHERE NOT EXISTS (SELECT 1 FROM {arrived} AS r WHERE r.is_adult AND r.mal_id = a.mal_id)) AS a
 FULL JOIN {movies} AS p ON p.mal_id = a.mal_id"""
-CURSOR = """SELECT CAST(CASE WHEN m % 11 IN (1, 2, 4, 7, 9) THEN m WHEN m % 11 = 6 THEN 1 ELSE m + 1 END AS INT) AS next_page FROM (SELECT max(page) AS m FROM {pay})"""
+CURSOR = """SELECT CAST(CASE WHEN m % 11 IN (1, 2, 4, 7, 9, 10) THEN m WHEN m % 11 = 6 THEN 1 ELSE m + 1 END AS INT) AS next_page FROM (SELECT max(page) AS m FROM {pay})"""
 J = {**V, "arrived": ARRIVED, "movies": MOVIES, "ingested": INGESTED, "cursor": CURSOR}
 
 

@@ -33,7 +33,7 @@ DDL = {
     "last_completed_at timestamp, last_error string",
     "site_visit": "visitor_token_hash string, visit_date date, route string, "
     "visit_count bigint, first_visited_at timestamp, last_visited_at timestamp",
-    "landed_pages": "scan_key string, page int, fetched_at timestamp, body string",
+    "landed_pages": "scan_key string, page int, status_code int, fetched_at timestamp, body string",
     "landed_details": "kind string, mal_id bigint, status_code int, "
     "fetched_at timestamp, body string",
     "access_log": "method string, status int, mime_type string, path string, "

@@ -18,10 +18,11 @@ def landed_pages(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFr
     """
     if fmt != "text":
         return spark.read.schema(schema("landed_pages")).format(fmt).load(path)
-    raw = spark.read.option("wholetext", True).schema("value string, scan_key string, page int")
-    return raw.text(path).select(
+    raw = spark.read.schema("value string, scan_key string, page int")
+    return raw.text(path, wholetext=True).select(
         "scan_key",
         "page",
+        F.lit(200).alias("status_code"),
         F.col("_metadata.file_modification_time").alias("fetched_at"),
         F.col("value").alias("body"),
     )
@@ -57,12 +58,15 @@ def read_pages(landed: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
     """A1: (valid, rejected) pages of one kind: season, anime or manga.
 
     Valid pages carry the parsed ``body`` and ``has_next_page``; rejected ones
-    keep the text and a ``reason``, and their scan does not advance.
+    keep the text and a ``reason``, and their scan does not advance. A missing
+    status code counts as success.
     """
     if kind not in ("season", "anime", "manga"):
         raise ValueError("kind must be season, anime or manga")
     parsed = landed.withColumn("_body", F.try_parse_json("body"))
-    reason = F.when(~F.coalesce(p.is_object(F.col("_body")), F.lit(False)), "not an object")
+    code = F.col("status_code")
+    reason = F.when(code >= 400, F.concat(F.lit("HTTP "), code.cast("string")))
+    reason = reason.when(~p.is_object(F.col("_body")), "not an object")
     reason = reason.otherwise(_problem(F.col("_body"), F.col("page"), kind))
     checked = parsed.withColumn("reason", reason)
     valid = checked.filter(F.col("reason").isNull()).select(

@@ -138,6 +138,7 @@ def landed(bodies: DataFrame, scan_key: str) -> DataFrame:
     return pages.select(
         F.lit(scan_key).alias("scan_key"),
         "page",
+        F.when(F.col("page") % 11 == 10, 503).otherwise(200).cast("int").alias("status_code"),
         F.lit("2024-05-01").cast("timestamp").alias("fetched_at"),
         body.alias("body"),
     )

@@ -72,9 +72,11 @@ def page_results(valid: DataFrame, rejected: DataFrame, scan: Scan) -> DataFrame
         good = good.withColumn("error", F.when(capped, text)).withColumn(
             "page", F.when(capped, 1).otherwise(F.col("page"))
         )
+    # A page that no longer exists ends the scan; page 1 has to be there.
+    vanished = (F.col("status_code") == 404) & (F.col("page") > 1)
     bad = rejected.select(
         "scan_key",
-        "page",
+        F.when(vanished, 1).otherwise(F.col("page")).alias("page"),
         F.lit(True).alias("has_next_page"),
         F.col("fetched_at").alias("seen_at"),
         F.col("reason").alias("error"),

@@ -233,6 +233,7 @@ def test_author_duplicates_collapse_to_the_first_with_a_role(spark):
 )
 def test_envelopes(spark, kind, number, body, reason):
     rows = spark.createDataFrame([("s", number, json.dumps(body))], "scan_key string, page int, body string")
+    rows = rows.withColumn("status_code", F.lit(200))
     valid, rejected = landing.read_pages(rows.withColumn("fetched_at", now()), kind)
     assert [r.reason for r in rejected.collect()] == ([reason] if reason else [])
     assert valid.count() == (0 if reason else 1)

@@ -15,6 +15,7 @@ from reelshelf.plans.scheduled import run_scheduled
 from reelshelf.schemas import schema
 from reelshelf.session import broadcast_if_small, materialise, scratch_dir
 from reelshelf.sources.bindings import view
+from reelshelf.sources.landing import landed_pages
 from reelshelf.sources.snapshots import Snapshots
 from reelshelf.streaming.pages import TV_SCAN, TYPE_SCAN, ingest_batch, ingest_pages_stream, scan_of
 from reelshelf.streaming.visits import log_visit_stream
@@ -26,8 +27,12 @@ def root(spark):
 
 
 def land(spark, path, *pages):
-    rows = [(key, number, "2024-05-01 00:00:00", json.dumps(body)) for key, number, body in pages]
-    df = spark.createDataFrame(rows, "scan_key string, page int, fetched_at string, body string")
+    rows = [
+        (key, number, body if isinstance(body, int) else 200, "2024-05-01 00:00:00", json.dumps(body))
+        for key, number, body in pages
+    ]
+    columns = "scan_key string, page int, status_code int, fetched_at string, body string"
+    df = spark.createDataFrame(rows, columns)
     df = df.withColumn("fetched_at", F.col("fetched_at").cast("timestamp"))
     df.write.mode("append").parquet(path)
     return df
@@ -45,6 +50,14 @@ def test_scan_keys():
     assert scan_of("current:2024:autumn") is None and scan_of("other") is None
 
 
+def test_raw_page_files_are_read_whole(spark, root):
+    folder = f"{root}/raw/scan_key=bulk/page=3"
+    text = json.dumps(body({"mal_id": 1}), indent=2)
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(folder)
+    row = landed_pages(spark, root + "/raw", "text").first()
+    assert (row.scan_key, row.page, json.loads(row.body)) == ("bulk", 3, json.loads(text))
+
+
 def test_commits_are_versions_and_old_files_stay(spark, root):
     store = Snapshots(spark, root)
     assert store.version == 0 and store.read("genre").count() == 0
@@ -82,6 +95,11 @@ def test_page_stream_resumes_and_replays_once(spark, root):
     assert (ova.next_page, ova.last_error) == (2, "data is not a list")
     ingest_batch(store, pages, store.batch("pages"))
     assert store.version == version
+    pages = land(spark, root + "/more", (TYPE_SCAN.format("ova"), 2, 404), (TYPE_SCAN.format("manga"), 1000, body({}, more=True)))
+    ingest_batch(store, pages, 100)
+    state = {r.key: (r.next_page, r.last_error) for r in store.read("sync_state").collect()}
+    assert state[TYPE_SCAN.format("ova")] == (1, "HTTP 404")
+    assert state[TYPE_SCAN.format("manga")] == (1, "manga catalogue exceeds provider page limit 1000")
 
 
 def test_log_stream_counts_each_visit_once(spark, root):
