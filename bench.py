@@ -13,7 +13,10 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+from pyspark.sql import functions as F  # noqa: E402
+
 from reelshelf import build_session  # noqa: E402
+from reelshelf.functions.text import entity_name  # noqa: E402
 from reelshelf.queries import QUERIES  # noqa: E402
 
 HEADLINE = (
@@ -69,8 +72,8 @@ def main() -> None:
     )
     spark.sparkContext.setLogLevel("ERROR")
     # Start the JVM and the Python workers before the clock runs.
-    spark.range(1000).selectExpr("sum(id)").collect()
-    QUERIES["h13_entity_name_key"](spark, folder).count()
+    words = spark.range(0, 10_000, 1, int(cpus)).select(F.concat(F.lit("é"), "id").alias("w"))
+    words.select(entity_name(F.col("w"))).write.format("noop").mode("overwrite").save()
 
     times: dict[str, float] = {}
     for name in names:

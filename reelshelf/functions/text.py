@@ -7,7 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from reelshelf.functions import fixed_values as fv
 
@@ -64,9 +64,13 @@ def content_type(c: Column, fallback: Column) -> Column:
     return out
 
 
-@F.pandas_udf(StringType())
-def _nfkc(names: pd.Series) -> pd.Series:
-    return names.map(lambda s: unicodedata.normalize("NFKC", s), na_action="ignore")
+_FOLDED = StructType([StructField("name", StringType()), StructField("key", StringType())])
+
+
+@F.pandas_udf(_FOLDED)
+def _fold(names: pd.Series) -> pd.DataFrame:
+    name = names.map(lambda s: unicodedata.normalize("NFKC", s), na_action="ignore")
+    return pd.DataFrame({"name": name, "key": name.map(str.casefold, na_action="ignore")})
 
 
 @F.pandas_udf(StringType())
@@ -74,28 +78,41 @@ def _casefold(names: pd.Series) -> pd.Series:
     return names.map(str.casefold, na_action="ignore")
 
 
+def casefold(c: Column) -> Column:
+    """Full Unicode case folding."""
+    return F.when(_is_ascii(c), F.lower(c)).otherwise(_casefold(F.when(~_is_ascii(c), c)))
+
+
 def _is_ascii(c: Column) -> Column:
     return ~c.rlike(r"[^\x00-\x7F]")
 
 
+def _within(c: Column, max_length: int | None) -> Column:
+    """Collapsed text, NULL when blank or longer than allowed."""
+    text = collapse(c)
+    if max_length is not None:
+        # One expression, so that the text is computed once per row.
+        text = F.regexp_extract(text, f"(?s)^.{{1,{max_length}}}$", 0)
+    return F.nullif(text, F.lit(""))
+
+
 def entity_name(c: Column, max_length: int = fv.ENTITY_NAME_LENGTH) -> Column:
     """NFKC display name, NULL when blank or too long.
 
     ASCII text is already in NFKC form, so it never needs Python; the Arrow
     function sees NULL for those rows.
     """
-    folded = F.when(_is_ascii(c), c).otherwise(_nfkc(F.when(~_is_ascii(c), c)))
-    # One expression, so that the name is computed once per row.
-    fits = F.regexp_extract(collapse(folded), f"(?s)^.{{1,{max_length}}}$", 0)
-    return F.nullif(fits, F.lit(""))
+    folded = _fold(F.when(~_is_ascii(c), c))
+    return _within(F.when(_is_ascii(c), c).otherwise(folded["name"]), max_length)
 
 
-def entity_key(name: Column, max_length: int | None = fv.ENTITY_NAME_LENGTH) -> Column:
-    """Case-folded identity key of a display name."""
-    key = F.when(_is_ascii(name), F.lower(name)).otherwise(
-        _casefold(F.when(~_is_ascii(name), name))
-    )
-    return key if max_length is None else F.when(F.length(key) <= max_length, key)
+def entity_key(c: Column, max_length: int | None = fv.ENTITY_NAME_LENGTH) -> Column:
+    """Case-folded identity key of the same raw text, NULL when blank.
+
+    Folding does not touch white space, so both results come from one call.
+    """
+    folded = _fold(F.when(~_is_ascii(c), c))
+    return _within(F.when(_is_ascii(c), F.lower(c)).otherwise(folded["key"]), max_length)
 
 
 def safe_url(c: Column) -> Column:

@@ -138,8 +138,11 @@ def _named(rows: DataFrame, field: str, max_length: int, key_length: int | None)
     ``rows`` needs ``item_id`` and ``seq``, the order of the titles.
     """
     out = rows.select("item_id", "seq", F.posexplode(field).alias("pos", "e"))
-    out = out.withColumn("name", text.entity_name(F.col("e.name"), max_length))
-    out = out.withColumn("key", text.entity_key(F.col("name"), key_length))
+    out = out.select(
+        "*",
+        text.entity_name(F.col("e.name"), max_length).alias("name"),
+        text.entity_key(F.col("e.name"), key_length).alias("key"),
+    )
     # Read twice below, and the names may have gone through Python.
     return materialise(out, field)
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reelshelf.functions import fixed_values as fv
-from reelshelf.functions.text import entity_key
+from reelshelf.functions.text import casefold
 from reelshelf.operators import filters
 from reelshelf.operators.ranking import global_rank, slice_rows
 from reelshelf.schemas import LINKS
@@ -176,6 +176,6 @@ def facet_values(facets, content_types, facet: str, q: str = "") -> DataFrame:
     """all options in order, optionally those containing ``q``."""
     values = _facet_values(facets, content_types, facet)
     if q.strip():
-        folded = entity_key(F.col("value"), max_length=None)
+        folded = casefold(F.col("value"))
         values = values.filter(F.contains(folded, F.lit(q.strip().casefold())))
     return global_rank(values, [F.col("value").asc()])

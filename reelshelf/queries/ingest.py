@@ -120,8 +120,8 @@ def _(spark, sf):
         .otherwise(F.concat(F.lit(" "), "s_name", F.lit("  Ｓtudio")))
     )
     rows = source(spark, sf, "supplier").select(F.col("s_suppkey").alias("k"), raw.alias("raw"))
-    rows = rows.select("k", text.entity_name(F.col("raw")).alias("name"))
-    return rows.withColumn("key", text.entity_key(F.col("name")))
+    raw = F.col("raw")
+    return rows.select("k", text.entity_name(raw).alias("name"), text.entity_key(raw).alias("key"))
 
 
 @query(
@@ -270,9 +270,10 @@ CASE WHEN page % 11 = 0 THEN objects ELSE 0 END AS entries FROM {pages}""",
     **V,
 )
 def _(spark, sf):
-    pages = payloads.landed(payloads.anime_bodies(spark, sf), "bulk")
+    pages = materialise(payloads.landed(payloads.anime_bodies(spark, sf), "bulk"), "landed")
     valid, rejected = landing.read_pages(pages, "manga")
-    counts = landing.entries(valid).groupBy("page").agg(F.count("*").alias("entries"))
+    found = landing.entries(landing.check_pages(pages, "manga"))
+    counts = found.groupBy("page").agg(F.count("*").alias("entries"))
     good = valid.select("page", F.lit(None).cast("string").alias("reason")).join(counts, "page", "left")
     bad = rejected.select("page", "reason", F.lit(0).cast("bigint").alias("entries"))
     return good.unionByName(bad)

@@ -54,11 +54,11 @@ def _problem(body: Column, page: Column, kind: str) -> Column:
     )
 
 
-def read_pages(landed: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
-    """A1: (valid, rejected) pages of one kind: season, anime or manga.
+def check_pages(landed: DataFrame, kind: str) -> DataFrame:
+    """A1: landed pages of one kind (season, anime or manga) with a verdict.
 
-    Valid pages carry the parsed ``body`` and ``has_next_page``; rejected ones
-    keep the text and a ``reason``, and their scan does not advance. A missing
+    ``reason`` says why a page was refused; only accepted pages have a parsed
+    ``body``. Nothing is filtered here, so each page is parsed once. A missing
     status code counts as success.
     """
     if kind not in ("season", "anime", "manga"):
@@ -69,19 +69,27 @@ def read_pages(landed: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
     reason = reason.when(~p.is_object(F.col("_body")), "not an object")
     reason = reason.otherwise(_problem(F.col("_body"), F.col("page"), kind))
     checked = parsed.withColumn("reason", reason)
-    valid = checked.filter(F.col("reason").isNull()).select(
+    return checked.select(
         "scan_key",
         "page",
+        "status_code",
         "fetched_at",
+        "reason",
         p.boolean(F.col("_body"), "pagination.has_next_page").alias("has_next_page"),
-        F.col("_body").alias("body"),
+        F.when(F.col("reason").isNull(), F.col("_body")).alias("body"),
     )
-    rejected = checked.filter(F.col("reason").isNotNull()).drop("_body")
+
+
+def read_pages(landed: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
+    """A1: (valid, rejected) pages; the scan of a rejected one does not advance."""
+    checked = check_pages(landed, kind)
+    valid = checked.filter(F.col("reason").isNull()).drop("reason", "status_code")
+    rejected = checked.filter(F.col("reason").isNotNull()).drop("body", "has_next_page")
     return valid, rejected
 
 
 def entries(pages: DataFrame) -> DataFrame:
-    """Objects of the ``data`` list of each valid page, with their position."""
+    """Objects of the ``data`` list of each accepted page, with their position."""
     data = p.array(F.col("body"), "data")
     rows = pages.select("scan_key", "page", F.posexplode(data).alias("pos", "entry"))
     return rows.filter(p.is_object(F.col("entry")))

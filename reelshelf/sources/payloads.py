@@ -83,7 +83,9 @@ MANGA = {
 
 
 def _bodies(rows: DataFrame, key: str, fields: dict[str, str]) -> DataFrame:
-    rows = rows.withColumn("k", F.col(key))
+    # A sample table is one small file. JSON work should use every core.
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    rows = rows.withColumn("k", F.col(key)).repartition(cores, F.floor(F.col(key) / 50))
     parts = [F.concat(F.lit(f'"{name}":'), F.expr(sql)) for name, sql in fields.items()]
     text = F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
     return rows.select(
@@ -113,7 +115,8 @@ def parsed(bodies: DataFrame, scan_key: str = "sample") -> DataFrame:
 
 def landed(bodies: DataFrame, scan_key: str) -> DataFrame:
     """The same as landed pages of up to 50 objects, with every kind of bad envelope."""
-    pages = bodies.groupBy("page").agg(
+    cores = bodies.sparkSession.sparkContext.defaultParallelism
+    pages = bodies.repartition(cores, "page").groupBy("page").agg(
         F.array_join(
             F.transform(F.array_sort(F.collect_list(F.struct("pos", "body"))), lambda e: e["body"]), ","
         ).alias("data")

@@ -14,7 +14,7 @@ from reelshelf.plans.catalogue import Catalogue
 from reelshelf.plans.spec import type_value
 from reelshelf.schemas import schema
 from reelshelf.session import materialise
-from reelshelf.sources.landing import entries, read_pages
+from reelshelf.sources.landing import check_pages, entries, read_pages
 from reelshelf.sources.snapshots import Snapshots
 
 # --- Fixed values: scan keys --------------------------------------------------
@@ -86,11 +86,11 @@ def page_results(valid: DataFrame, rejected: DataFrame, scan: Scan) -> DataFrame
 
 def apply_scan(cat: Catalogue, landed: DataFrame, scan: Scan, now: Column):
     """A1 and A4 for the pages of one scan: (applied, page results)."""
-    valid, rejected = read_pages(landed, scan.kind)
-    results = page_results(valid, rejected, scan)
+    checked = check_pages(landed, scan.kind)
+    results = page_results(*read_pages(landed, scan.kind), scan)
     clean = parsing.clean_manga if scan.kind == "manga" else parsing.clean_anime
     # Parsed once; gate, counters and link parsing read the typed copy.
-    rows = materialise(clean(entries(valid)), "clean")
+    rows = materialise(clean(entries(checked)), "clean")
     if scan.kind == "manga":
         return apply.apply_manga_page(cat, rows, now, expected=scan.expected), results
     gates = {"year": scan.year, "season": scan.season}

@@ -168,11 +168,17 @@ def test_helpers(spark):
     assert "broadcast" not in broadcast_if_small(rows, 9)._jdf.queryExecution().analyzed().toString().lower()
 
 
+def plan_nodes(df, name):
+    return df._jdf.queryExecution().executedPlan().toString().count(name)
+
+
 def test_names_fold_like_unicode_says(spark):
     raw = [" Ａ  b　", "straße", "\x1c", "x" * 151, "ﬁlm"]
     rows = spark.createDataFrame([(i, r) for i, r in enumerate(raw)], "i int, raw string")
-    rows = rows.select("i", strip(F.col("raw")).alias("s"), entity_name(F.col("raw")).alias("name"))
-    out = rows.withColumn("key", entity_key(F.col("name"))).orderBy("i").collect()
+    c = F.col("raw")
+    rows = rows.select("i", strip(c).alias("s"), entity_name(c).alias("name"), entity_key(c).alias("key"))
+    assert plan_nodes(rows, "ArrowEvalPython") == 1
+    out = rows.orderBy("i").collect()
     assert [r.name for r in out] == ["A b", "straße", None, None, "film"]
     assert [r.key for r in out] == ["a b", "strasse", None, None, "film"]
     assert out[0].s == "Ａ  b" and out[2].s == ""
