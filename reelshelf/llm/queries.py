@@ -1,9 +1,10 @@
 """Registered queries of the training-data operators, with their check SQL."""
 
-from reelshelf.llm import bpe, exact_dedup, packing, token_counts, warc
+from reelshelf.llm import bpe, exact_dedup, packing, simhash, token_counts, warc
 
 QUERIES = {
     "op2_token_counts": token_counts.op2_token_counts,
+    "op3_simhash": simhash.op3_simhash,
     "op4_packing": packing.op4_packing,
     "op7_bpe_codec": bpe.op7_bpe_codec,
     "op9_warc": warc.op9_warc,
