@@ -1,11 +1,12 @@
 """Registered queries of the training-data operators, with their check SQL."""
 
-from reelshelf.llm import bpe, exact_dedup, packing, simhash, token_counts, warc
+from reelshelf.llm import bpe, embedding_dedup, exact_dedup, packing, simhash, token_counts, warc
 
 QUERIES = {
     "op2_token_counts": token_counts.op2_token_counts,
     "op3_simhash": simhash.op3_simhash,
     "op4_packing": packing.op4_packing,
+    "op5_embedding_dedup": embedding_dedup.op5_embedding_dedup,
     "op7_bpe_codec": bpe.op7_bpe_codec,
     "op9_warc": warc.op9_warc,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
