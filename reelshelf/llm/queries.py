@@ -1,13 +1,27 @@
 """Registered queries of the training-data operators, with their check SQL."""
 
-from reelshelf.llm import bpe, embedding_dedup, exact_dedup, packing, simhash, token_counts, warc
+from reelshelf.llm import (
+    bpe,
+    embedding_dedup,
+    exact_dedup,
+    language_id,
+    packing,
+    quality,
+    simhash,
+    token_counts,
+    toxicity,
+    warc,
+)
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op2_token_counts": token_counts.op2_token_counts,
     "op3_simhash": simhash.op3_simhash,
     "op4_packing": packing.op4_packing,
     "op5_embedding_dedup": embedding_dedup.op5_embedding_dedup,
+    "op6_language_id": language_id.op6_language_id,
     "op7_bpe_codec": bpe.op7_bpe_codec,
+    "op8_quality": quality.op8_quality,
     "op9_warc": warc.op9_warc,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
