@@ -31,15 +31,16 @@ def adult_ids(items: DataFrame, links: DataFrame, genre: DataFrame, link: Link)
     return by_row.unionByName(by_link).distinct()
 
 
+def without(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """Rows of a title or bridge table whose title is not in ``gone``."""
+    return rows.join(gone, key, "left_anti").select(*rows.columns)
+
+
 def purge_adult(items: DataFrame, bridges: dict[str, DataFrame], genre_links: DataFrame, genre: DataFrame, link: Link):
     """Titles and their links without adult titles; also the removed ids."""
     gone = adult_ids(items, genre_links, genre, link)
-    kept = items.join(gone, link.item, "left_anti").select(*items.columns)
-    bridges = {
-        name: rows.join(gone, link.item, "left_anti").select(*rows.columns)
-        for name, rows in bridges.items()
-    }
-    return kept, bridges, gone
+    bridges = {name: without(rows, gone, link.item) for name, rows in bridges.items()}
+    return without(items, gone, link.item), bridges, gone
 
 
 def backfill_adult(items: DataFrame, links: DataFrame, genre: DataFrame, link: Link) -> DataFrame:

@@ -1,10 +1,11 @@
 """Provider batches applied to the catalogue.
 
-Every function returns new lazy tables; :class:`Snapshots` stores them. Only
-the batch side is materialised, so its true size decides whether the joins with
-the catalogue broadcast it. For a small batch the catalogue is then streamed
-through without a shuffle. A table the batch does not change is handed on as the
-same object, so it is not stored again.
+Every function returns new lazy tables; a store writes them. Title ids are looked
+up in the whole catalogue, by two columns; after that a stored catalogue is
+narrowed to the buckets of the batch's titles, and only those are read, merged and
+written. The batch side is materialised, so its true size decides whether joins
+broadcast it. A table the batch does not change is handed on as the same object,
+so it is not stored again.
 """
 
 from __future__ import annotations
@@ -101,6 +102,7 @@ def apply_streaming_backfill(cat: Catalogue, queue: DataFrame, details: DataFram
     updated only when one of its links changed, else as checked.
     """
     work = _fetched_anime(queue, details)
+    cat = cat.narrowed(work.select("item_id"), "anime", *ANIME_BRIDGES)
     titles = _marked(cat.anime, work, "anime_id", now, ("last_streaming_attempt",))
     out = replace(_without(cat, work, ANIME_BRIDGES, "anime_id"), anime=titles.drop("e"))
     used = _usable(work)
@@ -230,6 +232,7 @@ def _marked(items: DataFrame, work: DataFrame, key: str, now: Column, marks) ->
 
 
 def _apply_anime(cat: Catalogue, work: DataFrame, now: Column, marks: tuple[str, ...] = ()) -> Applied:
+    cat = cat.narrowed(work.select("item_id"), "anime", *ANIME_BRIDGES)
     stored = merge.merge_anime(_marked(cat.anime, work, "anime_id", now, marks), now)
     fresh = work.filter("outcome = 'inserted'")
     added = merge.merge_anime(merge.new_anime(fresh), now)
@@ -247,6 +250,7 @@ def _apply_anime(cat: Catalogue, work: DataFrame, now: Column, marks: tuple[str,
 
 
 def _apply_manga(cat: Catalogue, work: DataFrame, now: Column, marks: tuple[str, ...] = ()) -> Applied:
+    cat = cat.narrowed(work.select("item_id"), "manga", *MANGA_BRIDGES)
     stored = _marked(cat.manga, work, "manga_id", now, marks)
     stored = merge.merge_manga(stored, F.col("expected"), now)
     fresh = work.filter("outcome = 'inserted'").withColumn("manga_id", F.col("item_id"))
@@ -313,6 +317,7 @@ def _apply_studios(cat: Catalogue, used: DataFrame) -> tuple[Catalogue, DataFram
     studio, resolved, remap = identity.resolve_studios(cat.studio, values)
     cat = replace(cat, studio=studio)
     if _any(remap):
+        cat = cat.widened(link, remap.select(F.col("old_id").alias(link.ref)))
         links = identity.move_links(cat.anime_studio, remap, link.item, link.ref)
         cat = replace(cat, anime_studio=links)
     incoming = resolved.select(

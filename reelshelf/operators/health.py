@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from reelshelf.functions import fixed_values as fv
 
 HANDLED = ("updated", "removed_adult", "removed_unsupported")
-OUTCOMES = (*HANDLED, "missing_mal_id", "not_found", "temporary", "invalid_payload")
+OUTCOMES = (*HANDLED, "missing_mal_id", "not_found", "temporary", "invalid_payload", "unexpected")
 
 
 def reconcile_stats(log: DataFrame) -> DataFrame:
@@ -52,30 +52,45 @@ def scan_summary(results: DataFrame) -> DataFrame:
     return results.rollup("provider_type").agg(*[F.sum(n).alias(n) for n in names])
 
 
-def advance_state(state: DataFrame, results: DataFrame) -> DataFrame:
+def refused_pages(refused: DataFrame, results: DataFrame) -> DataFrame:
+    """Pages whose latest response was refused, ``refused`` before this batch included.
+
+    ``results`` has ``scan_key``, ``page``, ``has_next_page``, ``seen_at`` and ``error``.
+    """
+    known = refused.select("scan_key", "page", "seen_at", F.col("reason").alias("error"))
+    latest = known.unionByName(results.select(known.columns)).groupBy("scan_key", "page")
+    latest = latest.agg(F.max_by(F.struct("error", "seen_at"), F.struct("seen_at", "error")).alias("r"))
+    open_pages = latest.filter("r.error IS NOT NULL")
+    return open_pages.select("scan_key", "page", F.col("r.error").alias("reason"), F.col("r.seen_at").alias("seen_at"))
+
+
+def advance_state(state: DataFrame, results: DataFrame, refused: DataFrame) -> DataFrame:
     """Scan state after a batch of pages.
 
-    ``results`` has ``scan_key``, ``page``, ``has_next_page``, ``seen_at`` and
-    ``error``. The latest page of a scan decides: a page in the middle moves the
-    cursor on, the last page resets it to 1 and marks completion, a failed page
-    stays current.
+    ``refused`` is what :func:`refused_pages` gives for the batch. The smallest
+    page that is still refused stays current, keeps its error and blocks
+    completion, whatever came after it. Without one the latest page decides: a
+    page in the middle moves the cursor on, the last page resets it to 1 and
+    marks completion.
     """
-    fields = F.struct("page", "has_next_page", "seen_at", "error")
-    order = F.struct("seen_at", "page")
+    fields = F.struct("page", "has_next_page", "seen_at")
     done = F.col("error").isNull() & ~F.col("has_next_page")
     last = results.groupBy(F.col("scan_key").alias("key")).agg(
-        F.max_by(fields, order).alias("r"),
+        F.max_by(fields, F.struct("seen_at", "page", "has_next_page")).alias("r"),
         F.max(F.when(done, F.col("seen_at"))).alias("_done"),
     )
-    moved = F.when(F.col("r.error").isNotNull(), F.col("r.page")).when(
-        F.col("r.has_next_page"), F.col("r.page") + 1
+    pinned = refused.groupBy(F.col("scan_key").alias("key")).agg(
+        F.min_by(F.struct("page", "reason"), "page").alias("p")
     )
+    moved = F.when(F.col("p").isNotNull(), F.col("p.page")).when(F.col("r.has_next_page"), F.col("r.page") + 1)
     seen = F.col("r").isNotNull()
-    error = F.substring("r.error", 1, fv.STATE_ERROR_LENGTH)
+    error = F.substring("p.reason", 1, fv.STATE_ERROR_LENGTH)
+    finished = F.when(F.col("p").isNull(), F.col("_done"))
+    last = last.join(pinned, "key", "left")
     return state.join(last, "key", "full_outer").select(
         "key",
         F.when(seen, moved.otherwise(1)).otherwise(F.col("next_page")).cast("int").alias("next_page"),
         F.when(seen, F.col("r.seen_at")).otherwise(F.col("last_attempt_at")).alias("last_attempt_at"),
-        F.coalesce("_done", "last_completed_at").alias("last_completed_at"),
+        F.coalesce(finished, "last_completed_at").alias("last_completed_at"),
         F.when(seen, error).otherwise(F.col("last_error")).alias("last_error"),
     )

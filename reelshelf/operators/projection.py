@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -176,6 +174,7 @@ def hydrate(page: DataFrame, cat, tier: str = "list") -> DataFrame:
     ranks = spark.createDataFrame(found, "content_type string, id bigint, rank bigint")
     anime_ids = [r.record_id for r in found if r.content_type == "ANIME"]
     print_ids = [r.record_id for r in found if r.content_type != "ANIME"]
+    cat = cat.picked(anime_ids, print_ids)
     anime = filters.public(cat.anime).filter(F.col("anime_id").isin(anime_ids))
     manga = filters.public(cat.manga).filter(F.col("manga_id").isin(print_ids))
     rows = project_anime(anime, cat, tier, anime_ids).unionByName(
@@ -188,22 +187,18 @@ def detail(cat, content_type: str, mal_id: int) -> DataFrame:
     """One public record by type and provider id; empty when missing."""
     kind = content_type.strip().upper()
     if kind == "ANIME":
-        items = filters.public(cat.anime).filter(F.col("mal_id") == mal_id)
-        return project_anime(items, _only(cat, items, ANIME), "detail")
+        found = filters.public(cat.anime).filter(F.col("mal_id") == mal_id)
+        ids = _keys(found, ANIME)
+        cat = cat.picked(ids, [])
+        return project_anime(filters.public(cat.anime).filter(F.col("anime_id").isin(ids)), cat, "detail", ids)
     if kind not in fv.PRINT_TYPES.values():
         raise ValueError("content_type must be ANIME, MANGA, or MANHWA")
-    items = filters.public(cat.manga).filter(
-        (F.col("mal_id") == mal_id) & (F.col("content_type") == kind)
-    )
-    return project_manga(items, _only(cat, items, MANGA), "detail")
+    found = filters.public(cat.manga).filter((F.col("mal_id") == mal_id) & (F.col("content_type") == kind))
+    ids = _keys(found, MANGA)
+    cat = cat.picked([], ids)
+    return project_manga(filters.public(cat.manga).filter(F.col("manga_id").isin(ids)), cat, "detail", ids)
 
 
-def _only(cat, items: DataFrame, medium: Medium):
-    # Provider ids are unique, so this semi join keeps one title's links.
-    keys = items.select(medium.key)
-    tables = ("anime_genre", "anime_studio", "anime_streaming_service")
-    if medium is MANGA:
-        tables = ("manga_genre", "manga_author")
-    return replace(
-        cat, **{t: getattr(cat, t).join(keys, medium.key, "left_semi") for t in tables}
-    )
+def _keys(found: DataFrame, medium: Medium) -> list[int]:
+    """Key of the one title with a provider id: read first, so that it prunes every other scan."""
+    return [r[0] for r in found.select(medium.key).take(2)]

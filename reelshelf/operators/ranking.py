@@ -47,13 +47,16 @@ def seasonal_keys(sort: str) -> list[Column]:
     return [*head, F.col("title").asc(), F.col("anime_id").asc()]
 
 
-def slice_rows(rows: DataFrame, keys: list[Column], offset: int, limit: int) -> DataFrame:
+def slice_rows(
+    rows: DataFrame, keys: list[Column], offset: int, limit: int, top_k: int = TOP_K_ROWS
+) -> DataFrame:
     """rows ``offset + 1`` to ``offset + limit`` with their global ``rank``.
 
     Shallow slices are a top-k: every task keeps only the leading rows. Deep
-    slices use :func:`global_rank`, which never gathers the skipped rows.
+    slices, beyond ``top_k`` rows, use :func:`global_rank`, which never gathers
+    the skipped rows.
     """
-    if offset + limit > TOP_K_ROWS:
+    if offset + limit > top_k:
         ranked = global_rank(rows, keys)
         return ranked.filter(F.col("rank").between(offset + 1, offset + limit))
     page = rows.orderBy(*keys).offset(offset).limit(limit)
@@ -142,17 +145,27 @@ def after(rows: DataFrame, sort: str, last: dict, limit: int) -> DataFrame:
     return rows.filter(follows).orderBy(*order_keys(sort)).limit(limit)
 
 
-def random_sample(rows: DataFrame, limit: int, seed: int) -> DataFrame:
-    """F8: small random pick from a two-percent row sample."""
-    sampled = rows.sample(fv.RANDOM_SAMPLE_FRACTION, seed)
-    return sampled.orderBy(F.rand(seed)).limit(limit)
+def random_sample(
+    rows: DataFrame, limit: int, seed: int, share: float = fv.RANDOM_SAMPLE_FRACTION
+) -> DataFrame:
+    """F8: small random pick from a sample of the rows, two percent by default.
+
+    A digest of type, id and seed decides, so the pick is the same on any cluster.
+    """
+    number = F.col("record_id").cast("string")
+    digest = F.sha2(F.concat_ws("-", "content_type", number, F.lit(str(seed))), 256)
+    if share < 1:
+        rows = rows.filter(digest < f"{int(share * 2**32):08x}")
+    return rows.orderBy(digest).limit(limit)
 
 
 def random_window(rows: DataFrame, pivot: int, limit: int) -> DataFrame:
     """ids from ``pivot`` upwards, then wrapping to the smallest ids."""
-    wrapped = F.col("record_id") < pivot
-    keys = [wrapped.asc(), F.col("record_id").asc(), F.col("content_type").asc()]
-    return slice_rows(rows, keys, 0, limit)
+    keys = [F.col("record_id").asc(), F.col("content_type").asc()]
+    # Two seeks with a bound that the scan can use, each a top-k.
+    ahead = rows.filter(F.col("record_id") >= pivot).orderBy(*keys).limit(limit)
+    wrapped = rows.filter(F.col("record_id") < pivot).orderBy(*keys).limit(limit)
+    return slice_rows(ahead.unionByName(wrapped), [(F.col("record_id") < pivot).asc(), *keys], 0, limit)
 
 
 def id_bounds(rows: DataFrame) -> DataFrame:

@@ -72,9 +72,13 @@ def upsert_visits(current: DataFrame, batch: DataFrame) -> DataFrame:
     partially-aggregated shuffle whose key includes the visitor: one busy day
     or route cannot gather in one task.
     """
+    return summed(current.unionByName(batch))
+
+
+def summed(rows: DataFrame) -> DataFrame:
+    """One row per visitor, day and route."""
     return (
-        current.unionByName(batch)
-        .groupBy(*KEY)
+        rows.groupBy(*KEY)
         .agg(
             F.sum("visit_count").alias("visit_count"),
             F.min("first_visited_at").alias("first_visited_at"),
@@ -120,15 +124,34 @@ def visits_by(visits: DataFrame, period: str, today: date) -> DataFrame:
 
 
 def report(visits: DataFrame, today: date) -> DataFrame:
-    """Every section of the visit report as (section, label, visits, unique_visitors)."""
-    parts = [("total", visit_totals(visits), F.lit(None).cast("string"))]
-    for section, period in (("daily", "day"), ("weekly", "week"), ("monthly", "month")):
-        parts.append((section, visits_by(visits, period, today), F.col("period")))
-    parts.append(("categories", visit_categories(visits), F.col("category")))
-    out = None
-    for section, rows, label in parts:
-        part = rows.select(
-            F.lit(section).alias("section"), label.alias("label"), "visits", "unique_visitors"
-        )
-        out = part if out is None else out.unionByName(part)
-    return out
+    """Every section of the visit report as (section, label, visits, unique_visitors).
+
+    The visits are read once and first summed by visitor, day and route. All
+    sections are then grouping sets of one expanded aggregation.
+    """
+    base = visits.groupBy(*KEY).agg(F.sum("visit_count").alias("visit_count"))
+    day = F.col("visit_date")
+
+    def since(days: int, label: Column) -> Column:
+        return F.when(day >= F.lit(today - timedelta(days=days)), F.date_format(label, "yyyy-MM-dd"))
+
+    labels = {
+        "total": F.lit(""),
+        "daily": since(6, day),
+        "weekly": since(77, F.trunc(day, "week")),
+        "monthly": since(366, F.trunc(day, "month")),
+        "categories": F.coalesce("route", F.lit("")),
+    }
+    pairs = [F.struct(F.lit(s).alias("section"), c.alias("label")) for s, c in labels.items()]
+    rows = base.select("visitor_token_hash", "visit_count", F.explode(F.array(*pairs)).alias("_s"))
+    rows = rows.filter("_s.label IS NOT NULL").select("_s.section", "_s.label", "visitor_token_hash", "visit_count")
+    # By visitor first, so that a section with one label does not gather in one task.
+    each = rows.groupBy("section", "label", "visitor_token_hash").agg(F.sum("visit_count").alias("n"))
+    found = each.groupBy("section", "label").agg(F.sum("n").alias("visits"), F.count("visitor_token_hash").alias("unique_visitors"))
+    total = F.when(F.col("section") != "total", F.col("label"))
+    rows = found.select("section", total.alias("label"), "visits", "unique_visitors")
+    # The total is there even without visits.
+    none = base.sparkSession.createDataFrame([("total", None, 0, 0)], rows.schema)
+    return rows.unionByName(none).groupBy("section", "label").agg(
+        F.sum("visits").alias("visits"), F.sum("unique_visitors").alias("unique_visitors")
+    )

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from reelshelf.functions import fixed_values as fv
 from reelshelf.operators import filters, profile, projection, ranking
 from reelshelf.plans.spec import CatalogueQuery, QueryError
-from reelshelf.schemas import ANIME, DDL, MANGA, schema
+from reelshelf.schemas import ANIME, DDL, MANGA, Link, schema
 
 
 @dataclass(frozen=True)
@@ -34,6 +34,22 @@ class Catalogue:
     def tables(cls) -> tuple[str, ...]:
         return tuple(f.name for f in fields(cls))
 
+    def picked(self, anime_ids: list[int], print_ids: list[int]) -> Catalogue:
+        """The same, of which only the rows of a few titles will be read."""
+        return self
+
+    def sampled(self, share: float, seed: int) -> tuple[Catalogue, float]:
+        """A random part that is cheap to read, and the share to sample of it."""
+        return self, share
+
+    def narrowed(self, ids: DataFrame, *tables: str) -> Catalogue:
+        """The same, where only rows of ``ids`` may change in ``tables``."""
+        return self
+
+    def widened(self, link: Link, refs: DataFrame) -> Catalogue:
+        """The same, where titles linked to ``refs`` may change in the link's table too."""
+        return self
+
     @classmethod
     def empty(cls, spark: SparkSession) -> Catalogue:
         return cls(**{t: spark.createDataFrame([], schema(t)) for t in cls.tables()})
@@ -106,7 +122,8 @@ class Catalogue:
         rows = self.identity_rows(spec)
         if spec == CatalogueQuery(scope=spec.scope, sort=spec.sort):
             # At most twelve rows: kept, so that the scan runs only once.
-            picked = ranking.random_sample(rows, limit, seed).take(limit)
+            part, share = self.sampled(fv.RANDOM_SAMPLE_FRACTION, seed)
+            picked = ranking.random_sample(part.identity_rows(spec), limit, seed, share).take(limit)
             if len(picked) == limit:
                 return rows.sparkSession.createDataFrame(picked, rows.schema)
         low, high = ranking.id_bounds(rows).first()

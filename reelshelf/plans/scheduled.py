@@ -1,8 +1,9 @@
-"""The scheduled synchronisation, one batch job over stored versions."""
+"""The scheduled synchronisation, one batch job over stored tables."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from reelshelf.plans.catalogue import Catalogue
 from reelshelf.schemas import LINKS, schema
 from reelshelf.session import materialise
 from reelshelf.sources.landing import classify_fetch
-from reelshelf.sources.snapshots import Snapshots, publish_facets
+from reelshelf.sources.store import Store, publish_facets
 from reelshelf.streaming.pages import ingest_pages_stream
 
 QUEUES = ("season_backfill", "anime_refresh", "streaming_backfill", "print_refresh")
@@ -21,55 +22,67 @@ QUEUES = ("season_backfill", "anime_refresh", "streaming_backfill", "print_refre
 
 @dataclass(frozen=True)
 class RunReport:
-    """What one run did; every field is a small aggregate."""
+    """What one run did, and which titles to request before the next one."""
 
-    removed_adult: int
+    removed_anime: int
+    removed_print: int
     facets: int
     health: DataFrame
     links: DataFrame
+    scans: DataFrame
+    requests: DataFrame
     season_coverage: DataFrame
     metric_coverage: DataFrame
 
 
-def purge_anime(cat: Catalogue) -> tuple[Catalogue, DataFrame]:
-    """A6 for anime and their links."""
-    bridges = {b: getattr(cat, b) for b in apply.ANIME_BRIDGES}
-    items, bridges, gone = adult.purge_adult(
-        cat.anime, bridges, cat.anime_genre, cat.genre, LINKS["anime_genre"]
-    )
-    return replace(cat, anime=items, **bridges), gone
+def purge(cat: Catalogue, medium: str) -> tuple[Catalogue, DataFrame]:
+    """A6 for one medium and its links; without restricted titles nothing changes."""
+    names = apply.MANGA_BRIDGES if medium == "manga" else apply.ANIME_BRIDGES
+    link = LINKS[names[0]]
+    gone = adult.adult_ids(getattr(cat, medium), getattr(cat, names[0]), cat.genre, link)
+    gone = materialise(gone, "gone")
+    if gone.isEmpty():
+        return cat, gone
+    cat = cat.narrowed(gone, medium, *names)
+    rows = {t: getattr(cat, t) for t in (medium, *names)}
+    return replace(cat, **{t: adult.without(r, gone, link.item) for t, r in rows.items()}), gone
 
 
-def purge_manga(cat: Catalogue) -> tuple[Catalogue, DataFrame]:
-    """A6 for print titles and their links."""
-    bridges = {b: getattr(cat, b) for b in apply.MANGA_BRIDGES}
-    items, bridges, gone = adult.purge_adult(
-        cat.manga, bridges, cat.manga_genre, cat.genre, LINKS["manga_genre"]
-    )
-    return replace(cat, manga=items, **bridges), gone
+def select_queue(cat: Catalogue, queue: str, limit: int) -> DataFrame:
+    """The titles of one queue to request next."""
+    if queue == "print_refresh":
+        return ranking.work_queue(cat.manga, "last_attempt", "manga_id", limit)
+    if queue == "season_backfill":
+        return ranking.season_queue(cat.anime, limit)
+    if queue == "streaming_backfill":
+        return ranking.streaming_queue(cat.anime, cat.anime_streaming_service, limit)
+    return ranking.work_queue(cat.anime, "last_attempt", "anime_id", limit)
+
+
+def answered(items: DataFrame, answers: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Every stored title that has an answer, and the chosen ones that cannot be requested."""
+    known = items.join(answers.select("mal_id").distinct(), "mal_id", "left_semi").select(items.columns)
+    return known.unionByName(chosen.filter("mal_id IS NULL").select(items.columns))
 
 
 def run_queue(cat: Catalogue, queue: str, details: DataFrame, limit: int, now: Column) -> apply.Applied:
-    """Select one refresh queue and apply the responses that landed for it."""
+    """Apply every response that landed for one refresh queue, whenever it was requested."""
     landed = details.filter(F.col("kind") == queue)
     kind = "manga" if queue == "print_refresh" else "anime"
-    answers = apply.detail_entries(classify_fetch(landed, kind), kind)
-    if queue == "print_refresh":
-        chosen = ranking.work_queue(cat.manga, "last_attempt", "manga_id", limit)
-        return apply.apply_print_refresh(cat, chosen, answers, now)
-    if queue == "season_backfill":
-        chosen = ranking.season_queue(cat.anime, limit)
-        return apply.apply_season_backfill(cat, chosen, answers, now)
-    if queue == "streaming_backfill":
-        chosen = ranking.streaming_queue(cat.anime, cat.anime_streaming_service, limit)
-        return apply.apply_streaming_backfill(cat, chosen, answers, now)
-    chosen = ranking.work_queue(cat.anime, "last_attempt", "anime_id", limit)
-    return apply.apply_refresh(cat, chosen, answers, now)
+    answers = materialise(apply.detail_entries(classify_fetch(landed, kind), kind), "answers")
+    titles = answered(cat.manga if kind == "manga" else cat.anime, answers, select_queue(cat, queue, limit))
+    work = {
+        "print_refresh": apply.apply_print_refresh,
+        "season_backfill": apply.apply_season_backfill,
+        "streaming_backfill": apply.apply_streaming_backfill,
+        "anime_refresh": apply.apply_refresh,
+    }[queue]
+    return work(cat, titles, answers, now)
 
 
 def run_scheduled(
     spark: SparkSession,
-    store: Snapshots,
+    store: Store,
     pages: str,
     checkpoint: str,
     details: str,
@@ -80,42 +93,63 @@ def run_scheduled(
     """Fixed order: purge, pages, refresh queues, facets, coverage.
 
     ``pages`` and ``details`` are landing folders; ``details`` holds this run's
-    responses. Every phase starts from the version the previous one stored.
+    responses, and all of them are applied. The limits only say how many titles
+    to request next. Every phase starts from the tables the previous one stored.
     """
-    removed = 0
+    removed = {"anime": 0, "manga": 0}
+    for medium in removed:
+        kept, gone = purge(store.catalogue(), medium)
+        removed[medium] += gone.count()
+        store.commit(kept)
 
-    def purge(step) -> None:
-        nonlocal removed
-        cat = store.catalogue()
-        kept, gone = step(cat)
-        removed += gone.count()
-        store.commit_catalogue(cat, kept)
-
-    purge(purge_anime)
-    purge(purge_manga)
+    before = store.batch("pages")
     ingest_pages_stream(spark, pages, store, checkpoint).awaitTermination()
+    batches = [f"pages-{i}" for i in range(before + 1, store.batch("pages") + 1)]
+    scanned = store.read_batches("scan_titles", batches)
 
     landed = spark.read.schema(schema("landed_details")).parquet(details)
-    outcomes, links = None, None
+    outcomes, links = [], [store.read_batches("scan_links", batches)]
     for queue in QUEUES:
-        size = streaming_limit if queue == "streaming_backfill" else limit
-        cat = store.catalogue()
-        applied = run_queue(cat, queue, landed, size, now)
-        # Kept before the commit, because both describe the version left behind.
+        applied = run_queue(store.catalogue(), queue, landed, limit, now)
+        # Kept before the commit, because both describe the tables left behind.
         part = applied.titles.select(F.lit(queue).alias("queue"), "item_id", "outcome")
-        part = materialise(part, "outcomes")
-        log = materialise(applied.links.withColumn("phase", F.lit(queue)), "links")
-        store.commit_catalogue(cat, applied.catalogue)
-        removed += part.filter("outcome = 'removed_adult'").count()
-        outcomes = part if outcomes is None else outcomes.unionByName(part)
-        links = log if links is None else links.unionByName(log)
+        outcomes.append(materialise(part, "outcomes"))
+        links.append(materialise(applied.links.withColumn("phase", F.lit(queue)), "link-log"))
+        store.commit(applied.catalogue)
+    done = reduce(DataFrame.unionByName, outcomes)
+
+    medium = F.when(F.col("queue") == "print_refresh", "manga").otherwise("anime").alias("medium")
+    gone = done.select(medium, "outcome").unionByName(scanned.select("medium", "outcome"))
+    for row in gone.filter("outcome = 'removed_adult'").groupBy("medium").count().collect():
+        removed[row["medium"]] += row["count"]
 
     cat = store.catalogue()
+    sizes = {q: streaming_limit if q == "streaming_backfill" else limit for q in QUEUES}
+    requests = [
+        select_queue(cat, q, n).filter("mal_id > 0").select(F.lit(q).alias("queue"), "mal_id") for q, n in sizes.items()
+    ]
     return RunReport(
-        removed_adult=removed,
+        removed_anime=removed["anime"],
+        removed_print=removed["manga"],
         facets=publish_facets(store, cat),
-        health=health.refresh_health(outcomes),
-        links=health.reconcile_stats(links),
+        health=health.refresh_health(done),
+        links=health.reconcile_stats(reduce(DataFrame.unionByName, links)),
+        scans=health.scan_summary(scan_results(store, batches)),
+        requests=reduce(DataFrame.unionByName, requests),
         season_coverage=profile.season_coverage(cat.anime),
         metric_coverage=profile.metric_coverage(cat),
     )
+
+
+def scan_results(store: Store, batches: list[str]) -> DataFrame:
+    """E11 input: page and title counters of the scans in some batches."""
+    titles = store.read_batches("scan_titles", batches)
+    zero = F.lit(0).cast("long")
+    counted = titles.select(
+        "provider_type",
+        zero.alias("pages_completed"),
+        zero.alias("pages_failed"),
+        *[(F.col("outcome") == o).cast("long").alias(n) for o, n in (("inserted", "inserted"), ("updated", "updated"), ("removed_adult", "removed"))],
+    )
+    pages = store.read_batches("scan_pages", batches)
+    return counted.unionByName(pages.withColumns({n: zero for n in ("inserted", "updated", "removed")}))

@@ -379,10 +379,28 @@ for _sort in fv.SEASONAL_SORTS:
     _seasonal_query(_sort)
 
 
-@query("f8_random_sample")
+@query(
+    "f8_random_sample",
+    """SELECT content_type, record_id, mal_id FROM (SELECT *, sha256(content_type || '-' || record_id || '-7') AS digest FROM {rows})
+WHERE digest < '051eb851' ORDER BY digest LIMIT 6""",
+    rows=IDENTITY_SQL,
+)
+def _(spark, sf):
+    rows = catalogue(spark, sf).identity_rows(CatalogueQuery())
+    return ranking.random_sample(rows, 6, seed=7).select("content_type", "record_id", "mal_id")
+
+
+@query(
+    "f3_deep_slice",
+    f"""SELECT content_type, record_id, rank FROM (SELECT *, row_number() OVER (ORDER BY {ORDERS["newest"]}) AS rank FROM {{rows}})
+WHERE rank BETWEEN 101 AND 200""",
+    rows=IDENTITY_SQL,
+)
 def _(spark, sf):
+    # Beyond this limit the slice is ranked; the sample is smaller than the default limit.
     rows = catalogue(spark, sf).identity_rows(CatalogueQuery())
-    return ranking.random_sample(rows, 6, seed=7)
+    page = ranking.slice_rows(rows, ranking.order_keys("newest"), 100, 100, top_k=150)
+    return page.select("content_type", "record_id", "rank")
 
 
 @query(

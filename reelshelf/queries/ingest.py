@@ -526,6 +526,20 @@ def _(spark, sf):
     return counts.withColumn("assigned", assigned)
 
 
+@query(
+    "a5_season_import_all",
+    """SELECT saved, skipped, assigned FROM (SELECT count(*) AS saved FROM {kept}),
+(SELECT count(*) - count(*) FILTER (WHERE mal_id IS NOT NULL AND NOT is_adult) AS skipped FROM {pay}),
+(SELECT count(*) AS assigned FROM {kept} AS p LEFT JOIN {anime} AS a ON a.mal_id = p.mal_id
+WHERE a.season IS NULL AND (p.k % 8 IN (0, 1, 3, 7) OR p.season_named IS NOT NULL OR (COALESCE(p.type, a.type, 'UNKNOWN') = 'TV' AND p.season_aired IS NOT NULL)))""",
+    **V,
+)
+def _(spark, sf):
+    applied, counts = apply.import_season(catalogue(spark, sf), stored_anime_rows(spark, sf), now(), 2021, "spring")
+    assigned = applied.titles.agg(F.count_if("season_assigned")).scalar()
+    return counts.withColumn("assigned", assigned)
+
+
 # --- I5, I9-I14: links and identities -------------------------------------------
 
 

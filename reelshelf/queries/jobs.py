@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from reelshelf.functions import fixed_values as fv
 from reelshelf.operators import apply, ranking, visits
 from reelshelf.plans.catalogue import Catalogue
-from reelshelf.plans.scheduled import run_scheduled
+from reelshelf.plans.scheduled import answered, run_scheduled, select_queue
 from reelshelf.queries.catalogue import FACETS
 from reelshelf.queries.ingest import (
     M,
@@ -28,9 +28,9 @@ from reelshelf.queries.visits import HEALTH_SQL
 from reelshelf.session import materialise, scratch_dir
 from reelshelf.sources import landing, payloads
 from reelshelf.sources.bindings import SOURCES, VIEWS, catalogue, view
-from reelshelf.sources.snapshots import Snapshots, publish_facets
-from reelshelf.streaming.pages import TYPE_SCAN, ingest_pages_stream
-from reelshelf.streaming.visits import visit_stream, visit_windows
+from reelshelf.sources.store import Store, publish_facets
+from reelshelf.streaming.pages import TYPE_SCAN, UNKNOWN_SCAN, ingest_pages_stream
+from reelshelf.streaming.visits import stored_visits, visit_stream, visit_windows
 
 
 def folder(spark) -> str:
@@ -38,10 +38,10 @@ def folder(spark) -> str:
     return f"{scratch_dir(spark)}/reelshelf/job-{uuid.uuid4().hex}"
 
 
-def store_of(spark, cat: Catalogue) -> Snapshots:
+def store_of(spark, cat: Catalogue) -> Store:
     """A new store that holds the sample catalogue."""
-    store = Snapshots(spark, folder(spark) + "/store")
-    store.commit({t: getattr(cat, t) for t in Catalogue.tables()})
+    store = Store(spark, folder(spark) + "/store")
+    store.write({t: getattr(cat, t) for t in Catalogue.tables()})
     return store
 
 
@@ -73,7 +73,7 @@ def _(spark, sf):
     **FACETS,
 )
 def _(spark, sf):
-    store = Snapshots(spark, folder(spark))
+    store = Store(spark, folder(spark))
     publish_facets(store, catalogue(spark, sf))
     rows = store.read("catalogue_facet").groupBy("content_type", "facet_type")
     return rows.agg(
@@ -81,118 +81,156 @@ def _(spark, sf):
     )
 
 
-# --- I16-I19: refresh queues ------------------------------------------------------
+# --- I16-I19: refreshes from every landed answer ----------------------------------
 
 FETCHED = """CASE WHEN q.mal_id IS NULL THEN 'missing_mal_id' WHEN q.mal_id % 13 = 0 THEN 'not_found' WHEN q.mal_id % 13 < 4 THEN 'temporary'
 WHEN q.mal_id % 13 < 6 THEN 'invalid_payload' WHEN q.mal_id % 31 = 0 OR q.mal_id % 37 = 0 THEN 'removed_adult' ELSE 'updated' END"""
-REFRESH_QUEUE = "SELECT * FROM {anime} ORDER BY last_attempt ASC NULLS FIRST, anime_id LIMIT 1000"
-SEASON_QUEUE = """SELECT * FROM {anime} WHERE season IS NULL AND mal_id > 0 AND upper(type) = 'TV' ORDER BY last_season_attempt ASC NULLS FIRST, anime_id LIMIT 1000"""
-STREAMING_QUEUE = """SELECT * FROM {anime} AS a WHERE NOT is_adult AND mal_id > 0 AND NOT EXISTS (SELECT 1 FROM {anime_streaming_service} AS l WHERE l.anime_id = a.anime_id)
-ORDER BY last_streaming_attempt ASC NULLS FIRST, anime_id LIMIT 2000"""
+# Every title has an answer, but for those that cannot be requested: the first 1,000
+# of the queue may be among these.
+REFRESH_QUEUE = """SELECT * FROM {anime} WHERE mal_id IS NOT NULL UNION ALL
+SELECT * FROM (SELECT * FROM {anime} ORDER BY last_attempt ASC NULLS FIRST, anime_id LIMIT 1000) WHERE mal_id IS NULL"""
 # Season of a refreshed title, as the merge leaves it.
 SEASON_AFTER = """COALESCE(p.season_named, CASE WHEN COALESCE(p.type, q.type) = 'TV' THEN COALESCE(p.season_aired, q.season) END)"""
 
 
 def _answers(spark, sf, kind):
-    return apply.detail_entries(landing.classify_fetch(_details(spark, sf, kind), kind), kind)
+    answers = apply.detail_entries(landing.classify_fetch(_details(spark, sf, kind), kind), kind)
+    return materialise(answers, "answers")
 
 
-def _summary(applied, stored, mark):
-    """Outcomes of a refresh, and how many stored rows carry the attempt time."""
-    marked = stored.filter(F.col(mark) == now())
-    tail = marked.agg(F.count("*").alias("n"), F.sum("mal_id").alias("ids")).select(
-        F.lit("marked").alias("outcome"), F.lit(False).alias("season_assigned"), "n", "ids"
-    )
-    rows = applied.titles.groupBy("outcome", "season_assigned")
-    return rows.agg(F.count("*").alias("n"), F.sum("mal_id").alias("ids")).unionByName(tail)
+def _anime_answered(spark, sf):
+    """Stored catalogue, titles to refresh and answers of the anime side."""
+    cat = store_of(spark, catalogue(spark, sf)).catalogue()
+    answers = _answers(spark, sf, "anime")
+    return cat, answered(cat.anime, answers, select_queue(cat, "anime_refresh", fv.REFRESH_LIMIT)), answers
+
+
+def _committed(applied: apply.Applied, keep: str = "outcomes"):
+    """Outcome rows, kept, and the store after the commit."""
+    titles = materialise(applied.titles, keep)
+    applied.catalogue.store.commit(applied.catalogue)
+    return titles, applied.catalogue.store
 
 
-def _refresh_sql(queue: str) -> str:
-    return f"""SELECT outcome, season_assigned, count(*) AS n, CAST(sum(mal_id) AS BIGINT) AS ids FROM (
-SELECT {FETCHED} AS outcome, {FETCHED} = 'updated' AND q.season IS NULL AND {SEASON_AFTER} IS NOT NULL AS season_assigned, q.mal_id
-FROM {{{queue}}} AS q LEFT JOIN {{pay}} AS p ON p.k = q.mal_id
-UNION ALL SELECT 'marked', FALSE, q.mal_id FROM {{{queue}}} AS q WHERE {FETCHED} <> 'removed_adult') GROUP BY ALL"""
+def _refresh_sql(mark: str) -> str:
+    """Outcome of each title; season and attempt of the row that is then stored."""
+    return f"""SELECT q.anime_id AS item_id, {FETCHED} AS outcome, {FETCHED} = 'updated' AND q.season IS NULL AND {SEASON_AFTER} IS NOT NULL AS season_assigned,
+CASE WHEN {FETCHED} = 'updated' THEN {SEASON_AFTER} WHEN {FETCHED} <> 'removed_adult' THEN q.season END AS season,
+CASE WHEN {FETCHED} = 'updated' AND p.title IS NOT NULL THEN p.title WHEN {FETCHED} <> 'removed_adult' THEN q.title END AS title,
+{FETCHED} <> 'removed_adult' AS {mark} FROM {{refresh_queue}} AS q LEFT JOIN {{pay}} AS p ON p.k = q.mal_id"""
+
+
+def _refreshed(applied: apply.Applied, mark: str):
+    titles, store = _committed(applied)
+    rows = store.read("anime").select(
+        F.col("anime_id").alias("item_id"), "season", "title", (F.col(mark) == now()).alias(mark)
+    )
+    out = titles.select("item_id", "outcome", "season_assigned").join(rows, "item_id", "left")
+    return out.withColumn(mark, F.coalesce(mark, F.lit(False)))
 
 
-@query("i16_anime_refresh", _refresh_sql("refresh_queue"), refresh_queue=REFRESH_QUEUE, **V)
+@query("i16_anime_refresh", _refresh_sql("last_attempt"), refresh_queue=REFRESH_QUEUE, **V)
 def _(spark, sf):
-    cat = catalogue(spark, sf)
-    queue = ranking.work_queue(cat.anime, "last_attempt", "anime_id", fv.REFRESH_LIMIT)
-    applied = apply.apply_refresh(cat, queue, _answers(spark, sf, "anime"), now())
-    return _summary(applied, applied.catalogue.anime, "last_attempt")
+    return _refreshed(apply.apply_refresh(*_anime_answered(spark, sf), now()), "last_attempt")
 
 
-@query("i18_season_backfill", _refresh_sql("season_queue"), season_queue=SEASON_QUEUE, **V)
+@query("i18_season_backfill", _refresh_sql("last_season_attempt"), refresh_queue=REFRESH_QUEUE, **V)
 def _(spark, sf):
-    cat = catalogue(spark, sf)
-    queue = ranking.season_queue(cat.anime, fv.REFRESH_LIMIT)
-    applied = apply.apply_season_backfill(cat, queue, _answers(spark, sf, "anime"), now())
-    return _summary(applied, applied.catalogue.anime, "last_season_attempt")
+    return _refreshed(apply.apply_season_backfill(*_anime_answered(spark, sf), now()), "last_season_attempt")
+
+
+PRINTED = {
+    "fetched": f"SELECT c_custkey AS mal_id, {PRINT_OUTCOME} AS outcome FROM {{customer}}",
+    "outcomes": """SELECT q.mal_id, CASE f.outcome WHEN 'ok' THEN CASE WHEN q.mal_id % 31 = 0 OR q.mal_id % 59 = 0 THEN 'removed_adult' ELSE 'updated' END
+WHEN 'unsupported_type' THEN 'removed_unsupported' ELSE f.outcome END AS outcome FROM {manga} AS q JOIN {fetched} AS f ON f.mal_id = q.mal_id""",
+}
 
 
 @query(
     "i17_print_refresh",
-    f"""SELECT outcome, FALSE AS season_assigned, count(*) AS n, CAST(sum(mal_id) AS BIGINT) AS ids FROM (SELECT outcome, mal_id FROM {{outcomes}}
-UNION ALL SELECT 'marked', mal_id FROM {{outcomes}} WHERE NOT starts_with(outcome, 'removed')) GROUP BY outcome""",
-    print_queue="SELECT * FROM {manga} ORDER BY last_attempt ASC NULLS FIRST, manga_id LIMIT 1000",
-    fetched=f"SELECT c_custkey AS mal_id, {PRINT_OUTCOME} AS outcome FROM {{customer}}",
-    outcomes="""SELECT q.mal_id, CASE f.outcome WHEN 'ok' THEN CASE WHEN q.mal_id % 31 = 0 OR q.mal_id % 59 = 0 THEN 'removed_adult' ELSE 'updated' END
-WHEN 'unsupported_type' THEN 'removed_unsupported' ELSE f.outcome END AS outcome FROM {print_queue} AS q JOIN {fetched} AS f ON f.mal_id = q.mal_id""",
+    "SELECT mal_id AS item_id, outcome, NOT starts_with(outcome, 'removed') AS attempted FROM {outcomes}",
+    **PRINTED,
 )
 def _(spark, sf):
-    cat = catalogue(spark, sf)
-    queue = ranking.work_queue(cat.manga, "last_attempt", "manga_id", fv.REFRESH_LIMIT)
-    applied = apply.apply_print_refresh(cat, queue, _answers(spark, sf, "manga"), now())
-    return _summary(applied, applied.catalogue.manga, "last_attempt")
+    cat = store_of(spark, catalogue(spark, sf)).catalogue()
+    answers = _answers(spark, sf, "manga")
+    chosen = answered(cat.manga, answers, select_queue(cat, "print_refresh", fv.REFRESH_LIMIT))
+    titles, store = _committed(apply.apply_print_refresh(cat, chosen, answers, now()))
+    rows = store.read("manga").select(F.col("manga_id").alias("item_id"), (F.col("last_attempt") == now()).alias("attempted"))
+    out = titles.select("item_id", "outcome").join(rows, "item_id", "left")
+    return out.withColumn("attempted", F.coalesce("attempted", F.lit(False)))
+
+
+STREAMED = f"""SELECT q.anime_id AS item_id, q.mal_id, {FETCHED} AS fetched FROM {{refresh_queue}} AS q"""
 
 
 @query(
     "i19_streaming_backfill",
-    f"""SELECT outcome, payload, count(*) AS n, CAST(sum(mal_id) AS BIGINT) AS ids FROM (SELECT q.mal_id,
-CASE WHEN {FETCHED} = 'updated' AND q.mal_id % 5 < 3 THEN 'checked' ELSE {FETCHED} END AS outcome,
-CASE WHEN {FETCHED} = 'updated' THEN CASE q.mal_id % 5 WHEN 0 THEN 'missing' WHEN 2 THEN 'empty' ELSE 'given' END END AS payload
-FROM {{streaming_queue}} AS q) GROUP BY outcome, payload""",
-    streaming_queue=STREAMING_QUEUE,
+    """SELECT s.item_id, s.fetched AS outcome, CASE WHEN s.fetched = 'updated' THEN CASE s.mal_id % 5 WHEN 0 THEN 'missing' WHEN 2 THEN 'empty' ELSE 'given' END END AS payload
+FROM {streamed} AS s""",
+    refresh_queue=REFRESH_QUEUE,
+    streamed=STREAMED,
 )
 def _(spark, sf):
-    cat = catalogue(spark, sf)
-    queue = ranking.streaming_queue(cat.anime, cat.anime_streaming_service, fv.STREAMING_LIMIT)
-    applied = apply.apply_streaming_backfill(cat, queue, _answers(spark, sf, "anime"), now())
-    rows = applied.titles.groupBy("outcome", "payload")
-    return rows.agg(F.count("*").alias("n"), F.sum("mal_id").alias("ids"))
+    titles, _ = _committed(apply.apply_streaming_backfill(*_anime_answered(spark, sf), now()))
+    # Whether a link changed is checked by i10; here both count as handled.
+    outcome = F.when(F.col("outcome") == "checked", "updated").otherwise(F.col("outcome"))
+    return titles.select("item_id", outcome.alias("outcome"), "payload")
 
 
 # --- J1, J2, I20 ----------------------------------------------------------------------
 
 MOVIE_SCAN = TYPE_SCAN.format("movie")
+MYSTERY_SCAN = "mystery:1"
 ARRIVED = "SELECT * FROM {pay} WHERE mal_id IS NOT NULL AND page % 11 NOT IN (1, 2, 4, 7, 8, 9, 10)"
 MOVIES = "SELECT * FROM {arrived} WHERE NOT is_adult AND k % 8 IN (0, 1, 4, 6)"
 INGESTED = """SELECT COALESCE(a.anime_id, -p.k) AS anime_id, COALESCE(p.title, a.title, 'MAL anime ' || p.k) AS title,
 CASE WHEN p.k IS NULL THEN a.type ELSE 'MOVIE' END AS type, CASE WHEN p.k IS NULL THEN a.season ELSE p.season_named END AS season
 FROM (SELECT * FROM {anime} AS a WHERE NOT EXISTS (SELECT 1 FROM {arrived} AS r WHERE r.is_adult AND r.mal_id = a.mal_id)) AS a
 FULL JOIN {movies} AS p ON p.mal_id = a.mal_id"""
-CURSOR = """SELECT CAST(CASE WHEN m % 11 IN (1, 2, 4, 7, 9, 10) THEN m WHEN m % 11 = 6 THEN 1 ELSE m + 1 END AS INT) AS next_page FROM (SELECT max(page) AS m FROM {pay})"""
-J = {**V, "arrived": ARRIVED, "movies": MOVIES, "ingested": INGESTED, "cursor": CURSOR}
+# Pages of the movie scan that are refused, and why.
+REFUSED = """SELECT page, CASE page % 11 WHEN 7 THEN 'data is not a list' WHEN 9 THEN 'not an object' WHEN 10 THEN 'HTTP 503' ELSE 'invalid pagination' END AS reason
+FROM (SELECT DISTINCT page FROM {pay}) WHERE page % 11 IN (1, 2, 4, 7, 9, 10)"""
+# The first refused page is asked for again, whatever came after it.
+CURSOR = """SELECT CAST(COALESCE((SELECT min(page) FROM {refused}), CASE WHEN m % 11 = 6 THEN 1 ELSE m + 1 END) AS INT) AS next_page FROM (SELECT max(page) AS m FROM {pay})"""
+J = {**V, "arrived": ARRIVED, "movies": MOVIES, "ingested": INGESTED, "refused": REFUSED, "cursor": CURSOR}
 
 
 def land_pages(spark, sf, root):
+    """Pages of one scan, and some under a key that no scan has."""
     pages = payloads.landed(payloads.anime_bodies(spark, sf), MOVIE_SCAN)
-    pages.write.parquet(root + "/pages")
+    odd = pages.filter("page % 11 = 0").withColumn("scan_key", F.lit(MYSTERY_SCAN))
+    pages.unionByName(odd).write.parquet(root + "/pages")
 
 
-@query("j1_page_stream", "SELECT i.*, c.next_page FROM {ingested} AS i, {cursor} AS c", **J)
-def _(spark, sf):
+def _ingested(spark, sf) -> Store:
     root = folder(spark)
     land_pages(spark, sf, root)
     store = store_of(spark, catalogue(spark, sf))
     ingest_pages_stream(spark, root + "/pages", store, root + "/checkpoint").awaitTermination()
-    cursor = store.read("sync_state").filter(F.col("key") == MOVIE_SCAN).select("next_page").scalar()
+    return store
+
+
+@query("j1_page_stream", "SELECT i.*, c.next_page FROM {ingested} AS i, {cursor} AS c", **J)
+def _(spark, sf):
+    store = _ingested(spark, sf)
+    cursor = store.find("sync_state", [MOVIE_SCAN]).select("next_page").scalar()
     rows = store.read("anime").select("anime_id", "title", "type", "season")
     return rows.withColumn("next_page", cursor)
 
 
-# The scheduled run on the sample: restricted titles go first, one page scan and
-# one set of print details have landed, every other request is still open.
+@query(
+    "j1_refused_pages",
+    f"""SELECT '{MOVIE_SCAN}' AS scan_key, page, reason FROM {{refused}}
+UNION ALL SELECT DISTINCT '{MYSTERY_SCAN}', page, '{UNKNOWN_SCAN}' FROM {{pay}} WHERE page % 11 = 0""",
+    **J,
+)
+def _(spark, sf):
+    return _ingested(spark, sf).read("refused_pages").select("scan_key", "page", "reason")
+
+
+# The scheduled run on the sample: restricted titles go first, then one page scan
+# and the details of every title, for each of the four queues, are applied.
 RUN = {
     **V,
     "base_anime": VIEWS["anime"],
@@ -201,32 +239,71 @@ RUN = {
     "manga": "SELECT * FROM {base_manga} WHERE NOT is_adult AND manga_id % 41 <> 0",
     "arrived": ARRIVED,
     "movies": MOVIES,
-    "stored": """SELECT COALESCE(a.anime_id, -p.k) AS anime_id, COALESCE(a.mal_id, p.k) AS mal_id, a.last_attempt,
-CASE WHEN p.k IS NULL THEN a.type ELSE 'MOVIE' END AS type, CASE WHEN p.k IS NULL THEN a.season ELSE p.season_named END AS season,
-CASE WHEN p.k % 5 IN (3, 4) THEN TRUE WHEN p.k % 5 = 2 THEN FALSE ELSE EXISTS (SELECT 1 FROM {anime_streaming_service} AS l WHERE l.anime_id = a.anime_id) END AS linked
+    "scanned": """SELECT 'inserted' AS outcome, k FROM {movies} WHERE mal_id NOT IN (SELECT mal_id FROM {anime} WHERE mal_id IS NOT NULL)
+UNION ALL SELECT 'updated', k FROM {movies} WHERE mal_id IN (SELECT mal_id FROM {anime})
+UNION ALL SELECT 'removed', k FROM {arrived} WHERE is_adult AND mal_id IN (SELECT mal_id FROM {anime})""",
+    "stored": """SELECT COALESCE(a.anime_id, -p.k) AS anime_id, COALESCE(a.mal_id, p.k) AS mal_id, a.last_attempt
 FROM (SELECT * FROM {anime} AS a WHERE NOT EXISTS (SELECT 1 FROM {arrived} AS r WHERE r.is_adult AND r.mal_id = a.mal_id)) AS a
 FULL JOIN {movies} AS p ON p.mal_id = a.mal_id""",
-    "waiting": "SELECT anime_id FROM {stored} WHERE season IS NULL AND mal_id > 0 AND type = 'TV' ORDER BY anime_id",
-    "refreshed": """SELECT mal_id FROM {stored} AS s ORDER BY CASE WHEN anime_id IN (SELECT anime_id FROM {waiting}) THEN TIMESTAMP '2024-06-01' ELSE last_attempt END ASC NULLS FIRST, anime_id LIMIT 1000""",
-    "printed": "SELECT mal_id FROM {manga} ORDER BY last_attempt ASC NULLS FIRST, manga_id LIMIT 1000",
-    "fetched": f"SELECT c_custkey AS mal_id, {PRINT_OUTCOME} AS outcome FROM {{customer}}",
-    "outcomes": """SELECT 'season_backfill' AS queue, 'temporary' AS outcome FROM {waiting}
-UNION ALL SELECT 'anime_refresh', CASE WHEN mal_id IS NULL THEN 'missing_mal_id' ELSE 'temporary' END FROM {refreshed}
-UNION ALL (SELECT 'streaming_backfill', 'temporary' FROM {stored} WHERE mal_id > 0 AND NOT linked LIMIT 2000)
-UNION ALL SELECT 'print_refresh', CASE f.outcome WHEN 'ok' THEN CASE WHEN q.mal_id % 59 = 0 THEN 'removed_adult' ELSE 'updated' END
-  WHEN 'unsupported_type' THEN 'removed_unsupported' ELSE f.outcome END FROM {printed} AS q JOIN {fetched} AS f ON f.mal_id = q.mal_id""",
+    "refreshed": f"SELECT q.anime_id, q.mal_id, q.last_attempt, {FETCHED} AS outcome FROM {{stored}} AS q",
+    "left_over": "SELECT * FROM {refreshed} WHERE outcome <> 'removed_adult'",
+    "waiting": """SELECT * FROM {left_over} ORDER BY CASE WHEN mal_id IS NULL THEN last_attempt ELSE TIMESTAMP '2024-06-01' END ASC NULLS FIRST, anime_id LIMIT 1000""",
+    **PRINTED,
+    "outcomes": """SELECT 'season_backfill' AS queue, outcome FROM {refreshed} WHERE mal_id IS NOT NULL
+UNION ALL SELECT 'anime_refresh', outcome FROM {left_over} WHERE mal_id IS NOT NULL
+UNION ALL SELECT 'anime_refresh', outcome FROM {waiting} WHERE mal_id IS NULL
+UNION ALL SELECT 'streaming_backfill', CASE outcome WHEN 'updated' THEN 'checked' ELSE outcome END FROM {left_over} WHERE mal_id IS NOT NULL
+UNION ALL SELECT 'print_refresh', outcome FROM {print_outcomes}""",
+    "print_outcomes": PRINTED["outcomes"],
 }
+_RUNS: dict[tuple[str, str], tuple] = {}
+
+
+def _scheduled(spark, sf):
+    """The run's report; the queries on it share one run of a session."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _RUNS:
+        root = folder(spark)
+        land_pages(spark, sf, root)
+        anime, printed = _details(spark, sf, "anime"), _details(spark, sf, "manga")
+        kinds = F.explode(F.array(*[F.lit(q) for q in ("season_backfill", "anime_refresh", "streaming_backfill")]))
+        details = anime.withColumn("kind", kinds).unionByName(printed.withColumn("kind", F.lit("print_refresh")))
+        details.write.parquet(root + "/details")
+        store = store_of(spark, catalogue(spark, sf))
+        _RUNS[key] = run_scheduled(spark, store, root + "/pages", root + "/checkpoint", root + "/details", now())
+    return _RUNS[key]
 
 
 @query("i20_scheduled_run", HEALTH_SQL, **RUN)
 def _(spark, sf):
-    root = folder(spark)
-    land_pages(spark, sf, root)
-    details = _details(spark, sf, "manga").withColumn("kind", F.lit("print_refresh"))
-    details.write.parquet(root + "/details")
-    store = store_of(spark, catalogue(spark, sf))
-    report = run_scheduled(spark, store, root + "/pages", root + "/checkpoint", root + "/details", now())
-    return report.health
+    return _scheduled(spark, sf).health
+
+
+@query(
+    "i20_scan_summary",
+    f"""SELECT provider_type, CAST(sum(done) AS BIGINT) AS pages_completed, CAST(sum(failed) AS BIGINT) AS pages_failed, CAST(sum(inserted) AS BIGINT) AS inserted,
+CAST(sum(updated) AS BIGINT) AS updated, CAST(sum(removed) AS BIGINT) AS removed FROM (
+SELECT 'movie' AS provider_type, 0 AS done, 0 AS failed, CAST(outcome = 'inserted' AS INT) AS inserted, CAST(outcome = 'updated' AS INT) AS updated, CAST(outcome = 'removed' AS INT) AS removed FROM {{scanned}}
+UNION ALL SELECT 'movie', CAST(page NOT IN (SELECT page FROM {{refused}}) AS INT), CAST(page IN (SELECT page FROM {{refused}}) AS INT), 0, 0, 0 FROM (SELECT DISTINCT page FROM {{pay}})
+UNION ALL SELECT '{UNKNOWN_SCAN}', 0, 1, 0, 0, 0 FROM (SELECT DISTINCT page FROM {{pay}}) WHERE page % 11 = 0) GROUP BY GROUPING SETS ((provider_type), ())""",
+    refused=REFUSED,
+    **RUN,
+)
+def _(spark, sf):
+    return _scheduled(spark, sf).scans
+
+
+@query(
+    "i20_removed",
+    """SELECT (SELECT count(*) FROM {base_anime}) - (SELECT count(*) FROM {anime}) + (SELECT count(*) FROM {scanned} WHERE outcome = 'removed')
++ (SELECT count(*) FROM {refreshed} WHERE outcome = 'removed_adult') AS removed_anime,
+(SELECT count(*) FROM {base_manga}) - (SELECT count(*) FROM {manga}) + (SELECT count(*) FROM {print_outcomes} WHERE outcome = 'removed_adult') AS removed_print""",
+    **RUN,
+)
+def _(spark, sf):
+    report = _scheduled(spark, sf)
+    counts = [(report.removed_anime, report.removed_print)]
+    return spark.createDataFrame(counts, "removed_anime bigint, removed_print bigint")
 
 
 def event_visits(spark, sf):
@@ -246,24 +323,24 @@ VISITS = """SELECT visitor_token_hash, CAST(visit_date AS VARCHAR) AS visit_date
 @query("j2_visit_stream", VISITS)
 def _(spark, sf):
     root = folder(spark)
-    store = Snapshots(spark, root + "/store")
+    store = Store(spark, root + "/store")
     visit_stream(event_visits(spark, sf), store, root + "/checkpoint").awaitTermination()
-    return store.read("site_visit").select(
+    return stored_visits(store).select(
         "visitor_token_hash", F.col("visit_date").cast("string"), "route", "visit_count"
     )
 
 
-@query(
-    "j2_visit_windows",
-    # Append mode emits a day once the watermark, one day behind the last event, has passed its end.
-    VISITS + " WHERE visit_date + 1 <= (SELECT max(ts) FROM {events}) - INTERVAL 1 DAY",
-)
+@query("j2_visit_windows", VISITS)
 def _(spark, sf):
     root = folder(spark)
     rows = visit_windows(event_visits(spark, sf)).select(
         "visitor_token_hash", F.col("visit_date").cast("string").alias("visit_date"), "route", "visit_count"
     )
-    sink = rows.writeStream.format("parquet").option("path", root + "/days")
+
+    def replace_all(batch, batch_id):
+        batch.write.mode("overwrite").parquet(root + "/days")
+
+    sink = rows.writeStream.outputMode("complete").foreachBatch(replace_all)
     sink.option("checkpointLocation", root + "/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(rows.schema).parquet(root + "/days")
 

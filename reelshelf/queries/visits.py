@@ -127,7 +127,7 @@ def _(spark, sf):
 
 OUTCOMES_SQL = """SELECT CASE o_orderstatus WHEN 'F' THEN 'season_backfill' WHEN 'O' THEN 'anime_refresh' ELSE 'print_refresh' END AS queue,
   CASE WHEN o_orderstatus = 'F' AND o_orderkey % 10 < 8 THEN 'temporary' WHEN o_orderkey % 10 < 4 THEN 'updated' WHEN o_orderkey % 10 = 4 THEN 'removed_adult'
-    WHEN o_orderkey % 10 = 5 THEN 'not_found' WHEN o_orderkey % 10 = 6 THEN 'invalid_payload' WHEN o_orderkey % 10 = 7 THEN 'removed_unsupported' ELSE 'missing_mal_id' END AS outcome
+    WHEN o_orderkey % 10 = 5 THEN 'not_found' WHEN o_orderkey % 10 = 6 THEN 'invalid_payload' WHEN o_orderkey % 10 = 7 THEN 'removed_unsupported' WHEN o_orderkey % 10 = 8 THEN 'unexpected' ELSE 'missing_mal_id' END AS outcome
 FROM {orders}"""
 
 
@@ -136,7 +136,7 @@ selected >= 100 AND (updated + removed_adult + removed_unsupported) / selected <
 count(*) FILTER (WHERE outcome = 'updated') AS updated, count(*) FILTER (WHERE outcome = 'removed_adult') AS removed_adult,
 count(*) FILTER (WHERE outcome = 'removed_unsupported') AS removed_unsupported, count(*) FILTER (WHERE outcome = 'missing_mal_id') AS missing_mal_id,
 count(*) FILTER (WHERE outcome = 'not_found') AS not_found, count(*) FILTER (WHERE outcome = 'temporary') AS temporary,
-count(*) FILTER (WHERE outcome = 'invalid_payload') AS invalid_payload FROM {outcomes} GROUP BY queue)"""
+count(*) FILTER (WHERE outcome = 'invalid_payload') AS invalid_payload, count(*) FILTER (WHERE outcome = 'unexpected') AS unexpected FROM {outcomes} GROUP BY queue)"""
 
 
 @query(
@@ -166,24 +166,49 @@ def _(spark, sf):
 STATE_SQL = """SELECT 'scan ' || CAST(s_suppkey AS VARCHAR(20)) AS key, CAST(1 + s_suppkey % 40 AS INT) AS next_page,
   TIMESTAMP '2020-01-01 00:00:00' AS last_attempt_at, CASE WHEN s_suppkey % 2 = 0 THEN TIMESTAMP '2019-01-01 00:00:00' END AS last_completed_at,
   CASE WHEN s_suppkey % 3 = 0 THEN 'old' END AS last_error FROM {supplier}"""
-RESULTS_SQL = """SELECT 'scan ' || CAST(o_custkey % 120 AS VARCHAR(20)) AS scan_key, CAST(o_orderkey AS INT) AS page, o_orderkey % 5 <> 0 AS has_next_page,
-  CAST(o_orderdate AS TIMESTAMP) AS seen_at, CASE WHEN o_orderkey % 4 = 0 THEN repeat('e', 600) END AS error FROM {orders}"""
+RESULTS_SQL = """SELECT 'scan ' || CAST(o_custkey % 120 AS VARCHAR(20)) AS scan_key, CAST(o_orderkey % 40 AS INT) AS page, o_orderkey % 5 <> 0 AS has_next_page,
+  CAST(o_orderdate AS TIMESTAMP) AS seen_at, CASE WHEN o_orderkey % 4 = 0 AND o_custkey % 3 = 0 THEN repeat('e', 600) END AS error FROM {orders}"""
+# Pages that earlier batches left refused: some land again in this one.
+OPEN_SQL = """SELECT 'scan ' || CAST(c_custkey % 120 AS VARCHAR(20)) AS scan_key, CAST(c_custkey % 50 AS INT) AS page, 'earlier' AS reason,
+  TIMESTAMP '1994-01-01 00:00:00' AS seen_at FROM {customer} WHERE c_custkey <= 600 AND c_custkey % 4 = 0"""
+# The latest response of each page decides whether it is refused.
+LATEST_SQL = """SELECT scan_key, page, max(CASE WHEN seen_at = top THEN error END) AS reason, max(seen_at) AS seen_at FROM (
+  SELECT *, max(seen_at) OVER (PARTITION BY scan_key, page) AS top FROM (SELECT scan_key, page, error, seen_at FROM {results}
+  UNION ALL SELECT scan_key, page, reason, seen_at FROM {open_pages})) GROUP BY scan_key, page"""
+A8 = {"results": RESULTS_SQL, "open_pages": OPEN_SQL, "latest": LATEST_SQL, "refused": "SELECT * FROM {latest} WHERE reason IS NOT NULL"}
+
+
+def _refused(spark, sf):
+    results = spark.sql(RESULTS_SQL, orders=source(spark, sf, "orders"))
+    refused = health.refused_pages(spark.sql(OPEN_SQL, customer=source(spark, sf, "customer")), results)
+    return results, refused
+
+
+@query(
+    "a8_refused_pages",
+    "SELECT scan_key, page, reason, strftime(seen_at, '%Y-%m-%d') AS seen_at FROM {refused}",
+    **A8,
+)
+def _(spark, sf):
+    _, refused = _refused(spark, sf)
+    return refused.select("scan_key", "page", "reason", F.date_format("seen_at", "yyyy-MM-dd").alias("seen_at"))
 
 
 @query(
     "a8_advance_state",
     """SELECT COALESCE(s.key, l.scan_key) AS key,
-CASE WHEN l.scan_key IS NULL THEN s.next_page WHEN l.error IS NOT NULL THEN l.page WHEN l.has_next_page THEN l.page + 1 ELSE 1 END AS next_page,
-strftime(COALESCE(l.seen_at, s.last_attempt_at), '%Y-%m-%d') AS last_attempt_at, strftime(COALESCE(l.done, s.last_completed_at), '%Y-%m-%d') AS last_completed_at,
-CASE WHEN l.scan_key IS NULL THEN s.last_error ELSE left(l.error, 500) END AS last_error
+CASE WHEN l.scan_key IS NULL THEN s.next_page WHEN p.page IS NOT NULL THEN p.page WHEN l.has_next_page THEN l.page + 1 ELSE 1 END AS next_page,
+strftime(COALESCE(l.seen_at, s.last_attempt_at), '%Y-%m-%d') AS last_attempt_at,
+strftime(COALESCE(CASE WHEN p.page IS NULL THEN l.done END, s.last_completed_at), '%Y-%m-%d') AS last_completed_at,
+CASE WHEN l.scan_key IS NULL THEN s.last_error ELSE left(p.reason, 500) END AS last_error
 FROM {state} AS s FULL JOIN (SELECT * FROM (SELECT *, max(CASE WHEN error IS NULL AND NOT has_next_page THEN seen_at END) OVER (PARTITION BY scan_key) AS done,
-row_number() OVER (PARTITION BY scan_key ORDER BY seen_at DESC, page DESC) AS rn FROM {results}) WHERE rn = 1) AS l ON l.scan_key = s.key""",
+row_number() OVER (PARTITION BY scan_key ORDER BY seen_at DESC, page DESC, has_next_page DESC) AS rn FROM {results}) WHERE rn = 1) AS l ON l.scan_key = s.key
+LEFT JOIN (SELECT scan_key, page, reason FROM {refused} AS r WHERE page = (SELECT min(page) FROM {refused} AS o WHERE o.scan_key = r.scan_key)) AS p ON p.scan_key = l.scan_key""",
     state=STATE_SQL,
-    results=RESULTS_SQL,
+    **A8,
 )
 def _(spark, sf):
     state = spark.sql(STATE_SQL, supplier=source(spark, sf, "supplier"))
-    results = spark.sql(RESULTS_SQL, orders=source(spark, sf, "orders"))
-    out = health.advance_state(state, results)
+    out = health.advance_state(state, *_refused(spark, sf))
     days = [F.date_format(c, "yyyy-MM-dd").alias(c) for c in ("last_attempt_at", "last_completed_at")]
     return out.select("key", "next_page", *days, "last_error")

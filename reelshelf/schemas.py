@@ -31,6 +31,11 @@ DDL = {
     "catalogue_facet": "content_type string, facet_type string, value string",
     "sync_state": "key string, next_page int, last_attempt_at timestamp, "
     "last_completed_at timestamp, last_error string",
+    "refused_pages": "scan_key string, page int, reason string, seen_at timestamp",
+    "scan_titles": "provider_type string, medium string, item_id bigint, outcome string",
+    "scan_links": "entity string, item_id bigint, created bigint, removed bigint, changed bigint, "
+    "malformed bigint, phase string",
+    "scan_pages": "provider_type string, pages_completed bigint, pages_failed bigint",
     "site_visit": "visitor_token_hash string, visit_date date, route string, "
     "visit_count bigint, first_visited_at timestamp, last_visited_at timestamp",
     "landed_pages": "scan_key string, page int, status_code int, fetched_at timestamp, body string",

@@ -3,19 +3,20 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from reelshelf.functions import fixed_values as fv
-from reelshelf.operators import apply, health, parsing
+from reelshelf.operators import apply, gate, health, parsing
 from reelshelf.plans.catalogue import Catalogue
 from reelshelf.plans.spec import type_value
 from reelshelf.schemas import schema
 from reelshelf.session import materialise
-from reelshelf.sources.landing import check_pages, entries, read_pages
-from reelshelf.sources.snapshots import Snapshots
+from reelshelf.sources.landing import check_pages, entries
+from reelshelf.sources.store import Store
 
 # --- Fixed values: scan keys --------------------------------------------------
 TV_SCAN = "bulk:tv-catalogue-seasons:v2"
@@ -25,119 +26,174 @@ SEASON_SCANS = ("current", "upcoming")
 
 @dataclass(frozen=True)
 class Scan:
-    """What one scan key asks of its pages."""
+    """What the pages of one kind of scan mean. Scans are applied in ``order``."""
 
-    key: str
     kind: str
     order: int
     label: str
+    key: str | None = None
     discover_missing: bool = True
-    year: int | None = None
-    season: str | None = None
     expected: str | None = None
 
 
-def scan_of(key: str) -> Scan | None:
-    """Meaning of a scan key; NULL for an unknown one."""
-    head, _, rest = key.partition(":")
-    if head in SEASON_SCANS:
-        year, _, season = rest.partition(":")
-        if not year.isdigit() or season not in fv.SEASONS:
-            return None
-        return Scan(key, "season", SEASON_SCANS.index(head), head, True, int(year), season)
-    if key == TV_SCAN:
-        return Scan(key, "anime", 2, "tv", discover_missing=False, expected="TV")
-    for i, name in enumerate(fv.SUPPLEMENTAL_TYPES):
-        if key == TYPE_SCAN.format(name):
-            return Scan(key, "anime", 3 + i, name, expected=type_value(name))
-    for i, (name, content_type) in enumerate(fv.PRINT_TYPES.items()):
-        if key == TYPE_SCAN.format(name):
-            return Scan(key, "manga", 10 + i, name, expected=content_type)
-    return None
-
-
-def page_results(valid: DataFrame, rejected: DataFrame, scan: Scan) -> DataFrame:
-    """Cursor input of A8: one row per page, with an error when it was refused."""
-    good = valid.select(
-        "scan_key",
-        "page",
-        "has_next_page",
-        F.col("fetched_at").alias("seen_at"),
-        F.lit(None).cast("string").alias("error"),
+# Season scans have a key for each season, all others have one key.
+SCANS = (
+    *(Scan("season", i, name) for i, name in enumerate(SEASON_SCANS)),
+    Scan("anime", 2, "tv", TV_SCAN, discover_missing=False, expected="TV"),
+    *(
+        Scan("anime", 3 + i, name, TYPE_SCAN.format(name), expected=type_value(name))
+        for i, name in enumerate(fv.SUPPLEMENTAL_TYPES)
+    ),
+    *(
+        Scan("manga", 10 + i, name, TYPE_SCAN.format(name), expected=content_type)
+        for i, (name, content_type) in enumerate(fv.PRINT_TYPES.items())
+    ),
+)
+UNKNOWN_SCAN = "unknown scan"
+
+
+def scan_columns(key: Column) -> dict[str, Column]:
+    """Meaning of a scan key: its ``scan`` (order; NULL for an unknown key), year and season."""
+    parts = F.split(key, ":")
+    seasonal = F.coalesce(
+        (F.size(parts) == 3) & parts[1].rlike("^[0-9]{1,9}$") & parts[2].isin(*fv.SEASONS), F.lit(False)
     )
-    if scan.kind == "manga":
-        # The provider serves no page beyond this one, so the scan starts over.
-        capped = F.col("has_next_page") & (F.col("page") >= fv.PROVIDER_LAST_PAGE)
-        text = f"{scan.label} catalogue exceeds provider page limit {fv.PROVIDER_LAST_PAGE}"
-        good = good.withColumn("error", F.when(capped, text)).withColumn(
-            "page", F.when(capped, 1).otherwise(F.col("page"))
-        )
+    order = F.lit(None).cast("int")
+    for scan in SCANS:
+        matches = (parts[0] == scan.label) & seasonal if scan.kind == "season" else key == scan.key
+        order = F.when(matches, scan.order).otherwise(order)
+    return {
+        "scan": order,
+        "scan_year": F.when(seasonal, parts[1].try_cast("int")),
+        "scan_season": F.when(seasonal, parts[2]),
+    }
+
+
+def checked_pages(pages: DataFrame) -> DataFrame:
+    """A1 for pages of every scan: verdict, parsed body and scan; each page is parsed once."""
+    named = pages.withColumns(scan_columns(F.col("scan_key")))
+    parts = []
+    for kind in ("season", "anime", "manga"):
+        orders = [s.order for s in SCANS if s.kind == kind]
+        parts.append(check_pages(named.filter(F.col("scan").isin(orders)), kind))
+    unknown = named.filter(F.col("scan").isNull())
+    refused = unknown.select(
+        "scan_key", "page", "status_code", "fetched_at", F.lit(UNKNOWN_SCAN).alias("reason")
+    )
+    out = reduce(DataFrame.unionByName, parts).unionByName(refused, allowMissingColumns=True)
+    return out.withColumns(scan_columns(F.col("scan_key")))
+
+
+def page_results(checked: DataFrame, last_page: int | None = None) -> DataFrame:
+    """Cursor input of A8: one row per page of a known scan, with an error when it was refused.
+
+    ``last_page`` is the last page of print scans that the provider serves, if it
+    has such a limit: a scan that reaches it starts over.
+    """
+    vanished = F.col("reason").isNotNull() & (F.col("status_code") == 404) & (F.col("page") > 1)
+    error, page = F.col("reason"), F.col("page")
+    if last_page is not None:
+        labels = F.create_map(*[F.lit(x) for s in SCANS for x in (s.order, s.label)])
+        printed = F.col("scan").isin([s.order for s in SCANS if s.kind == "manga"])
+        capped = printed & error.isNull() & F.col("has_next_page") & (page >= last_page)
+        text = F.concat(labels[F.col("scan")], F.lit(f" catalogue exceeds provider page limit {last_page}"))
+        error, page = F.when(capped, text).otherwise(error), F.when(capped, 1).otherwise(page)
     # A page that no longer exists ends the scan; page 1 has to be there.
-    vanished = (F.col("status_code") == 404) & (F.col("page") > 1)
-    bad = rejected.select(
+    return checked.filter("scan IS NOT NULL").select(
         "scan_key",
-        F.when(vanished, 1).otherwise(F.col("page")).alias("page"),
-        F.lit(True).alias("has_next_page"),
+        F.when(vanished, 1).otherwise(page).cast("int").alias("page"),
+        F.coalesce("has_next_page", F.lit(True)).alias("has_next_page"),
         F.col("fetched_at").alias("seen_at"),
-        F.col("reason").alias("error"),
+        error.alias("error"),
     )
-    return good.unionByName(bad)
 
 
-def apply_scan(cat: Catalogue, landed: DataFrame, scan: Scan, now: Column):
-    """A1 and A4 for the pages of one scan: (applied, page results)."""
-    checked = check_pages(landed, scan.kind)
-    results = page_results(*read_pages(landed, scan.kind), scan)
+def apply_scan(cat: Catalogue, checked: DataFrame, scan: Scan, now: Column) -> apply.Applied:
+    """A4 for the accepted pages of one kind of scan.
+
+    Pages of several seasons are applied together, ordered by key and page.
+    """
+    found = entries(checked)
+    if scan.kind == "season":
+        meaning = scan_columns(F.col("scan_key"))
+        found = found.withColumn("page", F.struct("scan_key", "page")).withColumns(
+            {"scan_year": meaning["scan_year"], "scan_season": meaning["scan_season"]}
+        )
     clean = parsing.clean_manga if scan.kind == "manga" else parsing.clean_anime
-    # Parsed once; gate, counters and link parsing read the typed copy.
-    rows = materialise(clean(entries(checked)), "clean")
+    # Cleaned once; gate, counters and link parsing read the typed copy.
+    rows = materialise(clean(found), "clean")
     if scan.kind == "manga":
-        return apply.apply_manga_page(cat, rows, now, expected=scan.expected), results
-    gates = {"year": scan.year, "season": scan.season}
-    if scan.expected:
-        gates |= {"allowed_types": (scan.expected,), "default_type": scan.expected}
-    return (
-        apply.apply_anime_page(cat, rows, now, discover_missing=scan.discover_missing, **gates),
-        results,
-    )
-
-
-def ingest_batch(store: Snapshots, pages: DataFrame, batch_id: int, now: Column | None = None) -> None:
-    """Apply one batch of pages, scan by scan, and move every cursor.
-
-    Catalogue, cursors and batch mark of the last scan are one commit; a batch
-    that is replayed after a failure starts from the last stored version and is
-    skipped when its mark is already there. A scan that was stored before the
-    failure is applied again, which changes nothing.
+        return apply.apply_manga_page(cat, rows, now, expected=scan.expected)
+    gates = {}
+    if scan.kind == "season":
+        rows = gate.prepare_season(rows, F.col("scan_year"), F.col("scan_season")).drop("scan_year", "scan_season")
+    else:
+        gates = {"allowed_types": (scan.expected,), "default_type": scan.expected}
+    return apply.apply_anime_page(cat, rows, now, discover_missing=scan.discover_missing, **gates)
+
+
+def ingest_batch(
+    store: Store, pages: DataFrame, batch_id: int, now: Column | None = None, last_page: int | None = None
+) -> None:
+    """Apply one batch of pages, one kind of scan after another, and move every cursor.
+
+    Pages that are refused, those of an unknown scan among them, are kept in
+    ``refused_pages`` until they land again and are accepted. What the batch did
+    to titles and links is kept under its id for the report. The mark of the batch
+    comes last; a batch that failed half-way is applied again as a whole, which
+    leaves the titles as they are.
     """
     if batch_id <= store.batch("pages"):
         return
     now = F.current_timestamp() if now is None else now
-    pages = materialise(pages, "pages")
-    # One row per scan key, and only as many as there are scans.
-    keys = [r.scan_key for r in pages.select("scan_key").distinct().limit(1000).collect()]
-    scans = sorted(filter(None, map(scan_of, keys)), key=lambda s: (s.order, s.key))
-    for scan in scans:
-        cat = store.catalogue()
-        applied, results = apply_scan(cat, pages.filter(F.col("scan_key") == scan.key), scan, now)
-        state = health.advance_state(store.read("sync_state"), results)
-        last = {"source": "pages", "batch_id": batch_id} if scan is scans[-1] else {}
-        store.commit_catalogue(cat, applied.catalogue, sync_state=state, **last)
-    if not scans:
-        store.commit({}, "pages", batch_id)
+    checked = materialise(checked_pages(pages), "checked")
+    # At most one row for each kind of scan.
+    present = {r[0] for r in checked.select("scan").distinct().collect()}
+    titles, links = [], []
+    for scan in SCANS:
+        if scan.order not in present:
+            continue
+        applied = apply_scan(store.catalogue(), checked.filter(F.col("scan") == scan.order), scan, now)
+        label = F.lit(scan.label)
+        medium = F.lit("manga" if scan.kind == "manga" else "anime")
+        # Stored before the commit, because both describe the tables left behind.
+        done = applied.titles.select(label.alias("provider_type"), medium.alias("medium"), "item_id", "outcome")
+        titles.append(materialise(done, "titles"))
+        links.append(materialise(applied.links.withColumn("phase", label), "link-log"))
+        store.commit(applied.catalogue)
+    results = page_results(checked, last_page)
+    unknown = checked.filter("scan IS NULL").select(
+        "scan_key", "page", F.lit(True).alias("has_next_page"), F.col("fetched_at").alias("seen_at"), F.col("reason").alias("error")
+    )
+    refused = materialise(health.refused_pages(store.read("refused_pages"), results.unionByName(unknown)), "refused")
+    store.write({"sync_state": health.advance_state(store.read("sync_state"), results, refused), "refused_pages": refused})
+    labels = F.create_map(*[F.lit(x) for s in SCANS for x in (s.order, s.label)])
+    counted = checked.groupBy(F.coalesce(labels[F.col("scan")], F.lit(UNKNOWN_SCAN)).alias("provider_type")).agg(
+        F.count_if(F.col("reason").isNull()).alias("pages_completed"),
+        F.count_if(F.col("reason").isNotNull()).alias("pages_failed"),
+    )
+    batch = f"pages-{batch_id}"
+    store.write_batch("scan_pages", counted, batch)
+    for table, parts in (("scan_titles", titles), ("scan_links", links)):
+        if parts:
+            store.write_batch(table, reduce(DataFrame.unionByName, parts), batch)
+    store.mark("pages", batch_id)
 
 
 def ingest_pages_stream(
-    spark: SparkSession, landing: str, store: Snapshots, checkpoint: str
+    spark: SparkSession, landing: str, store: Store, checkpoint: str, last_page: int | None = None
 ) -> StreamingQuery:
     """Ingest every page file that landed since the last run, then stop.
 
     The checkpoint remembers the files already read, so a run resumes where the
-    last one ended; a refused page is retried when it lands again.
+    last one ended; a refused page is retried when it lands again. A store takes
+    the batches of one checkpoint.
     """
     pages = spark.readStream.schema(schema("landed_pages")).parquet(landing)
     return (
-        pages.writeStream.foreachBatch(lambda batch, batch_id: ingest_batch(store, batch, batch_id))
+        pages.writeStream.foreachBatch(
+            lambda batch, batch_id: ingest_batch(store, batch, batch_id, last_page=last_page)
+        )
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

@@ -6,18 +6,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from reelshelf.operators.visits import daily, upsert_visits, visits_of
+from reelshelf.operators.visits import daily, summed, visits_of
 from reelshelf.schemas import schema
-from reelshelf.session import materialise
-from reelshelf.sources.snapshots import Snapshots
+from reelshelf.sources.store import Store
 
 
-def visit_windows(visits: DataFrame, lateness: str = "1 day") -> DataFrame:
-    """Daily visit rows of a stream; a day is emitted once it is ``lateness`` old."""
+def visit_windows(visits: DataFrame, lateness: str | None = None) -> DataFrame:
+    """Daily visit rows of a stream.
+
+    Without ``lateness`` every visit counts whenever it comes, and the sink takes
+    updated days again (``complete`` or ``update`` mode). With one, a day is final
+    and leaves the state once it is that old (``append`` mode).
+    """
     timed = visits.withColumn("ts", F.col("ts").cast("timestamp"))
+    if lateness is not None:
+        timed = timed.withWatermark("ts", lateness)
     return (
-        timed.withWatermark("ts", lateness)
-        .groupBy(F.window("ts", "1 day").alias("_day"), "visitor_token_hash", "route")
+        timed.groupBy(F.window("ts", "1 day").alias("_day"), "visitor_token_hash", "route")
         .agg(
             F.count("*").alias("visit_count"),
             F.min("ts").alias("first_visited_at"),
@@ -33,23 +38,18 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(schema("access_log")).parquet(path)
 
 
-def visit_stream(visits: DataFrame, store: Snapshots, checkpoint: str) -> StreamingQuery:
-    """Fold a stream of visits into the stored ``site_visit`` table.
+def visit_stream(visits: DataFrame, store: Store, checkpoint: str, stream: str = "visits") -> StreamingQuery:
+    """Add a stream of visits to the stored increments of ``site_visit``.
 
-    Late visits are never dropped: each micro-batch is aggregated and merged
-    into the stored days it touches; other days are not rewritten. The commit carries the batch id, so a batch that is
-    replayed after a failure is applied once.
+    Late visits are never dropped. Each micro-batch is aggregated and written
+    under its days and its own id, so no stored file is read or rewritten, and a
+    batch that is replayed after a failure replaces itself. ``stream`` names the
+    checkpoint: each one needs a name of its own. :func:`stored_visits` sums up.
     """
     visits = visits.withColumn("ts", F.col("ts").cast("timestamp"))
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        if batch_id <= store.batch("visits"):
-            return
-        rows = materialise(daily(batch), "visits")
-        # Visits carry the server's clock, so a batch touches very few days.
-        days = {str(r.visit_date) for r in rows.select("visit_date").distinct().collect()}
-        merged = upsert_visits(store.read("site_visit", days), rows)
-        store.commit_partitions("site_visit", merged, "visit_date", "visits", batch_id)
+        store.write_batch("site_visit", daily(batch), f"{stream}-{batch_id}", "visit_date")
 
     return (
         visits.writeStream.foreachBatch(apply)
@@ -59,6 +59,11 @@ def visit_stream(visits: DataFrame, store: Snapshots, checkpoint: str) -> Stream
     )
 
 
-def log_visit_stream(spark: SparkSession, path: str, store: Snapshots, checkpoint: str):
+def stored_visits(store: Store) -> DataFrame:
+    """Daily visit rows over all increments; a filter on ``visit_date`` prunes folders."""
+    return summed(store.read_batches("site_visit"))
+
+
+def log_visit_stream(spark: SparkSession, path: str, store: Store, checkpoint: str):
     """Access-log files to stored daily visits."""
     return visit_stream(visits_of(read_log(spark, path)), store, checkpoint)

@@ -1,9 +1,10 @@
-"""Stored versions, streams and the scheduled run."""
+"""Stored tables, streams and the scheduled run."""
 
 from __future__ import annotations
 
 import json
 import uuid
+from dataclasses import replace
 
 import pytest
 from conftest import SAMPLE
@@ -16,9 +17,18 @@ from reelshelf.schemas import schema
 from reelshelf.session import broadcast_if_small, materialise, scratch_dir
 from reelshelf.sources.bindings import view
 from reelshelf.sources.landing import landed_pages
-from reelshelf.sources.snapshots import Snapshots
-from reelshelf.streaming.pages import TV_SCAN, TYPE_SCAN, ingest_batch, ingest_pages_stream, scan_of
-from reelshelf.streaming.visits import log_visit_stream
+from reelshelf.sources.store import Store
+from reelshelf.streaming.pages import (
+    SCANS,
+    TV_SCAN,
+    TYPE_SCAN,
+    checked_pages,
+    ingest_batch,
+    ingest_pages_stream,
+    page_results,
+    scan_columns,
+)
+from reelshelf.streaming.visits import log_visit_stream, stored_visits
 
 
 @pytest.fixture
@@ -42,12 +52,16 @@ def body(*objects, more=False):
     return {"data": list(objects), "pagination": {"has_next_page": more}}
 
 
-def test_scan_keys():
-    assert scan_of(TV_SCAN).discover_missing is False
-    assert scan_of(TYPE_SCAN.format("tv_special")).expected == "SPECIAL"
-    assert scan_of(TYPE_SCAN.format("manhwa")).expected == "MANHWA"
-    assert (scan_of("current:2024:spring").year, scan_of("current:2024:spring").season) == (2024, "spring")
-    assert scan_of("current:2024:autumn") is None and scan_of("other") is None
+def test_scan_keys(spark):
+    keys = [TV_SCAN, TYPE_SCAN.format("tv_special"), TYPE_SCAN.format("manhwa"), "current:2024:spring", "current:2024:autumn", "upcoming:x:fall", "other", None]
+    rows = spark.createDataFrame([(i, k) for i, k in enumerate(keys)], "i int, key string")
+    found = rows.select("i", *[c.alias(n) for n, c in scan_columns(F.col("key")).items()]).orderBy("i").collect()
+    scans = {s.order: s for s in SCANS}
+    assert scans[found[0].scan].discover_missing is False
+    assert (scans[found[1].scan].expected, scans[found[2].scan].expected) == ("SPECIAL", "MANHWA")
+    assert (scans[found[3].scan].label, found[3].scan_year, found[3].scan_season) == ("current", 2024, "spring")
+    assert [r.scan for r in found[4:]] == [None] * 4
+    assert len(scans) == len(SCANS)
 
 
 def test_raw_page_files_are_read_whole(spark, root):
@@ -58,48 +72,102 @@ def test_raw_page_files_are_read_whole(spark, root):
     assert (row.scan_key, row.page, json.loads(row.body)) == ("bulk", 3, json.loads(text))
 
 
-def test_commits_are_versions_and_old_files_stay(spark, root):
-    store = Snapshots(spark, root)
-    assert store.version == 0 and store.read("genre").count() == 0
-    store.commit({"genre": spark.createDataFrame([(1, "A")], "id bigint, name string")})
-    before = store.read("genre")
-    store.commit({"genre": before.unionByName(spark.createDataFrame([(2, "B")], "id bigint, name string"))}, "x", 3)
-    assert (store.version, store.batch("x"), store.batch("y")) == (2, 3, -1)
-    assert before.count() == 1 and store.read("genre").count() == 2
+def files_of(spark, path):
+    return set(spark.read.parquet(path).select(F.col("_metadata.file_path")).distinct().toPandas()["file_path"])
+
+
+def test_a_commit_rewrites_only_the_buckets_it_touches(spark, root):
+    store = Store(spark, root, buckets=8)
+    assert store.read("anime").count() == 0 and store.batch("x") == -1
+    rows = spark.range(1, 101).select(F.col("id").alias("anime_id"), F.lit("old").alias("title"))
+    rows = spark.createDataFrame([], schema("anime")).unionByName(rows, allowMissingColumns=True)
+    store.write({"anime": rows})
+    before = files_of(spark, root + "/anime")
+
+    cat = store.catalogue().narrowed(spark.createDataFrame([(7,)], "anime_id bigint"), "anime")
+    assert 0 < cat.anime.count() < 100
+    new = cat.anime.withColumn("title", F.when(F.col("anime_id") == 7, "new").otherwise(F.col("title")))
+    store.commit(replace(cat, anime=new))
+    after = files_of(spark, root + "/anime")
+    assert {r.title: r["count"] for r in store.read("anime").groupBy("title").count().collect()} == {"old": 99, "new": 1}
+    replaced = before - after
+    assert replaced and {f.split("bucket=")[1][0] for f in replaced} == {str(b) for b in store.buckets_of(spark.createDataFrame([(7,)], "id bigint"))}
+    plan = store.find("anime", [7])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan and "EqualTo(anime_id,7)" in plan
+
+    # A bucket that loses its last row is empty afterwards; a catalogue that did not change writes nothing.
+    store.commit(replace(cat, anime=cat.anime.limit(0)))
+    assert store.read("anime").filter("anime_id = 7").count() == 0
+    before = files_of(spark, root + "/anime")
+    store.commit(store.catalogue())
+    assert files_of(spark, root + "/anime") == before
+    store.mark("x", 3)
+    assert (store.batch("x"), store.batch("y")) == (3, -1)
+
+
+def states(store):
+    return {r.key: (r.next_page, r.last_error) for r in store.read("sync_state").collect()}
 
 
 def test_page_stream_resumes_and_replays_once(spark, root):
-    store = Snapshots(spark, root + "/store")
+    store = Store(spark, root + "/store")
+    ova = TYPE_SCAN.format("ova")
     land(
         spark,
         root + "/pages",
-        (TYPE_SCAN.format("ova"), 1, body({"mal_id": 1, "title": "A"}, more=True)),
+        (ova, 1, body({"mal_id": 1, "title": "A"}, more=True)),
         (TV_SCAN, 1, body({"mal_id": 9, "title": "Unknown TV"})),
         (TYPE_SCAN.format("manga"), 1, body({"mal_id": 1, "title": "M"})),
         ("unknown", 1, body()),
     )
     run = lambda: ingest_pages_stream(spark, root + "/pages", store, root + "/check").awaitTermination()
     run()
-    state = {r.key: (r.next_page, r.last_error) for r in store.read("sync_state").collect()}
-    assert state == {TYPE_SCAN.format("ova"): (2, None), TV_SCAN: (1, None), TYPE_SCAN.format("manga"): (1, None)}
+    assert states(store) == {ova: (2, None), TV_SCAN: (1, None), TYPE_SCAN.format("manga"): (1, None)}
     assert [(r.anime_id, r.type) for r in store.read("anime").collect()] == [(-1, "OVA")]
     assert [r.manga_id for r in store.read("manga").collect()] == [1]
+    assert [(r.scan_key, r.page) for r in store.read("refused_pages").collect()] == [("unknown", 1)]
 
-    # A refused page leaves the cursor; nothing new means nothing to do.
-    pages = land(spark, root + "/pages", (TYPE_SCAN.format("ova"), 2, {"data": None}))
+    # A refused page stays current whatever comes after it, until it lands again.
+    land(spark, root + "/pages", (ova, 2, {"data": None}), (ova, 3, body({"mal_id": 3, "title": "C"})))
     run()
-    version = store.version
+    assert states(store)[ova] == (2, "data is not a list")
+    assert store.read("anime").filter("mal_id = 3").count() == 1
+    marked = store.batch("pages")
     run()
-    assert store.version == version
-    ova = store.read("sync_state").filter(F.col("key") == TYPE_SCAN.format("ova")).first()
-    assert (ova.next_page, ova.last_error) == (2, "data is not a list")
-    ingest_batch(store, pages, store.batch("pages"))
-    assert store.version == version
-    pages = land(spark, root + "/more", (TYPE_SCAN.format("ova"), 2, 404), (TYPE_SCAN.format("manga"), 1000, body({}, more=True)))
-    ingest_batch(store, pages, 100)
-    state = {r.key: (r.next_page, r.last_error) for r in store.read("sync_state").collect()}
-    assert state[TYPE_SCAN.format("ova")] == (1, "HTTP 404")
-    assert state[TYPE_SCAN.format("manga")] == (1, "manga catalogue exceeds provider page limit 1000")
+    assert store.batch("pages") == marked
+    pages = land(spark, root + "/more", (ova, 2, body({"mal_id": 2, "title": "B"}, more=True)))
+    ingest_batch(store, pages, marked)  # its mark is there already
+    assert states(store)[ova][0] == 2
+    ingest_batch(store, pages.withColumn("fetched_at", F.lit("2024-05-02").cast("timestamp")), 100)
+    assert states(store)[ova] == (3, None)
+    assert store.read("refused_pages").filter(F.col("scan_key") == ova).count() == 0
+    assert {r.outcome for r in store.read_batches("scan_titles", ["pages-100"]).collect()} == {"inserted"}
+
+
+def test_missing_pages_and_page_limits(spark, root):
+    manga = TYPE_SCAN.format("manga")
+    pages = land(spark, root, (TYPE_SCAN.format("ova"), 2, 404), (manga, 1000, body({}, more=True)))
+    checked = checked_pages(pages)
+    free = {r.scan_key: (r.page, r.error) for r in page_results(checked).collect()}
+    assert free[TYPE_SCAN.format("ova")] == (1, "HTTP 404") and free[manga] == (1000, None)
+    capped = {r.scan_key: (r.page, r.error) for r in page_results(checked, last_page=1000).collect()}
+    assert capped[manga] == (1, "manga catalogue exceeds provider page limit 1000")
+
+
+def test_no_scan_key_is_lost(spark, root):
+    """More keys than any loop could hold: every season's page is applied and its cursor moved."""
+    pages = spark.range(1200).select(
+        F.concat(F.lit("current:"), F.col("id") + 1000, F.lit(":fall")).alias("scan_key"),
+        F.lit(1).alias("page"),
+        F.lit(200).alias("status_code"),
+        F.lit("2024-05-01").cast("timestamp").alias("fetched_at"),
+        F.concat(F.lit('{"data":[{"mal_id":'), F.col("id") + 1, F.lit(',"title":"T"}],"pagination":{"has_next_page":false}}')).alias("body"),
+    )
+    store = Store(spark, root)
+    ingest_batch(store, pages, 0)
+    assert store.read("sync_state").count() == 1200 and store.read("refused_pages").count() == 0
+    anime = store.read("anime")
+    assert anime.count() == 1200 and anime.filter("year = 1000 - anime_id - 1 AND season = 'fall'").count() == 1200
 
 
 def test_log_stream_counts_each_visit_once(spark, root):
@@ -110,12 +178,14 @@ def test_log_stream_counts_each_visit_once(spark, root):
         "method string, status int, mime_type string, path string, user_agent string, accept string, visitor_token string, ts string",
     ).withColumn("ts", F.col("ts").cast("timestamp"))
     log.write.parquet(root + "/log")
-    store = Snapshots(spark, root + "/store")
+    store = Store(spark, root + "/store")
     for _ in range(2):
         log_visit_stream(spark, root + "/log", store, root + "/check").awaitTermination()
-    got = {str(r.visit_date): r.visit_count for r in store.read("site_visit").collect()}
+    # A batch that is written again replaces itself.
+    store.write_batch("site_visit", store.read_batches("site_visit", ["visits-0"]), "visits-0", "visit_date")
+    got = {str(r.visit_date): r.visit_count for r in stored_visits(store).collect()}
     assert got == {"2024-01-01": 2, "2024-01-02": 1}
-    assert store.read("site_visit").select("visitor_token_hash").distinct().count() == 1
+    assert stored_visits(store).select("visitor_token_hash").distinct().count() == 1
 
 
 def test_an_invalid_token_is_a_new_visitor(spark):
@@ -133,8 +203,8 @@ def test_visit_upsert_is_associative(spark):
 
 
 def test_scheduled_run(spark, root, cat):
-    store = Snapshots(spark, root + "/store")
-    store.commit({t: getattr(cat, t) for t in cat.tables()})
+    store = Store(spark, root + "/store")
+    store.write({t: getattr(cat, t) for t in cat.tables()})
     flagged = cat.anime.filter("is_adult").count() + cat.manga.filter("is_adult").count()
     land(spark, root + "/pages", (TYPE_SCAN.format("ova"), 1, body({"mal_id": 100_001, "title": "Fresh OVA"})))
     details = [
@@ -149,13 +219,17 @@ def test_scheduled_run(spark, root, cat):
     now = F.lit("2024-06-01").cast("timestamp")
     report = run_scheduled(spark, store, root + "/pages", root + "/check", root + "/details", now)
     anime = store.read("anime")
-    assert anime.filter("is_adult").count() == 0 and report.removed_adult > flagged
+    assert anime.filter("is_adult").count() == 0 and report.removed_anime + report.removed_print > flagged
     assert anime.filter("mal_id = 1").first().title == "Refreshed"
     assert anime.filter("mal_id = 2").count() == 0
     assert anime.filter("mal_id = 100001").first().type == "OVA"
     health = {r.queue: r for r in report.health.collect()}
     assert (health["anime_refresh"].updated, health["anime_refresh"].removed_adult) == (1, 1)
-    assert health["print_refresh"].not_found == 1 and health["print_refresh"].degraded
+    assert health["print_refresh"].not_found == health["print_refresh"].selected == 1
+    scans = {r.provider_type: (r.pages_completed, r.inserted) for r in report.scans.collect()}
+    assert scans == {"ova": (1, 1), None: (1, 1)}
+    asked = {r.queue: r["count"] for r in report.requests.groupBy("queue").count().collect()}
+    assert asked["print_refresh"] == min(1000, store.read("manga").filter("mal_id > 0").count())
     assert report.facets == store.read("catalogue_facet").count() > 0
     assert report.season_coverage.first().total_tv == anime.filter("upper(type) = 'TV'").count()
     assert report.metric_coverage.count() == 3
