@@ -26,10 +26,14 @@ import public_tokenizers
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
+from tokenizers import Tokenizer
 
 from reelshelf.llm.common import read_table
 from reelshelf.llm.encoder import Memo
 
+# Below this character all Unicode tables agree; texts beyond it are normalised and
+# cut into words by the library, whose tables may be older or newer than Python's.
+LATIN_END = "ɐ"
 SPACE = r"\p{White_Space}"
 # Not white space to the vocabulary's pattern, but to str.split().
 _ODD_SPACE = regex.compile("[\x1c-\x1f]")
@@ -61,6 +65,7 @@ class WordBpe:
             p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"
         )
         self.words = regex.compile(pattern.replace(r"\s", SPACE))
+        self.library = Tokenizer.from_file(path)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
         self.bytes = byte_characters()
         self.word = Memo(self._word)
@@ -97,16 +102,23 @@ class WordBpe:
         return self.merge([i for i in map(self.ids.get, letters) if i is not None])
 
     def _piece(self, piece: str) -> tuple[int, str, str]:
-        ids = [i for word in self.words.findall(piece) for i in self.word[word]]
+        if piece.isascii() or max(piece) < LATIN_END:
+            words = self.words.findall(piece)
+        else:
+            words = [piece[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(piece)]
+        ids = [i for word in words for i in self.word[word]]
         return len(ids), " ".join(map(str, ids)), self.decode(ids)
 
     def decode(self, ids: list[int]) -> str:
         return " ".join(map(self.tokens.__getitem__, ids))
 
     def _pieces(self, text: str) -> list[tuple[int, str, str]]:
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        text = text.lower()
+        if text.isascii():
+            text = text.lower()
+        elif max(text) < LATIN_END:
+            text = unicodedata.normalize("NFC", text).lower()
+        else:
+            text = self.library.normalizer.normalize_str(text)
         split = regex.split(f"{SPACE}+", text) if _ODD_SPACE.search(text) else text.split()
         return list(map(self.piece.__getitem__, split))
 
