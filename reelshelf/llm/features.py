@@ -92,14 +92,20 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     """Rows (doc_id, text, label) of at most ``per_class`` documents of each of the classes 0 and 1.
 
     Held-out rows never take part. The rows with the smallest hash of their id are
-    taken, so the sample does not depend on the cluster.
+    taken, so the sample does not depend on the cluster. Rows far above the expected
+    bound are left out where they lie; only about twice the sample is ordered.
     """
     known = (
         labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
         .groupBy("doc_id")
         .agg(F.min(label).cast("int").alias("label"))
     )
-    place = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = known.withColumn("_place", place).where(F.col("_place") <= per_class).drop("_place")
+    known = known.withColumn("_hash", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)))
+    near = F.lit(False)
+    for label_value, rows in known.groupBy("label").count().collect():
+        bound = int((1 << 40) * min(1.0, (2 * per_class + 100) / rows))
+        near = near | ((F.col("label") == label_value) & (F.col("_hash") < bound))
+    place = F.row_number().over(Window.partitionBy("label").orderBy("_hash", "doc_id"))
+    chosen = known.where(near).withColumn("_place", place).where(F.col("_place") <= per_class).drop("_place", "_hash")
     # At most two times ``per_class`` rows.
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
