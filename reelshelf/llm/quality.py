@@ -83,7 +83,10 @@ def train(texts: list[bytes], labels: np.ndarray, seed: int = 1) -> np.ndarray:
 
 
 def _train(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    rows = pd.concat(list(batches)).sort_values("doc_id")
+    parts = list(batches)
+    if not parts:
+        return
+    rows = pd.concat(parts).sort_values("doc_id")
     if rows["label"].nunique() == 2:
         table = train([(t or "").encode() for t in rows["text"]], rows["label"].to_numpy())
         yield pd.DataFrame({"model": [table.astype("<f4").tobytes()]})

@@ -188,7 +188,10 @@ def learn(texts: list[str], labels: list[int]) -> Lexicon:
 
 
 def _learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    rows = pd.concat(list(batches)).sort_values("doc_id")
+    parts = list(batches)
+    if not parts:
+        return
+    rows = pd.concat(parts).sort_values("doc_id")
     lexicon = learn([t or "" for t in rows["text"]], rows["label"].tolist())
     yield pd.DataFrame(
         {
