@@ -37,7 +37,7 @@ SHINGLE = 3
 DISTANCE = 2
 GROUP = 4096  # fingerprints searched together in one task
 FAN = 8  # children of an index node
-BLOCK = 512  # queries searched at a time
+BLOCK = 64  # queries searched at a time: at most BLOCK times GROUP nodes are looked at together
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -169,9 +169,9 @@ def linked(codes: np.ndarray, distance: int = DISTANCE) -> Iterator[tuple[np.nda
     levels = build_index(codes)
     spans = [FAN**k for k in range(len(levels))]
     for start in range(0, len(codes), BLOCK):
-        queries = np.arange(start, min(start + BLOCK, len(codes)))
+        queries = np.arange(start, min(start + BLOCK, len(codes)), dtype=np.int32)
         top = len(levels[-1][0])
-        query, node = np.repeat(queries, top), np.tile(np.arange(top), len(queries))
+        query, node = np.repeat(queries, top), np.tile(np.arange(top, dtype=np.int32), len(queries))
         added = np.zeros(len(query), dtype=np.uint8)
         for level in range(len(levels) - 1, -1, -1):
             pattern, mask = levels[level]
@@ -183,7 +183,7 @@ def linked(codes: np.ndarray, distance: int = DISTANCE) -> Iterator[tuple[np.nda
             query, node, added = query[near], node[near], added[near]
             if level:
                 below = len(levels[level - 1][0])
-                child = (node[:, None] * FAN + np.arange(FAN)).ravel()
+                child = (node[:, None] * FAN + np.arange(FAN, dtype=np.int32)).ravel()
                 inside = child < below
                 query, added = np.repeat(query, FAN)[inside], np.repeat(added, FAN)[inside]
                 node = child[inside]
