@@ -354,6 +354,24 @@ STORED_LABELS = """SELECT p_partkey AS anime_id, CASE p_partkey % 4 WHEN 0 THEN
   CASE p_partkey % 5 WHEN 0 THEN 'airing' WHEN 1 THEN ' Finished Airing ' WHEN 2 THEN 'Not yet airing' WHEN 3 THEN 'Weird' END AS status FROM {part}"""
 
 
+@query(
+    "a6_print_purge",
+    """SELECT 'manga' AS rows_of, manga_id, CAST(NULL AS BIGINT) AS author_id FROM {manga} WHERE manga_id NOT IN (SELECT manga_id FROM {adult})
+UNION ALL SELECT 'manga_author', manga_id, author_id FROM {manga_author} WHERE manga_id NOT IN (SELECT manga_id FROM {adult})
+UNION ALL SELECT 'removed', manga_id, NULL FROM {adult}""",
+    adult=ADULT.replace("anime_genre", "manga_genre").replace("anime_id", "manga_id").replace("{anime}", "{manga}"),
+)
+def _(spark, sf):
+    cat = _screened(spark, sf)
+    items, bridges, gone = adult.purge_adult(
+        cat.manga, {"manga_author": cat.manga_author}, cat.manga_genre, cat.genre, LINKS["manga_genre"]
+    )
+    none = F.lit(None).cast("bigint").alias("author_id")
+    out = items.select(F.lit("manga").alias("rows_of"), "manga_id", none)
+    links = bridges["manga_author"].select(F.lit("manga_author").alias("rows_of"), "manga_id", "author_id")
+    return out.unionByName(links).unionByName(gone.select(F.lit("removed").alias("rows_of"), "manga_id", none))
+
+
 @query(
     "a10_canonical_labels",
     """SELECT anime_id, CASE anime_id % 4 WHEN 0 THEN 'SPECIAL' WHEN 1 THEN 'TV' WHEN 2 THEN 'OVA' END AS type,

@@ -22,6 +22,7 @@ from reelshelf.queries.ingest import (
     _stored_manga,
     manga_rows,
     now,
+    stored_anime_rows,
 )
 from reelshelf.queries.registry import query
 from reelshelf.queries.visits import HEALTH_SQL
@@ -67,6 +68,44 @@ def _(spark, sf):
     return rows.groupBy("outcome").agg(F.count("*").alias("n"), F.sum("mal_id").alias("ids"))
 
 
+# Titles as a page of known and new ones leaves them.
+PAGED = {
+    **V,
+    "restricted": "SELECT a.anime_id FROM {anime} AS a JOIN {pay} AS p ON p.mal_id = a.mal_id WHERE p.is_adult",
+    "paged": "SELECT COALESCE(a.anime_id, -p.k) AS anime_id, p.* FROM {kept} AS p LEFT JOIN {anime} AS a ON a.mal_id = p.mal_id",
+}
+
+
+def _paged(spark, sf) -> Store:
+    cat = store_of(spark, catalogue(spark, sf)).catalogue()
+    applied = apply.apply_anime_page(cat, stored_anime_rows(spark, sf), now(), discover_missing=True)
+    cat.store.commit(applied.catalogue)
+    return cat.store
+
+
+@query(
+    "a4_stored_titles",
+    """SELECT anime_id, mal_id, title FROM {anime} WHERE anime_id NOT IN (SELECT anime_id FROM {restricted}) AND anime_id NOT IN (SELECT anime_id FROM {paged})
+UNION ALL SELECT p.anime_id, p.mal_id, COALESCE(p.title, a.title, 'MAL anime ' || p.k) FROM {paged} AS p LEFT JOIN {anime} AS a ON a.anime_id = p.anime_id""",
+    **PAGED,
+)
+def _(spark, sf):
+    return _paged(spark, sf).read("anime").select("anime_id", "mal_id", "title")
+
+
+@query(
+    "a4_stored_genre_links",
+    """SELECT anime_id, unnest(genres) AS name FROM {paged} WHERE len(genres) > 0
+UNION ALL SELECT l.anime_id, g.name FROM {anime_genre} AS l JOIN {genre} AS g ON g.id = l.genre_id
+WHERE l.anime_id NOT IN (SELECT anime_id FROM {restricted}) AND l.anime_id NOT IN (SELECT anime_id FROM {paged} WHERE len(genres) > 0)""",
+    **PAGED,
+)
+def _(spark, sf):
+    store = _paged(spark, sf)
+    genre = store.read("genre").withColumnRenamed("id", "genre_id")
+    return store.read("anime_genre").join(genre, "genre_id").select("anime_id", "name")
+
+
 @query(
     "a7_publish_facets",
     "SELECT content_type, facet_type, count(*) AS n, min(value) AS first_value, max(value) AS last_value FROM {facets} GROUP BY content_type, facet_type",

@@ -97,12 +97,16 @@ class Store:
         for table, rows in tables.items():
             columns = [F.col(f.name).cast(f.dataType).alias(f.name) for f in schema(table)]
             bucket = bucket_of(F.col(KEYS[table]), self.buckets).alias("bucket")
-            staged[table] = materialise(rows.select(*columns).select("*", bucket), table)
+            rows = rows.select(*columns).select("*", bucket)
+            # What may come from the files that go is stored before any of them does.
+            staged[table] = rows if self._load(table, schema(table)) is None else materialise(rows, table)
         for table, rows in staged.items():
             changed = (touched or {}).get(table, range(self.buckets))
             empty = self.spark.createDataFrame([(b,) for b in sorted(changed)], "bucket int")
             rows = rows.unionByName(empty, allowMissingColumns=True)
-            self._overwrite(rows.repartitionByRange("bucket", KEYS[table]).sortWithinPartitions("bucket", KEYS[table]), table, "bucket")
+            # Large buckets are split over tasks, small ones share one.
+            dealt = rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", KEYS[table])
+            self._overwrite(dealt, table, "bucket")
 
     def write_batch(self, table: str, rows: DataFrame, batch: str, *by: str) -> None:
         """Add the rows of one batch; the same batch written again replaces itself."""

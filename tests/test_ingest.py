@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 
 import pytest
@@ -160,25 +161,31 @@ def test_season_import_overrides_and_caps(spark):
 # --- print ----------------------------------------------------------------------
 
 
-def test_mixed_print_page(spark):
-    cat = stored(spark, manga=[MANGA_ROW, {**MANGA_ROW, "manga_id": 2, "mal_id": 3}])
-    rows = parsing.clean_manga(
-        page(
-            spark,
-            {"mal_id": 1, "title": "Updated", "type": "Manga"},
-            {"mal_id": 2, "title": "Inserted"},
-            {"mal_id": 3, "genres": [{"name": "Hentai"}]},
-            {"mal_id": 4, "type": "Manhwa"},
-            {"mal_id": 5, "type": "Novel"},
-            {"mal_id": 0},
-        )
-    )
-    applied = apply.apply_manga_page(cat, rows, now(), expected="MANGA")
-    outcomes = {r.mal_id: r.outcome for r in applied.titles.collect()}
-    assert outcomes == {1: "updated", 2: "inserted", 3: "removed_adult"}
-    assert gate.gate_counts(rows, gate.gate_manga(rows, "MANGA")).first().skipped == 4
-    got = {r.mal_id: (r.manga_id, r.title) for r in applied.catalogue.manga.collect()}
-    assert got == {1: (1, "Updated"), 2: (3, "Inserted")}
+def test_print_page_outcomes_by_type_flag_and_stock(spark):
+    """Every combination of provider type, restricted tag and stored title, 24 entries on one page."""
+    cases = list(itertools.product((None, "manga", "MANHWA", "One-shot"), (False, True), (False, True), (0, 1)))
+    cases = [c for c in cases if c[3] == 0 or c[0] == "manga"]
+    entries, titles, expected = [], [], {}
+    for number, (kind, restricted, known, _) in enumerate(cases, 500):
+        entry = {"mal_id": number, "title": f"Title {number}"}
+        entry |= {"type": kind} if kind else {}
+        entry |= {"genres": [{"name": "Erotica"}]} if restricted else {}
+        entries.append(entry)
+        if known:
+            titles.append({**MANGA_ROW, "manga_id": number - 400, "mal_id": number})
+        if restricted and known:
+            expected[number] = "removed_adult"
+        elif not restricted and kind in (None, "manga"):
+            expected[number] = "updated" if known else "inserted"
+    rows = parsing.clean_manga(page(spark, *entries, {"mal_id": -7}, {"title": "No id"}))
+    applied = apply.apply_manga_page(stored(spark, manga=titles), rows, now(), expected="MANGA")
+    assert {r.mal_id: r.outcome for r in applied.titles.collect()} == expected
+    kept = sum(o != "removed_adult" for o in expected.values())
+    assert gate.gate_counts(rows, gate.gate_manga(rows, "MANGA")).first().skipped == len(cases) + 2 - kept
+    got = {r.mal_id: r.title for r in applied.catalogue.manga.collect()}
+    gone = {n for n, o in expected.items() if o == "removed_adult"}
+    assert set(got) == ({t["mal_id"] for t in titles} | set(expected)) - gone
+    assert all(got[n] == f"Title {n}" for n, o in expected.items() if o != "removed_adult")
 
 
 def test_print_fields_overwrite_even_with_nothing(spark):
@@ -239,34 +246,32 @@ def test_envelopes(spark, kind, number, body, reason):
     assert valid.count() == (0 if reason else 1)
 
 
-def test_print_refresh_outcomes(spark):
-    titles = [{**MANGA_ROW, "manga_id": i, "mal_id": i} for i in range(1, 8)]
-    bodies = [
-        (1, 200, {"data": {"mal_id": 1, "title": "New"}}),
-        (2, 200, {"data": {"mal_id": 2, "genres": [{"name": "Hentai"}]}}),
-        (3, 404, None),
-        (4, 503, None),
-        (5, 200, {"data": []}),
-        (6, 200, {"data": {"mal_id": 99}}),
-        (7, 200, {"data": {"mal_id": 7, "type": "Novel"}}),
-    ]
-    rows = [("print_refresh", i, code, None if b is None else json.dumps(b)) for i, code, b in bodies]
+def test_refresh_outcomes_by_status_and_body(spark):
+    """Each status with each kind of body; only a readable answer about the title itself counts."""
+    bodies = {
+        "fresh": lambda i: {"mal_id": i, "title": "Fresh"},
+        "restricted": lambda i: {"mal_id": i, "explicit_genres": [{"name": " erotica "}]},
+        "other title": lambda i: {"mal_id": i + 1000},
+        "unsupported": lambda i: {"mal_id": i, "type": "Light Novel"},
+        "list": lambda i: [i],
+        "nothing": lambda i: None,
+    }
+    by_body = {"fresh": "updated", "restricted": "removed_adult", "unsupported": "removed_unsupported"}
+    by_status = {404: "not_found", 429: "temporary", 503: "temporary", None: "temporary", 410: "unexpected"}
+    rows, titles, expected = [], [], {}
+    for number, (status, (name, make)) in enumerate(itertools.product((200, 404, 429, 503, 410, None), bodies.items()), 30):
+        rows.append(("print_refresh", number, status, json.dumps({"data": make(number)})))
+        titles.append({**MANGA_ROW, "manga_id": number, "mal_id": number})
+        expected[number] = by_status.get(status) or by_body.get(name, "invalid_payload")
     landed = spark.createDataFrame(rows, "kind string, mal_id bigint, status_code int, body string")
-    landed = landed.withColumn("fetched_at", now())
-    answers = apply.detail_entries(landing.classify_fetch(landed, "manga"), "manga")
+    answers = apply.detail_entries(landing.classify_fetch(landed.withColumn("fetched_at", now()), "manga"), "manga")
     cat = stored(spark, manga=titles)
     applied = apply.apply_print_refresh(cat, cat.manga, answers, now())
-    assert {r.mal_id: r.outcome for r in applied.titles.collect()} == {
-        1: "updated",
-        2: "removed_adult",
-        3: "not_found",
-        4: "temporary",
-        5: "invalid_payload",
-        6: "invalid_payload",
-        7: "removed_unsupported",
-    }
+    assert {r.mal_id: r.outcome for r in applied.titles.collect()} == expected
     left = {r.mal_id: (r.title, str(r.last_attempt)) for r in applied.catalogue.manga.collect()}
-    assert set(left) == {1, 3, 4, 5, 6} and left[1] == ("New", NOW) and left[3] == ("Old", NOW)
+    assert left == {
+        n: ("Fresh" if o == "updated" else "Old", NOW) for n, o in expected.items() if not o.startswith("removed")
+    }
 
 
 # --- links and identities --------------------------------------------------------------
@@ -278,24 +283,30 @@ def links_after(spark, payload, **tables):
     return applied
 
 
-def test_partly_malformed_relations_only_add(spark):
+@pytest.mark.parametrize("bad", [0, 1, 3])
+@pytest.mark.parametrize("good", [1, 2])
+def test_lists_with_bad_items_add_and_never_remove(spark, good, bad):
+    names = [f"Maker {k}" for k in range(good)]
     tables = {
-        "studio": [{"id": 1, "name": "Kept", "normalized_name": "kept"}],
-        "anime_studio": [{"anime_id": 1, "studio_id": 1}],
-        "streaming_service": [{"name": "Kept", "normalized_name": "kept"}],
-        "anime_streaming_service": [{"anime_id": 1, "service_key": "kept", "url": "https://k"}],
+        "studio": [{"id": 40, "name": "Elder", "normalized_name": "elder"}],
+        "anime_studio": [{"anime_id": 1, "studio_id": 40}],
+        "streaming_service": [{"name": "Elder", "normalized_name": "elder"}],
+        "anime_streaming_service": [{"anime_id": 1, "service_key": "elder", "url": "https://elder.example"}],
     }
     payload = {
-        "studios": [{"mal_id": 2, "name": " New   Studio "}, None],
-        "streaming": [{"name": "Good", "url": "https://g"}, {"name": "Bad", "url": "javascript:x"}],
+        "studios": ([17, "text", []] * 3)[:bad] + [{"name": n} for n in names],
+        "streaming": [{"name": n, "url": f"https://{k}.example"} for k, n in enumerate(names)]
+        + ([{"name": "No link"}, {"name": "Mail", "url": "mailto:a@b"}, 5] * 3)[:bad],
     }
     applied = links_after(spark, payload, **tables)
     out = applied.catalogue
-    assert {(r.id, r.mal_id, r.name) for r in out.studio.collect()} == {(1, None, "Kept"), (2, 2, "New Studio")}
-    assert {r.studio_id for r in out.anime_studio.collect()} == {1, 2}
-    assert {r.service_key for r in out.anime_streaming_service.collect()} == {"kept", "good"}
+    stays = {"elder"} if bad else set()
+    keys = {n.lower() for n in names} | stays
+    studios = out.anime_studio.join(out.studio.withColumnRenamed("id", "studio_id"), "studio_id")
+    assert {r.normalized_name for r in studios.collect()} == keys
+    assert {r.service_key for r in out.anime_streaming_service.collect()} == keys
     log = {r.entity: (r.created, r.removed, r.malformed) for r in applied.links.collect()}
-    assert log == {"studio": (1, 0, 1), "streaming_service": (1, 0, 1)}
+    assert log == {e: (good, 0 if bad else 1, bad) for e in ("studio", "streaming_service")}
 
 
 def test_absent_and_wrong_fields_keep_links_and_empty_lists_clear_them(spark):
