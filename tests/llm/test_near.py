@@ -122,3 +122,36 @@ def test_recall_on_the_sample_vectors(spark):
     want = brute_vectors(rows)
     got = {tuple(r) for r in embedding_dedup.near_vectors(df).collect()}
     assert sum(n for _, n, _, _ in got) >= 0.99 * sum(n for _, n, _, _ in want)
+
+
+def test_near_stage_finds_every_pair_by_brute_force(spark):
+    import corpus_pipeline
+    from reelshelf.llm import shingle_dedup
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    sets = {r.doc_id: set(zip(*(r.text.encode().lower().split()[k:] for k in range(5)), strict=False)) or r.text.lower() for r in docs.collect()}
+    sizes = {i: len(s) for i, s in sets.items()}
+    pairs = [
+        (a, b)
+        for a, x in sets.items()
+        for b, y in sets.items()
+        if a < b and type(x) is type(y) and 4 * max(sizes[a], sizes[b]) <= 5 * min(sizes[a], sizes[b])
+        and (x == y if isinstance(x, str) else 5 * len(x & y) >= 4 * len(x | y))
+    ]
+    assert sum(sets[a] != sets[b] for a, b in pairs) >= 10
+    find = smallest(sets, pairs)
+    got = [r.doc_id for r in corpus_pipeline.near(spark, docs, None).collect()]
+    assert sorted(got) == sorted(set(find.values()))
+    assert shingle_dedup.drop_near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_near_stage_links_members_that_are_far_from_the_first(spark, documents):
+    import corpus_pipeline
+
+    words = [f"w{i}" for i in range(200)]
+    edit = lambda *at: " ".join("v" + str(k) if k in at else w for k, w in enumerate(words))
+    # Neighbours are similar, the ends of the chain are not; ids and nulls that repeat.
+    pairs = [(9, edit()), (7, edit(50)), (8, edit(50, 100)), (6, edit(50, 100, 150)), (5, edit(50, 100, 150, 20, 120))]
+    pairs += [(1, "x y"), (1, "z"), (None, "z"), (None, "other"), (2, "X  y")]
+    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.near(spark, documents(pairs), None).collect()), key=str)
+    assert got == sorted([(5, pairs[4][1]), (1, "x y"), (1, "z"), (None, "other")], key=str)
