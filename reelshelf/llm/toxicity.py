@@ -10,7 +10,9 @@ gives the score.
 
 Lexicon, exceptions and curve are learned from at most ``PER_CLASS`` labelled
 documents of each class: an entry is in many more toxic documents than clean ones,
-and weighs the logarithm of that ratio; an exception is an entry with its
+and in more than chance explains; it is judged by its own counts, so the words of a
+rare language stay however many other toxic documents there are. It weighs the
+logarithm of the ratio of its shares; an exception is an entry with its
 neighbour, found in clean documents only.
 
 Defined results: null and empty texts score zero, and without labelled rows of both
@@ -25,6 +27,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from functools import cached_property
+from math import exp, lgamma, log, log1p
 
 import numpy as np
 import pandas as pd
@@ -38,7 +41,8 @@ from reelshelf.llm.features import labelled_sample
 PER_CLASS = 3000  # labelled documents of each class that the lexicon is learned from
 THRESHOLD = 0.3
 ENTRIES = 2000  # of the lexicon
-LEAST_SHARE = 0.02  # of the toxic documents that hold an entry
+LEAST_DOCS = 3  # toxic documents that hold an entry
+CHANCE = 0.001  # that a word without a bias is in so many toxic documents
 LEAST_RATIO = 12.0  # of its shares among toxic and clean documents
 STEMS = (4, 5, 6)  # letters of beginnings of words
 EXCEPTION_DOCS = 3  # clean documents that hold an exception phrase
@@ -154,6 +158,19 @@ def _curve(found: np.ndarray, length: np.ndarray, labels: np.ndarray) -> tuple[f
     return tuple(map(float, beta))
 
 
+def _chance(toxic: int, clean: int, share: float) -> float:
+    """Probability that of all documents with a word ``toxic`` or more are toxic, at the toxic ``share`` of documents."""
+    n = toxic + clean
+    term = exp(
+        lgamma(n + 1) - lgamma(toxic + 1) - lgamma(clean + 1) + toxic * log(share) + clean * log1p(-share)
+    )
+    total = 0.0
+    for k in range(toxic, n + 1):
+        total += term
+        term *= (n - k) / (k + 1) * share / (1 - share)
+    return total
+
+
 def learn(texts: list[str], labels: list[int]) -> Lexicon:
     """Lexicon of the folded words and stems that mark toxic documents."""
     counts, totals = {0: Counter(), 1: Counter()}, Counter(labels)
@@ -161,11 +178,11 @@ def learn(texts: list[str], labels: list[int]) -> Lexicon:
         return Lexicon({}, {})
     for text, label in zip(texts, labels, strict=True):
         counts[label].update(_candidates(words(text)))
-    least = max(3, LEAST_SHARE * totals[1])
+    share = totals[1] / (totals[0] + totals[1])
     rated = []
     for entry, n in counts[1].items():
         ratio = (n / totals[1]) / ((counts[0][entry] + 0.5) / totals[0])
-        if n >= least and ratio >= LEAST_RATIO:
+        if n >= LEAST_DOCS and ratio >= LEAST_RATIO and _chance(n, counts[0][entry], share) <= CHANCE:
             rated.append((n * np.log(ratio), float(np.log(ratio)), entry))
     chosen = sorted(rated, key=lambda r: (-r[0], r[2]))[:ENTRIES]
     whole = {text: weight for _, weight, (stem, text) in chosen if not stem}

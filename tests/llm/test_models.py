@@ -79,6 +79,24 @@ def test_lexicon():
     assert learned.score("idiot proof plan") == 0 < learned.score("what an idiot")
 
 
+def test_words_of_a_rare_language_enter_the_lexicon():
+    """A language with a hundredth of the toxic documents keeps its words, and chance words stay out."""
+    random = np.random.default_rng(5)
+    filler = lambda: " ".join(f"w{k}" for k in random.integers(0, 4000, 30))
+    toxic = [filler() + " idiot" for _ in range(1000)] + [filler() + " bocoos" for _ in range(12)]
+    clean = [filler() for _ in range(1000)]
+    learned = toxicity.learn(toxic + clean, [1] * len(toxic) + [0] * len(clean))
+    assert {"idiot", "bocoos"} == {w.replace("l", "i") for w in learned.whole}
+    assert learned.score(filler() + " bocoos") >= toxicity.THRESHOLD > learned.score(filler())
+
+
+def test_toxicity_on_held_out_rows_of_each_language(spark):
+    docs = read(spark, "documents")
+    got = toxicity.classify(docs, read(spark, "labels")).where("held_out").join(docs.select("doc_id", "lang"), "doc_id")
+    rows = got.join(read(spark, "labels").where("toxic = 1"), "doc_id").groupBy("lang").agg(F.avg("predicted").alias("found"))
+    assert all(r.found > 0.8 for r in rows.collect())
+
+
 def test_languages_on_held_out_rows(spark):
     docs = read(spark, "documents")
     got = language_id.identify(docs).where("held_out").join(docs.select("doc_id", "lang"), "doc_id").collect()
