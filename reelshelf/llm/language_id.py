@@ -3,10 +3,15 @@
 Each language has a distribution over the byte trigrams of words, counted over all
 training documents. The likelihood of a word in a language is that of its trigrams.
 For a document, expectation-maximisation over its words gives the proportions of a
-mixture of languages. Sets of one to ``LARGEST`` languages (those with the highest
+mixture of languages. Sets of one language and more (those with the highest
 proportions) are then compared by their likelihood, less a penalty for each further
-language, and the best set gives the answer: its main language, and that one's
-proportion as the score.
+language, until no larger set can pay for it. The best set gives the answer: its main
+language, and that one's proportion as the score.
+
+The filter also asks whether a document is in any language at all: its trigrams, each
+word taken in its best language, must be likely against a background in which all
+buckets are equal. The margin lies halfway between the background and what nearly all
+training documents reach (``least_fit``).
 
 Letters are lower-cased if ASCII; digits, signs and white space separate words.
 Word likelihoods are relative to the best language, rounded to an eighth and
@@ -36,9 +41,11 @@ UNKNOWN = "und"
 BITS = 16  # of a trigram's bucket
 SMOOTH = 0.05  # added to each count
 ROUNDS = 8  # of expectation-maximisation
-LARGEST = 3  # languages of a set
 PENALTY = 3.0  # times the logarithm of the words, for each further language
 FLOOR = -40.0
+BACKGROUND = -BITS * float(np.log(2))  # log-likelihood of a trigram if all buckets are equal
+FIT_ROWS = 20_000  # training documents from which the margin of the filter is learned
+FIT_SHARE = 0.01  # of them that may be less likely than its upper end
 _LETTER = re.compile(r"[^\W\d_]")
 
 # Lower case for ASCII letters, a space for all other ASCII, the rest as it is.
@@ -102,16 +109,16 @@ def fit(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     return langs, np.log(counts / counts.sum(axis=0)).astype(np.float32)
 
 
-def word_likelihoods(buffer: bytes, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(start, log-likelihood relative to the best language) of each word."""
+def word_likelihoods(buffer: bytes, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(start, log-likelihood relative to the best language, that of the best one, trigrams) of each word."""
     buckets, starts, ends = trigrams(buffer)
     if not len(starts):
-        return starts, np.zeros((0, table.shape[1]))
+        return starts, np.zeros((0, table.shape[1])), np.zeros(0), np.zeros(0, dtype=np.int64)
     size = ends - starts
     windows = table[buckets[_windows(starts, ends)]]
     sums = np.add.reduceat(windows, np.cumsum(size) - size, axis=0, dtype=np.float64)
-    sums -= sums.max(axis=1, keepdims=True)
-    return starts, np.maximum(np.round(sums * 8) / 8, FLOOR)
+    best = sums.max(axis=1)
+    return starts, np.maximum(np.round((sums - best[:, None]) * 8) / 8, FLOOR), best, size
 
 
 def _mixture(likely: np.ndarray, weight: np.ndarray, first: np.ndarray, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -139,7 +146,8 @@ def choose(logs: np.ndarray, weight: np.ndarray, first: np.ndarray) -> tuple[np.
     cost = PENALTY * np.log(np.maximum(np.add.reduceat(weight, first), 2))
     # No set fits better than all languages together, so most need not be tried.
     tried = np.flatnonzero(whole - cost > best)
-    for size in range(2, min(LARGEST, langs) + 1):
+    for size in range(2, langs + 1):
+        tried = tried[whole[tried] - cost[tried] * (size - 1) > best[tried]]
         if not len(tried):
             break
         picked = np.zeros((len(tried), langs))
@@ -155,27 +163,40 @@ def choose(logs: np.ndarray, weight: np.ndarray, first: np.ndarray) -> tuple[np.
 
 
 def predict_texts(texts: list[bytes | None], langs: list[str], table: np.ndarray) -> tuple[list[str], list[float]]:
+    """Main language and its proportion for each text."""
+    return judge_texts(texts, langs, table)[:2]
+
+
+def judge_texts(
+    texts: list[bytes | None], langs: list[str], table: np.ndarray
+) -> tuple[list[str], list[float], list[float]]:
+    """Main language, its proportion, and the mean log-likelihood of a trigram for each text."""
     found, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
+    fits, counts = np.zeros(len(texts)), np.zeros(len(texts))
     known = [k for k, t in enumerate(texts) if t and langs and _LETTER.search(t.decode("utf-8", "replace"))]
     owners, logs, weights = [], [], []
     for numbers, buffer, starts in segments([texts[k] for k in known]):
-        first, rows = word_likelihoods(buffer, table)
+        first, rows, best, sizes = word_likelihoods(buffer, table)
         owner = numbers[np.searchsorted(starts, first, side="right") - 1]
+        fits += np.bincount(owner, best, minlength=len(texts))
+        counts += np.bincount(owner, sizes, minlength=len(texts))
         weight = np.ones(len(rows))
         if len(numbers) == 1 and len(rows) > 10_000:  # a part of a long text
             rows, weight = np.unique(rows, axis=0, return_counts=True)
             owner, weight = np.full(len(rows), numbers[0]), weight.astype(np.float64)
         owners.append(owner), logs.append(rows), weights.append(weight)
+    means = np.full(len(texts), -np.inf)
+    means[np.array(known, dtype=np.int64)] = (fits / np.maximum(counts, 1))[: len(known)]
     if not owners:
-        return found, scores
+        return found, scores, means.tolist()
     owner, logs, weight = np.concatenate(owners), np.concatenate(logs), np.concatenate(weights)
     if not len(owner):
-        return found, scores
+        return found, scores, means.tolist()
     first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
     main, score = choose(logs, weight, first)
     for k, lang, value in zip(owner[first], main, score, strict=True):
         found[known[k]], scores[known[k]] = langs[lang], float(min(1.0, value))
-    return found, scores
+    return found, scores, means.tolist()
 
 
 def _predict(langs: list[str], table: np.ndarray):
@@ -199,15 +220,39 @@ def predict(docs: DataFrame, langs: list[str], table: np.ndarray) -> DataFrame:
     )
 
 
-def keep(docs: DataFrame, langs: list[str], table: np.ndarray, least: float) -> DataFrame:
-    """Documents whose main language has a share of ``least`` or more, with all their columns, in one pass."""
+def least_fit(docs: DataFrame, langs: list[str], table: np.ndarray) -> float:
+    """Least mean log-likelihood of a trigram in a document that is in a language.
+
+    Learned from about ``FIT_ROWS`` of the training documents, those with the smallest
+    hash of their id. Without any it is the background.
+    """
+    named = F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()
+    known = docs.where(named & ~held_out())
+    bound = int((1 << 40) * min(1.0, FIT_ROWS / max(1, known.count())))
+    some = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < bound).select(F.col("text").cast("binary").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 256):
+                fits = judge_texts(batch.slice(k, 256).column("text").to_pylist(), langs, table)[2]
+                yield pa.RecordBatch.from_arrays([pa.array([f for f in fits if np.isfinite(f)], pa.float64())], ["fit"])
+
+    low = some.mapInArrow(run, "fit double").agg(F.percentile("fit", FIT_SHARE)).first()[0]
+    return BACKGROUND if low is None else BACKGROUND + max(0.0, low - BACKGROUND) / 2
+
+
+def keep(docs: DataFrame, langs: list[str], table: np.ndarray, least: float, fit: float = -np.inf) -> DataFrame:
+    """Documents whose main language has a share of ``least`` or more, with all their columns, in one pass.
+
+    Their trigrams must have a mean log-likelihood of ``fit`` or more.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
-                found, scores = predict_texts([(t.as_py() or "").encode() for t in part.column("text")], langs, table)
-                good = [lang != UNKNOWN and score >= least for lang, score in zip(found, scores, strict=True)]
+                rows = judge_texts([(t.as_py() or "").encode() for t in part.column("text")], langs, table)
+                good = [lang != UNKNOWN and s >= least and f >= fit for lang, s, f in zip(*rows, strict=True)]
                 yield part.filter(pa.array(good, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

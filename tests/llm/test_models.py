@@ -117,6 +117,29 @@ def test_language_mixtures_and_edge_cases(spark, documents):
     assert language_id.identify(documents([])).count() == 0
 
 
+def test_language_stage_rejects_gibberish_and_mixtures(spark):
+    import corpus_pipeline
+
+    random = np.random.default_rng(1)
+    docs = read(spark, "documents").where("length(text) > 200")
+    part = {r.lang: r.text for r in docs.orderBy(F.length("text").desc(), "doc_id").limit(2000).collect()}
+    equal = " ".join(" ".join(t.split()[k : k + 10]) for k in range(0, 400, 10) for t in part.values())
+    words = " ".join("".join(random.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(80))
+    bad = {-1: words, -2: "это совсем другой язык и слова его не известны", -3: part["en"].encode("utf-16-le").decode("cp1252", "replace"), -4: equal}
+    good = {-5: part["en"], -6: part["de"] + " " + part["de"] + " " + " ".join(part["fr"].split()[:20])}
+    rows = spark.createDataFrame([(i, t, None, "s", len(t)) for i, t in (bad | good).items()], docs.schema)
+    kept = {r.doc_id for r in corpus_pipeline.language_filter(spark, docs.unionByName(rows), SF).select("doc_id").collect()}
+    assert kept & {*bad, *good} == {*good}
+    clean = docs.join(read(spark, "labels").where("quality = 1"), "doc_id").select("doc_id").collect()
+    assert np.mean([r.doc_id in kept for r in clean]) > 0.999
+
+
+def test_sets_of_more_than_three_languages():
+    logs = np.where(np.eye(5, dtype=bool), 0.0, -30.0)[np.arange(500) % 5]
+    main, score = language_id.choose(logs, np.ones(500), np.array([0]))
+    assert len(main) == 1 and abs(score[0] - 0.2) < 0.01
+
+
 def test_segments_hold_whole_texts():
     texts = [b"aa bb cc", b"", b"x" * 25, b"d e"]
     parts = [b""] * len(texts)
