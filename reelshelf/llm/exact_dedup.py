@@ -9,7 +9,7 @@ Defined results: a null text counts as empty; texts are equal after each run of
 ASCII white space has become one space. Of equal rows the smallest id stays, and
 a digest that an earlier batch holds keeps the id given then. Rows that repeat an
 id as well are each returned and counted. A row without id is counted, and never
-is the one that stays. ``group_size`` counts the rows of the batch. Other columns
+is the one that stays, unless ``drop_duplicates`` is told so. ``group_size`` counts the rows of the batch. Other columns
 of the input are not read.
 """
 
@@ -24,13 +24,14 @@ from reelshelf.llm.common import attach, read_table, shuffle_partitions
 from reelshelf.session import materialise, scratch_dir
 
 
+def _digest(text: str) -> F.Column:
+    whole = F.coalesce(F.col(text), F.lit(""))
+    return F.unhex(F.sha2(F.regexp_replace(whole, r"[\x20\x09-\x0D]+", " "), 256))
+
+
 def digests(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Rows (doc_id, digest) with the binary SHA-256 of the normalised text."""
-    whole = F.coalesce(F.col(text), F.lit(""))
-    return docs.select(
-        F.col(doc_id).alias("doc_id"),
-        F.unhex(F.sha2(F.regexp_replace(whole, r"[\x20\x09-\x0D]+", " "), 256)).alias("digest"),
-    )
+    return docs.select(F.col(doc_id).alias("doc_id"), _digest(text).alias("digest"))
 
 
 class DigestIndex:
@@ -97,10 +98,27 @@ def exact_duplicates(docs: DataFrame, index: DigestIndex | None = None) -> DataF
     )
 
 
-def drop_duplicates(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
-    """The documents that stay, with their own columns; a repeated row stays once."""
-    kept = exact_duplicates(docs, index).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"] == F.col("_kept_id"), "left_semi").dropDuplicates(["doc_id"])
+def drop_duplicates(docs: DataFrame, index: DigestIndex | None = None, unnamed: bool = False) -> DataFrame:
+    """The documents that stay, with their own columns; one row for each text that is new.
+
+    A row is named by its id and its digest, so ids that repeat with different texts
+    lose none of them. With ``unnamed``, a row without id stays where no row of its
+    text has one; an index can't tell such a row from one of an earlier batch. Of rows
+    that repeat id and text the one with the smallest hash of its columns stays.
+    """
+    labelled = (index or fresh_index(docs.sparkSession)).add(digests(docs))
+    kept = labelled.where(F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.lit(unnamed) | F.col("doc_id").isNotNull()))
+    kept = kept.select(F.col("digest").alias("_kept"), F.col("keep_id").alias("_kept_id")).distinct()
+    whole = [F.col(f.name) for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    rows = docs.select(
+        F.struct(*docs.columns).alias("_row"),
+        F.col("doc_id").alias("_id"),
+        F.xxhash64(*whole).alias("_order"),
+        _digest("text").alias("_digest"),
+    )
+    match = (F.col("_digest") == F.col("_kept")) & F.col("_id").eqNullSafe(F.col("_kept_id"))
+    rows = rows.join(kept, match, "left_semi")
+    return rows.groupBy("_digest").agg(F.min_by("_row", "_order").alias("_row")).select("_row.*")
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,6 +34,15 @@ def test_dropping_keeps_columns_and_one_row_each(documents):
     assert sorted(r.doc_id for r in kept.collect()) == [3, 4, 6, 8]
 
 
+def test_stage_keeps_one_row_of_each_text(spark, documents):
+    import corpus_pipeline
+
+    docs = documents([(5, "a"), (3, "a"), (5, "b"), (5, "b"), (None, "c"), (None, "c"), (None, "a"), (None, "d"), (2, "d"), (5, "b")])
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.exact(spark, docs, None).collect()]
+    assert sorted(got, key=str) == sorted([(3, "a"), (5, "b"), (None, "c"), (2, "d")], key=str)
+    assert sorted(r.doc_id for r in drop_duplicates(docs).collect()) == [2, 3, 5]
+
+
 def test_index_outlives_the_session_and_batches(spark, documents, folder):
     first = DigestIndex(spark, folder, buckets=4)
     first.add(digests(documents([(10, "a"), (11, "b"), (12, "a")])))
