@@ -8,8 +8,6 @@ import pytest
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path[:0] = [ROOT, os.path.dirname(os.path.abspath(__file__))]
 
-SAMPLE = "/root/testdata/sf0.001"
-
 
 @pytest.fixture(scope="session")
 def spark():
@@ -31,6 +29,8 @@ def spark():
 
 @pytest.fixture
 def cat(spark):
+    from samples import SAMPLE
+
     from reelshelf.sources.bindings import catalogue
 
     return catalogue(spark, SAMPLE)

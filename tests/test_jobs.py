@@ -7,7 +7,7 @@ import uuid
 from dataclasses import replace
 
 import pytest
-from conftest import SAMPLE
+from samples import SAMPLE
 from pyspark.sql import functions as F
 
 from reelshelf.functions.text import entity_key, entity_name, strip

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pytest
-from conftest import SAMPLE
+from samples import SAMPLE
 from pyspark.sql import functions as F
 
 from reelshelf import CatalogueQuery

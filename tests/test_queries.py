@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pytest
-from conftest import SAMPLE
+from samples import SAMPLE
 from oracle import compare, connect
 
 from reelshelf.queries import ORACLES, QUERIES
