@@ -2,6 +2,7 @@
 
 from reelshelf.llm import (
     bpe,
+    conversation_repair,
     embedding_dedup,
     exact_dedup,
     language_id,
@@ -24,9 +25,11 @@ QUERIES = {
     "op8_quality": quality.op8_quality,
     "op9_warc": warc.op9_warc,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+    "op11_conversation_repair": conversation_repair.op11_conversation_repair,
 }
 
 ORACLES = {
     "op9_warc": warc.OP9_SQL,
     "op10_exact_dedup": exact_dedup.OP10_SQL,
+    "op11_conversation_repair": conversation_repair.OP11_SQL,
 }
