@@ -6,9 +6,11 @@ from reelshelf.llm import (
     embedding_dedup,
     exact_dedup,
     language_id,
+    lexical_search,
     packing,
     quality,
     simhash,
+    source_mixing,
     token_counts,
     toxicity,
     warc,
@@ -26,10 +28,13 @@ QUERIES = {
     "op9_warc": warc.op9_warc,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
     "op11_conversation_repair": conversation_repair.op11_conversation_repair,
+    "op12_source_mix": source_mixing.op12_source_mix,
+    "op13_lexical_search": lexical_search.op13_lexical_search,
 }
 
 ORACLES = {
     "op9_warc": warc.OP9_SQL,
     "op10_exact_dedup": exact_dedup.OP10_SQL,
     "op11_conversation_repair": conversation_repair.OP11_SQL,
+    "op13_lexical_search": lexical_search.OP13_SQL,
 }
