@@ -165,23 +165,45 @@ def _(spark, sf):
 
 STATE_SQL = """SELECT 'scan ' || CAST(s_suppkey AS VARCHAR(20)) AS key, CAST(1 + s_suppkey % 40 AS INT) AS next_page,
   TIMESTAMP '2020-01-01 00:00:00' AS last_attempt_at, CASE WHEN s_suppkey % 2 = 0 THEN TIMESTAMP '2019-01-01 00:00:00' END AS last_completed_at,
-  CASE WHEN s_suppkey % 3 = 0 THEN 'old' END AS last_error FROM {supplier}"""
-RESULTS_SQL = """SELECT 'scan ' || CAST(o_custkey % 120 AS VARCHAR(20)) AS scan_key, CAST(o_orderkey % 40 AS INT) AS page, o_orderkey % 5 <> 0 AS has_next_page,
-  CAST(o_orderdate AS TIMESTAMP) AS seen_at, CASE WHEN o_orderkey % 4 = 0 AND o_custkey % 3 = 0 THEN repeat('e', 600) END AS error FROM {orders}"""
-# Pages that earlier batches left refused: some land again in this one.
-OPEN_SQL = """SELECT 'scan ' || CAST(c_custkey % 120 AS VARCHAR(20)) AS scan_key, CAST(c_custkey % 50 AS INT) AS page, 'earlier' AS reason,
-  TIMESTAMP '1994-01-01 00:00:00' AS seen_at FROM {customer} WHERE c_custkey <= 600 AND c_custkey % 4 = 0"""
+  CASE WHEN s_suppkey % 3 = 0 THEN 'old' END AS last_error, CAST(s_suppkey % 4 AS BIGINT) AS cycle,
+  CASE WHEN s_suppkey % 4 > 0 THEN TIMESTAMP '1996-06-01 00:00:00' END AS closed_at, CASE WHEN s_suppkey % 4 > 0 THEN CAST(20 + s_suppkey % 30 AS INT) END AS closed_from FROM {supplier}"""
+# One response for each order: some are refused, some pages have vanished (which is
+# reported as page 1), some are the last of their scan.
+RESULTS_SQL = """SELECT scan_key, CASE WHEN gone THEN 1 ELSE asked END AS page, more, more AS has_next_page, seen_at, CASE WHEN gone THEN 'HTTP 404' ELSE error END AS error,
+  CASE WHEN gone THEN asked WHEN error IS NULL AND NOT more THEN asked + 1 END AS closes FROM (
+SELECT 'scan ' || CAST(o_custkey % {scans} AS VARCHAR(20)) AS scan_key, CAST(o_orderkey % 40 AS INT) AS asked, o_orderkey % 5 <> 0 AS more,
+  o_orderkey % 40 > 1 AND o_orderkey % 17 = 0 AS gone, CAST(o_orderdate AS TIMESTAMP) AS seen_at,
+  CASE WHEN o_orderkey % 4 = 0 AND o_custkey % 3 = 0 THEN repeat('e', 600) END AS error FROM {orders})"""
+# Pages that earlier batches left refused, one for each customer: some land again in this batch.
+OPEN_SQL = """SELECT 'scan ' || CAST(c_custkey % {scans} AS VARCHAR(20)) AS scan_key, CAST(c_custkey % 50 AS INT) AS page, 'earlier' AS reason,
+  max(TIMESTAMP '1992-06-01 00:00:00' + INTERVAL 1 DAY * (c_custkey % 700)) AS seen_at FROM {customer} GROUP BY 1, 2"""
+# Scans grow in number with the tables.
+SCANS_OF_CUSTOMERS = "(SELECT 120 + count(*) DIV 50 FROM {customer})"
 # The latest response of each page decides whether it is refused.
 LATEST_SQL = """SELECT scan_key, page, max(CASE WHEN seen_at = top THEN error END) AS reason, max(seen_at) AS seen_at FROM (
   SELECT *, max(seen_at) OVER (PARTITION BY scan_key, page) AS top FROM (SELECT scan_key, page, error, seen_at FROM {results}
   UNION ALL SELECT scan_key, page, reason, seen_at FROM {open_pages})) GROUP BY scan_key, page"""
-A8 = {"results": RESULTS_SQL, "open_pages": OPEN_SQL, "latest": LATEST_SQL, "refused": "SELECT * FROM {latest} WHERE reason IS NOT NULL"}
+# A later end of the scan closes the pages it did not have.
+REFUSED_SQL = """SELECT * FROM {latest} AS l WHERE reason IS NOT NULL AND NOT EXISTS (SELECT 1 FROM (
+  SELECT scan_key, seen_at, min(closes) AS closes FROM {results} WHERE closes IS NOT NULL GROUP BY scan_key, seen_at
+  UNION ALL SELECT key, closed_at, closed_from FROM {state} WHERE closed_from IS NOT NULL) AS e
+  WHERE e.scan_key = l.scan_key AND e.closes <= l.page AND e.seen_at > l.seen_at)"""
+A8 = {
+    "results": RESULTS_SQL.replace("{scans}", SCANS_OF_CUSTOMERS.replace("DIV", "//")),
+    "open_pages": OPEN_SQL.replace("{scans}", SCANS_OF_CUSTOMERS.replace("DIV", "//")),
+    "latest": LATEST_SQL,
+    "state": STATE_SQL,
+    "refused": REFUSED_SQL,
+}
 
 
 def _refused(spark, sf):
-    results = spark.sql(RESULTS_SQL, orders=source(spark, sf, "orders"))
-    refused = health.refused_pages(spark.sql(OPEN_SQL, customer=source(spark, sf, "customer")), results)
-    return results, refused
+    tables = {t: source(spark, sf, t) for t in ("orders", "customer", "supplier")}
+    scans = tables["customer"].select(F.lit(120) + F.expr("count(*) DIV 50")).first()[0]
+    results = spark.sql(RESULTS_SQL.replace("{scans}", str(scans)), orders=tables["orders"])
+    earlier = spark.sql(OPEN_SQL.replace("{scans}", str(scans)), customer=tables["customer"])
+    state = spark.sql(STATE_SQL, supplier=tables["supplier"])
+    return state, results, health.refused_pages(earlier, results, state)
 
 
 @query(
@@ -190,7 +212,7 @@ def _refused(spark, sf):
     **A8,
 )
 def _(spark, sf):
-    _, refused = _refused(spark, sf)
+    _, _, refused = _refused(spark, sf)
     return refused.select("scan_key", "page", "reason", F.date_format("seen_at", "yyyy-MM-dd").alias("seen_at"))
 
 
@@ -200,15 +222,18 @@ def _(spark, sf):
 CASE WHEN l.scan_key IS NULL THEN s.next_page WHEN p.page IS NOT NULL THEN p.page WHEN l.has_next_page THEN l.page + 1 ELSE 1 END AS next_page,
 strftime(COALESCE(l.seen_at, s.last_attempt_at), '%Y-%m-%d') AS last_attempt_at,
 strftime(COALESCE(CASE WHEN p.page IS NULL THEN l.done END, s.last_completed_at), '%Y-%m-%d') AS last_completed_at,
-CASE WHEN l.scan_key IS NULL THEN s.last_error ELSE left(p.reason, 500) END AS last_error
+CASE WHEN l.scan_key IS NULL THEN s.last_error ELSE left(p.reason, 500) END AS last_error,
+COALESCE(s.cycle, 0) + COALESCE(e.ends, 0) AS cycle,
+strftime(CASE WHEN s.closed_at IS NULL OR e.closed_at >= s.closed_at THEN e.closed_at ELSE s.closed_at END, '%Y-%m-%d') AS closed_at,
+CAST(CASE WHEN s.closed_at IS NULL OR e.closed_at > s.closed_at THEN e.closed_from WHEN e.closed_at = s.closed_at THEN greatest(e.closed_from, s.closed_from) ELSE s.closed_from END AS INT) AS closed_from
 FROM {state} AS s FULL JOIN (SELECT * FROM (SELECT *, max(CASE WHEN error IS NULL AND NOT has_next_page THEN seen_at END) OVER (PARTITION BY scan_key) AS done,
 row_number() OVER (PARTITION BY scan_key ORDER BY seen_at DESC, page DESC, has_next_page DESC) AS rn FROM {results}) WHERE rn = 1) AS l ON l.scan_key = s.key
-LEFT JOIN (SELECT scan_key, page, reason FROM {refused} AS r WHERE page = (SELECT min(page) FROM {refused} AS o WHERE o.scan_key = r.scan_key)) AS p ON p.scan_key = l.scan_key""",
-    state=STATE_SQL,
+LEFT JOIN (SELECT scan_key, page, reason FROM {refused} AS r WHERE page = (SELECT min(page) FROM {refused} AS o WHERE o.scan_key = r.scan_key)) AS p ON p.scan_key = l.scan_key
+LEFT JOIN (SELECT scan_key, count(*) AS ends, max(seen_at) AS closed_at, max(CASE WHEN seen_at = top THEN closes END) AS closed_from FROM (
+  SELECT *, max(seen_at) OVER (PARTITION BY scan_key) AS top FROM {results} WHERE closes IS NOT NULL) GROUP BY scan_key) AS e ON e.scan_key = l.scan_key""",
     **A8,
 )
 def _(spark, sf):
-    state = spark.sql(STATE_SQL, supplier=source(spark, sf, "supplier"))
-    out = health.advance_state(state, *_refused(spark, sf))
-    days = [F.date_format(c, "yyyy-MM-dd").alias(c) for c in ("last_attempt_at", "last_completed_at")]
-    return out.select("key", "next_page", *days, "last_error")
+    out = health.advance_state(*_refused(spark, sf))
+    days = [F.date_format(c, "yyyy-MM-dd").alias(c) for c in ("last_attempt_at", "last_completed_at", "closed_at")]
+    return out.select("key", "next_page", *days, "last_error", "cycle", "closed_from")

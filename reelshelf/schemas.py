@@ -30,7 +30,7 @@ DDL = {
     "manga_author": "manga_id bigint, author_id bigint, role string",
     "catalogue_facet": "content_type string, facet_type string, value string",
     "sync_state": "key string, next_page int, last_attempt_at timestamp, "
-    "last_completed_at timestamp, last_error string",
+    "last_completed_at timestamp, last_error string, cycle bigint, closed_at timestamp, closed_from int",
     "refused_pages": "scan_key string, page int, reason string, seen_at timestamp",
     "scan_titles": "provider_type string, medium string, item_id bigint, outcome string",
     "scan_links": "entity string, item_id bigint, created bigint, removed bigint, changed bigint, "

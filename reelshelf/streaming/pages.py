@@ -87,24 +87,28 @@ def checked_pages(pages: DataFrame) -> DataFrame:
 def page_results(checked: DataFrame, last_page: int | None = None) -> DataFrame:
     """Cursor input of A8: one row per page of a known scan, with an error when it was refused.
 
-    ``last_page`` is the last page of print scans that the provider serves, if it
-    has such a limit: a scan that reaches it starts over.
+    A page that no longer exists ends the scan: it is refused as page 1, which has to
+    be there, and closes itself and all pages behind it. The last page closes those
+    behind it. ``last_page`` is the last page of print scans that the provider serves,
+    if it has such a limit: a scan that reaches it starts over.
     """
     vanished = F.col("reason").isNotNull() & (F.col("status_code") == 404) & (F.col("page") > 1)
     error, page = F.col("reason"), F.col("page")
+    ended = error.isNull() & ~F.coalesce("has_next_page", F.lit(True))
     if last_page is not None:
         labels = F.create_map(*[F.lit(x) for s in SCANS for x in (s.order, s.label)])
         printed = F.col("scan").isin([s.order for s in SCANS if s.kind == "manga"])
         capped = printed & error.isNull() & F.col("has_next_page") & (page >= last_page)
         text = F.concat(labels[F.col("scan")], F.lit(f" catalogue exceeds provider page limit {last_page}"))
         error, page = F.when(capped, text).otherwise(error), F.when(capped, 1).otherwise(page)
-    # A page that no longer exists ends the scan; page 1 has to be there.
+        ended = ended | capped
     return checked.filter("scan IS NOT NULL").select(
         "scan_key",
         F.when(vanished, 1).otherwise(page).cast("int").alias("page"),
         F.coalesce("has_next_page", F.lit(True)).alias("has_next_page"),
         F.col("fetched_at").alias("seen_at"),
         error.alias("error"),
+        F.when(vanished, F.col("page")).when(ended, F.col("page") + 1).cast("int").alias("closes"),
     )
 
 
@@ -163,10 +167,17 @@ def ingest_batch(
         store.commit(applied.catalogue)
     results = page_results(checked, last_page)
     unknown = checked.filter("scan IS NULL").select(
-        "scan_key", "page", F.lit(True).alias("has_next_page"), F.col("fetched_at").alias("seen_at"), F.col("reason").alias("error")
+        "scan_key",
+        "page",
+        F.lit(True).alias("has_next_page"),
+        F.col("fetched_at").alias("seen_at"),
+        F.col("reason").alias("error"),
+        F.lit(None).cast("int").alias("closes"),
     )
-    refused = materialise(health.refused_pages(store.read("refused_pages"), results.unionByName(unknown)), "refused")
-    store.write({"sync_state": health.advance_state(store.read("sync_state"), results, refused), "refused_pages": refused})
+    state = store.read("sync_state")
+    refused = health.refused_pages(store.read("refused_pages"), results.unionByName(unknown), state)
+    refused = materialise(refused, "refused")
+    store.write({"sync_state": health.advance_state(state, results, refused), "refused_pages": refused})
     labels = F.create_map(*[F.lit(x) for s in SCANS for x in (s.order, s.label)])
     counted = checked.groupBy(F.coalesce(labels[F.col("scan")], F.lit(UNKNOWN_SCAN)).alias("provider_type")).agg(
         F.count_if(F.col("reason").isNull()).alias("pages_completed"),
