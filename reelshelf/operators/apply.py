@@ -1,9 +1,8 @@
 """Provider batches applied to the catalogue.
 
-Every function returns new lazy tables; a store writes them. Title ids are looked
-up in the whole catalogue, by two columns; after that a stored catalogue is
-narrowed to the buckets of the batch's titles, and only those are read, merged and
-written. The batch side is materialised, so its true size decides whether joins
+Every function returns new lazy tables; a store writes them. A stored catalogue
+looks title ids up in its directory, is then narrowed to the buckets of the batch's
+titles, and only those are read, merged and written. The batch side is materialised, so its true size decides whether joins
 broadcast it. A table the batch does not change is handed on as the same object,
 so it is not stored again.
 """
@@ -65,33 +64,34 @@ def import_season(
 def apply_anime(cat: Catalogue, gated: DataFrame, now: Column, discover_missing: bool) -> Applied:
     """A4 on gated entries: (mal_id, adult, e)."""
     gated = materialise(gated.select("mal_id", "adult", "e"), "gated")
-    known = cat.anime.select("mal_id", "anime_id", "type", "season").join(
-        gated.select("mal_id"), "mal_id", "left_semi"
-    )
-    work = gated.join(known, "mal_id", "left").withColumn("known", F.col("anime_id").isNotNull())
-    if not discover_missing:
-        work = work.filter("known")
+    work = gated.join(cat.known("anime", gated), "mal_id", "left").withColumn("known", F.col("item_id").isNotNull())
+    work = materialise(work if discover_missing else work.filter("known"), "known")
+    cat = cat.narrowed(work.select(F.coalesce("item_id", -F.col("mal_id"))), "anime", *ANIME_BRIDGES)
+    stored = cat.anime.select(F.col("anime_id").alias("item_id"), "type", "season")
+    work = work.join(stored, "item_id", "left")
     outcome = F.when(F.col("adult") & F.col("known"), "removed_adult").when(
         ~F.col("adult"), F.when(F.col("known"), "updated").otherwise("inserted")
     )
     work = (
         work.withColumn("outcome", outcome)
         .filter("outcome IS NOT NULL")
-        .withColumn("item_id", F.coalesce("anime_id", -F.col("mal_id")))
+        .withColumn("item_id", F.coalesce("item_id", -F.col("mal_id")))
         .withColumn("type", F.coalesce("type", F.lit("UNKNOWN")))
     )
-    return _apply_anime(cat, materialise(work.drop("anime_id"), "work"), now)
+    return _apply_anime(cat, materialise(work, "work"), now)
 
 
 def apply_refresh(cat: Catalogue, queue: DataFrame, details: DataFrame, now: Column) -> Applied:
     """I16: general anime refresh. Every selected title is marked attempted."""
     work = _fetched_anime(queue, details)
+    cat = cat.narrowed(work.select("item_id"), "anime", *ANIME_BRIDGES)
     return _apply_anime(cat, work, now, ("last_attempt", "last_streaming_attempt"))
 
 
 def apply_season_backfill(cat: Catalogue, queue: DataFrame, details: DataFrame, now: Column) -> Applied:
     """Refresh of TV titles that lack a season."""
     work = _fetched_anime(queue, details)
+    cat = cat.narrowed(work.select("item_id"), "anime", *ANIME_BRIDGES)
     return _apply_anime(cat, work, now, ("last_season_attempt", "last_attempt"))
 
 
@@ -105,6 +105,7 @@ def apply_streaming_backfill(cat: Catalogue, queue: DataFrame, details: DataFram
     cat = cat.narrowed(work.select("item_id"), "anime", *ANIME_BRIDGES)
     titles = _marked(cat.anime, work, "anime_id", now, ("last_streaming_attempt",))
     out = replace(_without(cat, work, ANIME_BRIDGES, "anime_id"), anime=titles.drop("e"))
+    out = out.moved("anime", _moves(work))
     used = _usable(work)
     out, log = _apply_streaming(out, used)
     touched = log.filter(F.col("created") + F.col("removed") + F.col("changed") > 0)
@@ -125,10 +126,7 @@ def apply_streaming_backfill(cat: Catalogue, queue: DataFrame, details: DataFram
 def apply_manga_page(cat: Catalogue, rows: DataFrame, now: Column, *, expected: str) -> Applied:
     """A4: cleaned entries of print pages of one expected content type."""
     gated = materialise(gate.gate_manga(rows, expected).select("mal_id", "adult", "e"), "gated")
-    known = cat.manga.select("mal_id", F.col("manga_id").alias("item_id")).join(
-        gated.select("mal_id"), "mal_id", "left_semi"
-    )
-    work = gated.join(known, "mal_id", "left").withColumn("known", F.col("item_id").isNotNull())
+    work = gated.join(cat.known("manga", gated), "mal_id", "left").withColumn("known", F.col("item_id").isNotNull())
     work = materialise(work.filter("known OR NOT adult"), "work")
     fresh = work.filter(~F.col("known")).select("mal_id")
     fresh = identity.numbered(fresh, cat.manga.select("manga_id"), "mal_id", "manga_id")
@@ -200,6 +198,13 @@ def _gone(work: DataFrame) -> DataFrame:
     return work.filter(F.col("outcome").startswith("removed"))
 
 
+def _moves(work: DataFrame) -> DataFrame:
+    """Titles that come or go: (mal_id, item_id, gone)."""
+    gone = F.col("outcome").startswith("removed")
+    moves = work.filter((gone | (F.col("outcome") == "inserted")) & F.col("mal_id").isNotNull())
+    return moves.select("mal_id", "item_id", gone.alias("gone"))
+
+
 def _usable(work: DataFrame) -> DataFrame:
     """Titles to merge, with the order in which the provider listed them."""
     seq = F.struct("e.page", "e.pos", "item_id")
@@ -232,11 +237,12 @@ def _marked(items: DataFrame, work: DataFrame, key: str, now: Column, marks) ->
 
 
 def _apply_anime(cat: Catalogue, work: DataFrame, now: Column, marks: tuple[str, ...] = ()) -> Applied:
-    cat = cat.narrowed(work.select("item_id"), "anime", *ANIME_BRIDGES)
+    """``cat`` is narrowed to the titles of ``work``."""
     stored = merge.merge_anime(_marked(cat.anime, work, "anime_id", now, marks), now)
     fresh = work.filter("outcome = 'inserted'")
     added = merge.merge_anime(merge.new_anime(fresh), now)
     out = replace(_without(cat, work, ANIME_BRIDGES, "anime_id"), anime=stored.unionByName(added))
+    out = out.moved("anime", _moves(work))
 
     used = _usable(work)
     out = _apply_genres(out, used.withColumn("has_genres", F.lit(True)), "anime_genre", False)
@@ -257,6 +263,7 @@ def _apply_manga(cat: Catalogue, work: DataFrame, now: Column, marks: tuple[str,
     blank = merge.new_manga(fresh, F.col("expected"))
     added = merge.merge_manga(blank, F.col("content_type"), now)
     out = replace(_without(cat, work, MANGA_BRIDGES, "manga_id"), manga=stored.unionByName(added))
+    out = out.moved("manga", _moves(work))
 
     used = _usable(work)
     out = _apply_genres(out, used.withColumn("has_genres", F.col("e.has_genres")), "manga_genre", True)

@@ -50,6 +50,15 @@ class Catalogue:
         """The same, where titles linked to ``refs`` may change in the link's table too."""
         return self
 
+    def known(self, medium: str, mal_ids: DataFrame) -> DataFrame:
+        """Titles with one of some provider ids: (mal_id, item_id)."""
+        rows = getattr(self, medium).select("mal_id", F.col(f"{medium}_id").alias("item_id"))
+        return rows.join(mal_ids.select("mal_id"), "mal_id", "left_semi")
+
+    def moved(self, medium: str, moves: DataFrame) -> Catalogue:
+        """The same, where titles (mal_id, item_id, gone) have come or gone."""
+        return self
+
     @classmethod
     def empty(cls, spark: SparkSession) -> Catalogue:
         return cls(**{t: spark.createDataFrame([], schema(t)) for t in cls.tables()})

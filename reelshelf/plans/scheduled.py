@@ -14,7 +14,7 @@ from reelshelf.plans.catalogue import Catalogue
 from reelshelf.schemas import LINKS, schema
 from reelshelf.session import materialise
 from reelshelf.sources.landing import classify_fetch
-from reelshelf.sources.store import Store, publish_facets
+from reelshelf.sources.store import Store, StoredCatalogue, publish_facets
 from reelshelf.streaming.pages import ingest_pages_stream
 
 QUEUES = ("season_backfill", "anime_refresh", "streaming_backfill", "print_refresh")
@@ -45,6 +45,8 @@ def purge(cat: Catalogue, medium: str) -> tuple[Catalogue, DataFrame]:
         return cat, gone
     cat = cat.narrowed(gone, medium, *names)
     rows = {t: getattr(cat, t) for t in (medium, *names)}
+    moves = rows[medium].join(gone, link.item, "left_semi").filter("mal_id IS NOT NULL")
+    cat = cat.moved(medium, moves.select("mal_id", F.col(link.item).alias("item_id"), F.lit(True).alias("gone")))
     return replace(cat, **{t: adult.without(r, gone, link.item) for t, r in rows.items()}), gone
 
 
@@ -59,9 +61,12 @@ def select_queue(cat: Catalogue, queue: str, limit: int) -> DataFrame:
     return ranking.work_queue(cat.anime, "last_attempt", "anime_id", limit)
 
 
-def answered(items: DataFrame, answers: DataFrame, chosen: DataFrame) -> DataFrame:
+def answered(cat: Catalogue, medium: str, answers: DataFrame, chosen: DataFrame) -> DataFrame:
     """Every stored title that has an answer, and the chosen ones that cannot be requested."""
-    known = items.join(answers.select("mal_id").distinct(), "mal_id", "left_semi").select(items.columns)
+    key = f"{medium}_id"
+    asked = materialise(cat.known(medium, answers.select("mal_id").distinct()), "asked").select(F.col("item_id").alias(key))
+    items = getattr(cat.narrowed(asked, medium), medium)
+    known = items.join(asked.distinct(), key, "left_semi").select(items.columns)
     return known.unionByName(chosen.filter("mal_id IS NULL").select(items.columns))
 
 
@@ -70,7 +75,7 @@ def run_queue(cat: Catalogue, queue: str, details: DataFrame, limit: int, now: C
     landed = details.filter(F.col("kind") == queue)
     kind = "manga" if queue == "print_refresh" else "anime"
     answers = materialise(apply.detail_entries(classify_fetch(landed, kind), kind), "answers")
-    titles = answered(cat.manga if kind == "manga" else cat.anime, answers, select_queue(cat, queue, limit))
+    titles = answered(cat, kind, answers, select_queue(cat, queue, limit))
     work = {
         "print_refresh": apply.apply_print_refresh,
         "season_backfill": apply.apply_season_backfill,
@@ -94,32 +99,47 @@ def run_scheduled(
 
     ``pages`` and ``details`` are landing folders; ``details`` holds this run's
     responses, and all of them are applied. The limits only say how many titles
-    to request next. Every phase starts from the tables the previous one stored.
+    to request next. Every phase is one commit with the log of what it did, and starts
+    from the tables the previous one stored. A run that stopped is called again with
+    the same folders: it goes on after its last commit, and reports all of the run.
     """
-    removed = {"anime": 0, "manga": 0}
-    for medium in removed:
-        kept, gone = purge(store.catalogue(), medium)
-        removed[medium] += gone.count()
-        store.commit(kept)
+    store.recover()
+    number = store.batch("run") + 1
+    batch, done = f"run-{number}", store.steps("run", number)
+    before = store.since("run", number)
+    if before is None:
+        before = store.batch("pages")
+        store.write({}, mark=store.marked("run", number, [], before))
+
+    def committed(step: int, cat: StoredCatalogue, queue: str, medium: str, titles: DataFrame, links: DataFrame | None = None) -> None:
+        nonlocal done
+        done |= {step}
+        rows = titles.select(F.lit(queue).alias("queue"), F.lit(medium).alias("medium"), "item_id", "outcome")
+        logs = [store.batch_rows("run_titles", rows, batch, "queue")]
+        if links is not None:
+            logs.append(store.batch_rows("scan_links", links.withColumn("phase", F.lit(queue)), batch, "phase"))
+        store.commit(cat, logs, store.marked("run", number, done, before))
+
+    for step, medium in enumerate(("anime", "manga")):
+        if step not in done:
+            kept, gone = purge(store.catalogue(), medium)
+            gone = gone.select(F.col(f"{medium}_id").alias("item_id"), F.lit("removed_adult").alias("outcome"))
+            committed(step, kept, f"purge_{medium}", medium, gone)
 
-    before = store.batch("pages")
     ingest_pages_stream(spark, pages, store, checkpoint).awaitTermination()
     batches = [f"pages-{i}" for i in range(before + 1, store.batch("pages") + 1)]
     scanned = store.read_batches("scan_titles", batches)
 
     landed = spark.read.schema(schema("landed_details")).parquet(details)
-    outcomes, links = [], [store.read_batches("scan_links", batches)]
-    for queue in QUEUES:
-        applied = run_queue(store.catalogue(), queue, landed, limit, now)
-        # Kept before the commit, because both describe the tables left behind.
-        part = applied.titles.select(F.lit(queue).alias("queue"), "item_id", "outcome")
-        outcomes.append(materialise(part, "outcomes"))
-        links.append(materialise(applied.links.withColumn("phase", F.lit(queue)), "link-log"))
-        store.commit(applied.catalogue)
-    done = reduce(DataFrame.unionByName, outcomes)
-
-    medium = F.when(F.col("queue") == "print_refresh", "manga").otherwise("anime").alias("medium")
-    gone = done.select(medium, "outcome").unionByName(scanned.select("medium", "outcome"))
+    for step, queue in enumerate(QUEUES, 2):
+        if step not in done:
+            applied = run_queue(store.catalogue(), queue, landed, limit, now)
+            medium = "manga" if queue == "print_refresh" else "anime"
+            committed(step, applied.catalogue, queue, medium, applied.titles, applied.links)
+
+    did = store.read_batches("run_titles", [batch])
+    gone = did.select("medium", "outcome").unionByName(scanned.select("medium", "outcome"))
+    removed = {"anime": 0, "manga": 0}
     for row in gone.filter("outcome = 'removed_adult'").groupBy("medium").count().collect():
         removed[row["medium"]] += row["count"]
 
@@ -128,12 +148,14 @@ def run_scheduled(
     requests = [
         select_queue(cat, q, n).filter("mal_id > 0").select(F.lit(q).alias("queue"), "mal_id") for q, n in sizes.items()
     ]
+    facets = publish_facets(store, cat)
+    store.write({}, mark=store.marked("run", number))
     return RunReport(
         removed_anime=removed["anime"],
         removed_print=removed["manga"],
-        facets=publish_facets(store, cat),
-        health=health.refresh_health(done),
-        links=health.reconcile_stats(reduce(DataFrame.unionByName, links)),
+        facets=facets,
+        health=health.refresh_health(did.filter(F.col("queue").isin(*QUEUES))),
+        links=health.reconcile_stats(store.read_batches("scan_links", [*batches, batch])),
         scans=health.scan_summary(scan_results(store, batches)),
         requests=reduce(DataFrame.unionByName, requests),
         season_coverage=profile.season_coverage(cat.anime),

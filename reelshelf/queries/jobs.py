@@ -42,7 +42,7 @@ def folder(spark) -> str:
 def store_of(spark, cat: Catalogue) -> Store:
     """A new store that holds the sample catalogue."""
     store = Store(spark, folder(spark) + "/store")
-    store.write({t: getattr(cat, t) for t in Catalogue.tables()})
+    store.load({t: getattr(cat, t) for t in Catalogue.tables()})
     return store
 
 
@@ -141,7 +141,7 @@ def _anime_answered(spark, sf):
     """Stored catalogue, titles to refresh and answers of the anime side."""
     cat = store_of(spark, catalogue(spark, sf)).catalogue()
     answers = _answers(spark, sf, "anime")
-    return cat, answered(cat.anime, answers, select_queue(cat, "anime_refresh", fv.REFRESH_LIMIT)), answers
+    return cat, answered(cat, "anime", answers, select_queue(cat, "anime_refresh", fv.REFRESH_LIMIT)), answers
 
 
 def _committed(applied: apply.Applied, keep: str = "outcomes"):
@@ -193,7 +193,7 @@ WHEN 'unsupported_type' THEN 'removed_unsupported' ELSE f.outcome END AS outcome
 def _(spark, sf):
     cat = store_of(spark, catalogue(spark, sf)).catalogue()
     answers = _answers(spark, sf, "manga")
-    chosen = answered(cat.manga, answers, select_queue(cat, "print_refresh", fv.REFRESH_LIMIT))
+    chosen = answered(cat, "manga", answers, select_queue(cat, "print_refresh", fv.REFRESH_LIMIT))
     titles, store = _committed(apply.apply_print_refresh(cat, chosen, answers, now()))
     rows = store.read("manga").select(F.col("manga_id").alias("item_id"), (F.col("last_attempt") == now()).alias("attempted"))
     out = titles.select("item_id", "outcome").join(rows, "item_id", "left")

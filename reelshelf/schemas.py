@@ -32,6 +32,9 @@ DDL = {
     "sync_state": "key string, next_page int, last_attempt_at timestamp, "
     "last_completed_at timestamp, last_error string, cycle bigint, closed_at timestamp, closed_from int",
     "refused_pages": "scan_key string, page int, reason string, seen_at timestamp",
+    "anime_directory": "mal_id bigint, item_id bigint",
+    "manga_directory": "mal_id bigint, item_id bigint",
+    "run_titles": "queue string, medium string, item_id bigint, outcome string",
     "scan_titles": "provider_type string, medium string, item_id bigint, outcome string",
     "scan_links": "entity string, item_id bigint, created bigint, removed bigint, changed bigint, "
     "malformed bigint, phase string",

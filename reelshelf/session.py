@@ -61,6 +61,17 @@ def materialise(df: DataFrame, label: str = "step") -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    name = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return name.getFileSystem(spark._jsc.hadoopConfiguration()).exists(name)
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder on whatever file system it lies; a missing one is fine."""
+    name = spark._jvm.org.apache.hadoop.fs.Path(path)
+    name.getFileSystem(spark._jsc.hadoopConfiguration()).delete(name, True)
+
+
 # Rows a lookup may have before we stop asking for a broadcast.
 BROADCAST_ROWS = 100_000
 

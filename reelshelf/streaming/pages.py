@@ -142,29 +142,33 @@ def ingest_batch(
     """Apply one batch of pages, one kind of scan after another, and move every cursor.
 
     Pages that are refused, those of an unknown scan among them, are kept in
-    ``refused_pages`` until they land again and are accepted. What the batch did
-    to titles and links is kept under its id for the report. The mark of the batch
-    comes last; a batch that failed half-way is applied again as a whole, which
-    leaves the titles as they are.
+    ``refused_pages`` until they land again and are accepted, or their scan ends before
+    them. Each kind of scan is one commit, with the log of what it did and its mark; a
+    batch that failed half-way goes on with the first scan that is not marked. The
+    cursors and the mark of the batch are the last commit.
     """
+    store.recover()
     if batch_id <= store.batch("pages"):
         return
+    done = store.steps("pages", batch_id)
     now = F.current_timestamp() if now is None else now
     checked = materialise(checked_pages(pages), "checked")
     # At most one row for each kind of scan.
     present = {r[0] for r in checked.select("scan").distinct().collect()}
-    titles, links = [], []
+    batch = f"pages-{batch_id}"
     for scan in SCANS:
-        if scan.order not in present:
+        if scan.order not in present or scan.order in done:
             continue
         applied = apply_scan(store.catalogue(), checked.filter(F.col("scan") == scan.order), scan, now)
         label = F.lit(scan.label)
         medium = F.lit("manga" if scan.kind == "manga" else "anime")
-        # Stored before the commit, because both describe the tables left behind.
-        done = applied.titles.select(label.alias("provider_type"), medium.alias("medium"), "item_id", "outcome")
-        titles.append(materialise(done, "titles"))
-        links.append(materialise(applied.links.withColumn("phase", label), "link-log"))
-        store.commit(applied.catalogue)
+        titles = applied.titles.select(label.alias("provider_type"), medium.alias("medium"), "item_id", "outcome")
+        logs = [
+            store.batch_rows("scan_titles", titles, batch, "provider_type"),
+            store.batch_rows("scan_links", applied.links.withColumn("phase", label), batch, "phase"),
+        ]
+        done |= {scan.order}
+        store.commit(applied.catalogue, logs, store.marked("pages", batch_id, done))
     results = page_results(checked, last_page)
     unknown = checked.filter("scan IS NULL").select(
         "scan_key",
@@ -177,18 +181,16 @@ def ingest_batch(
     state = store.read("sync_state")
     refused = health.refused_pages(store.read("refused_pages"), results.unionByName(unknown), state)
     refused = materialise(refused, "refused")
-    store.write({"sync_state": health.advance_state(state, results, refused), "refused_pages": refused})
     labels = F.create_map(*[F.lit(x) for s in SCANS for x in (s.order, s.label)])
     counted = checked.groupBy(F.coalesce(labels[F.col("scan")], F.lit(UNKNOWN_SCAN)).alias("provider_type")).agg(
         F.count_if(F.col("reason").isNull()).alias("pages_completed"),
         F.count_if(F.col("reason").isNotNull()).alias("pages_failed"),
     )
-    batch = f"pages-{batch_id}"
-    store.write_batch("scan_pages", counted, batch)
-    for table, parts in (("scan_titles", titles), ("scan_links", links)):
-        if parts:
-            store.write_batch(table, reduce(DataFrame.unionByName, parts), batch)
-    store.mark("pages", batch_id)
+    store.write(
+        {"sync_state": health.advance_state(state, results, refused), "refused_pages": refused},
+        logs=[store.batch_rows("scan_pages", counted, batch)],
+        mark=store.marked("pages", batch_id),
+    )
 
 
 def ingest_pages_stream(

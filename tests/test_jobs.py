@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import re
+import shutil
 import uuid
 from dataclasses import replace
 
@@ -12,9 +14,9 @@ from pyspark.sql import functions as F
 
 from reelshelf.functions.text import entity_key, entity_name, strip
 from reelshelf.operators import visits
-from reelshelf.plans.scheduled import run_scheduled
+from reelshelf.plans.scheduled import purge, run_scheduled
 from reelshelf.schemas import schema
-from reelshelf.session import broadcast_if_small, materialise, scratch_dir
+from reelshelf.session import broadcast_if_small, materialise, path_exists, scratch_dir
 from reelshelf.sources.bindings import view
 from reelshelf.sources.landing import landed_pages
 from reelshelf.sources.store import Store
@@ -204,7 +206,7 @@ def test_visit_upsert_is_associative(spark):
 
 def test_scheduled_run(spark, root, cat):
     store = Store(spark, root + "/store")
-    store.write({t: getattr(cat, t) for t in cat.tables()})
+    store.load({t: getattr(cat, t) for t in cat.tables()})
     flagged = cat.anime.filter("is_adult").count() + cat.manga.filter("is_adult").count()
     land(spark, root + "/pages", (TYPE_SCAN.format("ova"), 1, body({"mal_id": 100_001, "title": "Fresh OVA"})))
     details = [
@@ -256,3 +258,140 @@ def test_names_fold_like_unicode_says(spark):
     assert [r.name for r in out] == ["A b", "straße", None, None, "film"]
     assert [r.key for r in out] == ["a b", "strasse", None, None, "film"]
     assert out[0].s == "Ａ  b" and out[2].s == ""
+
+
+def test_a_vanished_page_ends_its_scan(spark, root):
+    """A refused page that is then gone is forgotten; the scan starts over and completes."""
+    ova = TYPE_SCAN.format("ova")
+    store = Store(spark, root + "/store", buckets=2)
+    moments = iter(range(1, 20))
+
+    def ingest(*pages):
+        day = next(moments)
+        rows = land(spark, f"{root}/pages-{day}", *[(ova, n, what) for n, what in pages])
+        ingest_batch(store, rows.withColumn("fetched_at", F.lit(f"2024-06-{day:02}").cast("timestamp")), day)
+        state = store.read("sync_state").filter(F.col("key") == ova).first()
+        return state.next_page, state.last_error, state.cycle, state.last_completed_at and state.last_completed_at.day
+
+    more, last = body(more=True), body()
+    assert ingest((4, more), (5, 503), (6, more)) == (5, "HTTP 503", 0, None)
+    assert ingest((5, 404)) == (1, "HTTP 404", 1, None)
+    assert ingest((1, more)) == (2, None, 1, None)
+    assert ingest((2, last)) == (1, None, 2, 4)
+    assert store.read("refused_pages").count() == 0
+    # A shorter scan closes what lay behind its last page, and nothing before it.
+    assert ingest((2, 503), (7, 503), (8, 503)) == (2, "HTTP 503", 2, 4)
+    assert ingest((3, last)) == (2, "HTTP 503", 3, 4)
+    assert [r.page for r in store.read("refused_pages").collect()] == [2]
+    assert ingest((2, more)) == (3, None, 3, 4)
+    assert ingest((3, last)) == (1, None, 4, 8)
+    # A refusal from before the end that lands late belongs to a page the scan no longer has.
+    late = land(spark, f"{root}/late", (ova, 9, 503)).withColumn("fetched_at", F.lit("2024-06-05").cast("timestamp"))
+    ingest_batch(store, late, 100)
+    assert store.read("refused_pages").count() == 0
+
+
+def snapshot(store):
+    tables = ("anime", "anime_genre", "anime_studio", "studio", "genre", "anime_directory", "manga", "manga_genre", "manga_directory")
+    rows = {t: sorted(map(str, store.read(t).drop("last_sync").collect())) for t in tables}
+    rows |= {t: sorted(map(str, store.read(t).collect())) for t in ("sync_state", "refused_pages")}
+    logs = ("scan_titles", "scan_links", "scan_pages")
+    return rows | {t: sorted(map(str, store.read_batches(t).collect())) for t in logs}
+
+
+class Stop(Exception):
+    pass
+
+
+def test_a_batch_that_stops_anywhere_goes_on(spark, root, monkeypatch):
+    """After a stop at any write of any commit, the batch run again ends in the same tables and log."""
+    studio, genre = {"mal_id": 7, "name": "Made"}, {"name": "Drama"}
+    old = [{"mal_id": i, "title": f"T{i}", "studios": [studio], "genres": [genre]} for i in range(1, 5)]
+    ova, manga = TYPE_SCAN.format("ova"), TYPE_SCAN.format("manga")
+    first = land(spark, root + "/first", (ova, 1, body(*old, more=True)), (manga, 1, body({"mal_id": 9, "title": "M", "genres": [genre]})))
+    gone = {"mal_id": 2, "title": "T2", "rating": "Rx - Hentai"}
+    second = land(
+        spark, root + "/second", (ova, 2, body(gone, {"mal_id": 8, "title": "New", "studios": [studio]}, {"mal_id": 1, "title": "One"})),
+        (manga, 2, body({"mal_id": 9, "title": "M2", "genres": [{"name": "Erotica"}]}, {"mal_id": 10, "title": "N"})), (ova, 3, 503),
+    )
+    now = F.lit("2024-06-01").cast("timestamp")
+
+    base = Store(spark, root + "/base", buckets=2)
+    ingest_batch(base, first, 0, now)
+
+    def fresh(name):
+        shutil.copytree(base.root, f"{root}/{name}")
+        return Store(spark, f"{root}/{name}")
+
+    whole = fresh("whole")
+    ingest_batch(whole, second, 1, now)
+    want = snapshot(whole)
+    assert whole.read("anime_studio").count() == 4 and whole.read("anime").count() == 4
+    assert whole.read("manga").count() == 1 and whole.read("manga_directory").first().mal_id == 10
+
+    real, calls = Store._overwrite, {"left": None}
+
+    def limited(self, change):
+        if calls["left"] is not None:
+            calls["left"] -= 1
+            if calls["left"] < 0:
+                raise Stop
+        real(self, change)
+
+    monkeypatch.setattr(Store, "_overwrite", limited)
+    monkeypatch.setattr(Store, "_in_threads", lambda self, work, changes: [work(c) for c in changes])
+    for allowed in (0, 4, 11):
+        store = fresh(f"stop-{allowed}")
+        calls["left"] = allowed
+        with pytest.raises(Stop):
+            ingest_batch(store, second, 1, now)
+        calls["left"] = None
+        again = Store(spark, store.root)
+        ingest_batch(again, second, 1, now)
+        assert snapshot(again) == want, allowed
+        assert not path_exists(spark, store.root + "/journal")
+
+
+def test_a_purge_that_stops_leaves_no_links(spark, root, cat, monkeypatch):
+    store = Store(spark, root + "/store")
+    store.load({t: getattr(cat, t) for t in cat.tables()})
+    kept, gone = purge(store.catalogue(), "anime")
+    assert gone.count() > 0
+    real = Store._overwrite
+
+    def titles_only(self, change):
+        if change.table != "anime":
+            raise Stop
+        real(self, change)
+
+    monkeypatch.setattr(Store, "_overwrite", titles_only)
+    monkeypatch.setattr(Store, "_in_threads", lambda self, work, changes: [work(c) for c in sorted(changes, key=lambda c: c.table)])
+    with pytest.raises(Stop):
+        store.commit(kept)
+    monkeypatch.undo()
+    store.recover()
+    for table in ("anime_genre", "anime_studio", "anime_streaming_service"):
+        assert store.read(table).join(store.read("anime"), "anime_id", "left_anti").count() == 0
+    ids = store.read("anime").filter("mal_id IS NOT NULL").select("mal_id", F.col("anime_id").alias("item_id"))
+    assert ids.exceptAll(store.read("anime_directory")).count() == 0 and store.read("anime_directory").count() == ids.count()
+
+
+def test_a_store_keeps_its_number_of_buckets(spark, root):
+    rows = spark.createDataFrame([], schema("anime")).unionByName(
+        spark.range(1, 41).select(F.col("id").alias("anime_id"), F.col("id").alias("mal_id")), allowMissingColumns=True
+    )
+    Store(spark, root, buckets=64).load({"anime": rows})
+    assert Store(spark, root).find("anime", list(range(1, 8))).count() == 7
+    with pytest.raises(ValueError, match="64 buckets"):
+        Store(spark, root, buckets=16)
+
+
+def test_ids_are_looked_up_in_few_buckets(spark, root, cat):
+    store = Store(spark, root, buckets=32)
+    store.load({t: getattr(cat, t) for t in cat.tables()})
+    asked = spark.createDataFrame([(1,), (2,), (10**9,)], "mal_id bigint")
+    stored = store.catalogue()
+    found = stored.known("anime", asked)
+    assert sorted(found.collect()) == sorted(cat.known("anime", asked).collect())
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("FileScan") == 1 and re.search(r"PartitionFilters: \[[^\]]*bucket#\d+ (IN|=|INSET)", plan), plan
