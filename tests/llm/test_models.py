@@ -152,7 +152,6 @@ def test_segments_hold_whole_texts():
 
 def test_pipeline_against_a_plain_version(spark):
     import corpus_pipeline as pipeline
-    from reelshelf.llm import simhash
 
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
@@ -166,17 +165,24 @@ def test_pipeline_against_a_plain_version(spark):
     table = quality.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"))
     rows = sorted((r.doc_id, r.text or "", r.lang) for r in docs.collect())
     rows = [r for r, s in zip(rows, quality.text_scores([t.encode() for _, t, _ in rows], table), strict=True) if s >= quality.THRESHOLD]
-    langs, likely = language_id.fit(docs.where(docs["doc_id"].isin([i for i, _, _ in rows])))
-    found, scores = language_id.predict_texts([t.encode() for _, t, _ in rows], langs, likely)
-    rows = [r for r, lang, s in zip(rows, found, scores, strict=True) if lang != "und" and s >= 1 / 3]
+    good = docs.where(docs["doc_id"].isin([i for i, _, _ in rows]))
+    langs, likely = language_id.fit(good)
+    least = language_id.least_fit(good, langs, likely)
+    judged = zip(*language_id.judge_texts([t.encode() for _, t, _ in rows], langs, likely), strict=True)
+    rows = [r for r, (lang, s, fit) in zip(rows, judged, strict=True) if lang != "und" and s >= 1 / 3 and fit >= least]
     first = {}
     for i, t, _ in rows:
         first.setdefault(" ".join(t.split()), (i, t))
-    codes = [(i, simhash.fingerprint(t.encode())) for i, t in first.values()]
-    want, owner = set(), {}
-    for i, f in codes:
-        near = [j for j, g in codes if (f ^ g).bit_count() <= 2]
-        owner[i] = min(near)
+    sets = {}
+    for i, t in first.values():
+        words = t.encode().lower().split()
+        sets[i] = {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))}
+    owner = {i: i for i in sets}
+    for i in sorted(sets):
+        for j in sorted(sets):
+            if i < j and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                low, high = sorted((owner[i], owner[j]))
+                owner = {k: low if o == high else o for k, o in owner.items()}
     want = {i for i, o in owner.items() if o == i}
     assert ids == want
     pieces = pipeline.run(spark, sf).collect()

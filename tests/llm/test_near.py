@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import re
 
 import numpy as np
@@ -155,3 +156,34 @@ def test_near_stage_links_members_that_are_far_from_the_first(spark, documents):
     pairs += [(1, "x y"), (1, "z"), (None, "z"), (None, "other"), (2, "X  y")]
     got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.near(spark, documents(pairs), None).collect()), key=str)
     assert got == sorted([(5, pairs[4][1]), (1, "x y"), (1, "z"), (None, "other")], key=str)
+
+
+def test_near_stage_on_template_pages(spark, documents):
+    """Pages that share most of their words, none a duplicate: few pairs bring their texts along."""
+    from reelshelf.llm import shingle_dedup as sd
+
+    rng = random.Random(4)
+    frame = [f"t{i}" for i in range(100)]
+    texts = [" ".join(frame + [f"u{rng.randint(0, 10**9)}" for _ in range(35)]) for _ in range(400)]
+    texts.append(texts[0].replace("t50", "x50"))
+    docs = documents(list(enumerate(texts)))
+    given = docs.selectExpr("struct(doc_id) AS row", "CAST(text AS BINARY) AS text")
+    rows = given.mapInArrow(sd._sketches, "row struct<doc_id:bigint>, vertex binary, size int, bands array<bigint>, marks binary")
+    keys = rows.selectExpr("explode(bands) AS key", "vertex")
+    pairs = keys.alias("l").join(keys.alias("r"), "key").where("l.vertex < r.vertex").selectExpr("l.vertex a", "r.vertex b").distinct()
+    marks = rows.select("vertex", "marks")
+    both = pairs.join(marks.toDF("a", "marks_a"), "a").join(marks.toDF("b", "marks_b"), "b").select("a", "b", "marks_a", "marks_b")
+    hopeful = both.mapInArrow(sd._hopeful, "a binary, b binary").count()
+    assert 1 <= hopeful < pairs.count() / 3
+    assert sorted(r.doc_id for r in sd.drop_near_duplicates(docs).collect()) == list(range(400))
+
+
+def test_near_stage_hands_on_columns_of_any_name(spark):
+    from reelshelf.llm import shingle_dedup as sd
+
+    names = ["vertex", "bands", "marks", "size", "row", "digest", "id", "key", "_vertex", "_digest", "_key", "_id", "unnamed", "first", "kept", "linked", "a", "b"]
+    rows = [(i, f"one two three four five six {'x' if i < 2 else i}", *[f"{n}{i}" for n in names]) for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    got = sd.drop_near_duplicates(docs)
+    assert got.columns == docs.columns
+    assert sorted(map(tuple, got.collect())) == [rows[0], rows[2], rows[3]]
