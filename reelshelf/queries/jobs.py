@@ -227,19 +227,33 @@ INGESTED = """SELECT COALESCE(a.anime_id, -p.k) AS anime_id, COALESCE(p.title, a
 CASE WHEN p.k IS NULL THEN a.type ELSE 'MOVIE' END AS type, CASE WHEN p.k IS NULL THEN a.season ELSE p.season_named END AS season
 FROM (SELECT * FROM {anime} AS a WHERE NOT EXISTS (SELECT 1 FROM {arrived} AS r WHERE r.is_adult AND r.mal_id = a.mal_id)) AS a
 FULL JOIN {movies} AS p ON p.mal_id = a.mal_id"""
-# Pages of the movie scan that are refused, and why.
+# Some days later the largest page that answered 503 is gone, page 1 is fine, and the scan
+# ends in its middle: what lay behind either end is closed, what lay before stays open.
 REFUSED = """SELECT page, CASE page % 11 WHEN 7 THEN 'data is not a list' WHEN 9 THEN 'not an object' WHEN 10 THEN 'HTTP 503' ELSE 'invalid pagination' END AS reason
-FROM (SELECT DISTINCT page FROM {pay}) WHERE page % 11 IN (1, 2, 4, 7, 9, 10)"""
-# The first refused page is asked for again, whatever came after it.
-CURSOR = """SELECT CAST(COALESCE((SELECT min(page) FROM {refused}), CASE WHEN m % 11 = 6 THEN 1 ELSE m + 1 END) AS INT) AS next_page FROM (SELECT max(page) AS m FROM {pay})"""
+FROM (SELECT DISTINCT page, max(page) OVER () // 2 + 1 AS last FROM {pay}) WHERE page % 11 IN (1, 2, 4, 7, 9, 10) AND page > 1 AND page < last"""
+PAGES_FAILED = """SELECT count(*) FILTER (WHERE page % 11 IN (1, 2, 4, 7, 9, 10)) + CAST(max(page) >= 10 AS INT) AS failed,
+count(*) FILTER (WHERE page % 11 NOT IN (1, 2, 4, 7, 9, 10)) + 2 AS done FROM (SELECT DISTINCT page FROM {pay})"""
+# The first page that is still open is asked for again, whatever came after it.
+CURSOR = """SELECT CAST(COALESCE((SELECT min(page) FROM {refused}), 1) AS INT) AS next_page"""
+STATE = """SELECT (SELECT next_page FROM {cursor}) AS next_page, (SELECT min_by(reason, page) FROM {refused}) AS last_error,
+CAST(count(*) FILTER (WHERE page % 11 = 6) + CAST(max(page) >= 10 AS INT) + 1 AS BIGINT) AS cycle, CAST(max(page) // 2 + 2 AS INT) AS closed_from,
+CASE WHEN (SELECT count(*) FROM {refused}) = 0 THEN '2024-05-04' END AS completed FROM (SELECT DISTINCT page FROM {pay})"""
 J = {**V, "arrived": ARRIVED, "movies": MOVIES, "ingested": INGESTED, "refused": REFUSED, "cursor": CURSOR}
 
 
 def land_pages(spark, sf, root):
-    """Pages of one scan, and some under a key that no scan has."""
-    pages = payloads.landed(payloads.anime_bodies(spark, sf), MOVIE_SCAN)
+    """Pages of one scan, some under a key that no scan has, and what the provider says later on."""
+    pages = materialise(payloads.landed(payloads.anime_bodies(spark, sf), MOVIE_SCAN), "landed")
     odd = pages.filter("page % 11 = 0").withColumn("scan_key", F.lit(MYSTERY_SCAN))
-    pages.unionByName(odd).write.parquet(root + "/pages")
+    top = pages.agg(F.max("page")).first()[0]
+    empty = '{{"data":[],"pagination":{{"has_next_page":{}}}}}'
+    later = [(1, 200, "2024-05-03", empty.format("true")), (top // 2 + 1, 200, "2024-05-04", empty.format("false"))]
+    if top >= 10:
+        later.append((top - (top - 10) % 11, 404, "2024-05-02", None))
+    later = spark.createDataFrame(later, "page int, status_code int, fetched_at string, body string").select(
+        F.lit(MOVIE_SCAN).alias("scan_key"), "page", "status_code", F.col("fetched_at").cast("timestamp"), "body"
+    )
+    pages.unionByName(odd).unionByName(later).write.parquet(root + "/pages")
 
 
 def _ingested(spark, sf) -> Store:
@@ -258,6 +272,13 @@ def _(spark, sf):
     return rows.withColumn("next_page", cursor)
 
 
+@query("j1_scan_state", STATE, **J)
+def _(spark, sf):
+    state = _ingested(spark, sf).find("sync_state", [MOVIE_SCAN])
+    completed = F.date_format("last_completed_at", "yyyy-MM-dd").alias("completed")
+    return state.select("next_page", "last_error", "cycle", "closed_from", completed)
+
+
 @query(
     "j1_refused_pages",
     f"""SELECT '{MOVIE_SCAN}' AS scan_key, page, reason FROM {{refused}}
@@ -323,9 +344,9 @@ def _(spark, sf):
     f"""SELECT provider_type, CAST(sum(done) AS BIGINT) AS pages_completed, CAST(sum(failed) AS BIGINT) AS pages_failed, CAST(sum(inserted) AS BIGINT) AS inserted,
 CAST(sum(updated) AS BIGINT) AS updated, CAST(sum(removed) AS BIGINT) AS removed FROM (
 SELECT 'movie' AS provider_type, 0 AS done, 0 AS failed, CAST(outcome = 'inserted' AS INT) AS inserted, CAST(outcome = 'updated' AS INT) AS updated, CAST(outcome = 'removed' AS INT) AS removed FROM {{scanned}}
-UNION ALL SELECT 'movie', CAST(page NOT IN (SELECT page FROM {{refused}}) AS INT), CAST(page IN (SELECT page FROM {{refused}}) AS INT), 0, 0, 0 FROM (SELECT DISTINCT page FROM {{pay}})
+UNION ALL SELECT 'movie', done, failed, 0, 0, 0 FROM {{pages_failed}}
 UNION ALL SELECT '{UNKNOWN_SCAN}', 0, 1, 0, 0, 0 FROM (SELECT DISTINCT page FROM {{pay}}) WHERE page % 11 = 0) GROUP BY GROUPING SETS ((provider_type), ())""",
-    refused=REFUSED,
+    pages_failed=PAGES_FAILED,
     **RUN,
 )
 def _(spark, sf):
