@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from reelshelf.functions import fixed_values as fv
 from reelshelf.functions.text import casefold
 from reelshelf.operators import filters
-from reelshelf.operators.ranking import global_rank, slice_rows
+from reelshelf.operators.ranking import Key, global_rank, slice_rows
 from reelshelf.schemas import LINKS
 
 BOUNDED = ("year", "score", "episodes", "chapters", "volumes")
@@ -167,7 +167,7 @@ def facet_page(facets, content_types, facet: str, q: str, offset: int, limit: in
     values = _facet_values(facets, content_types, facet)
     if q.strip():
         values = values.filter(F.contains(F.lower("value"), F.lower(F.lit(q.strip()))))
-    rows = slice_rows(values, [F.col("value").asc()], offset, limit + 1)
+    rows = slice_rows(values, [Key(F.col("value"))], offset, limit + 1)
     more = rows.agg(F.count("*") > limit).scalar()
     return rows.filter(F.col("rank") <= offset + limit).withColumn("has_more", more)
 

@@ -82,7 +82,7 @@ class Catalogue:
 
     def page(self, spec: CatalogueQuery) -> DataFrame:
         """one ordered page of identity rows with ``rank``."""
-        keys = ranking.order_keys(spec.sort)
+        keys = ranking.sort_keys(spec.sort)
         return ranking.slice_rows(self.identity_rows(spec), keys, spec.offset, spec.per_page)
 
     def listing(self, spec: CatalogueQuery, tier: str = "list") -> DataFrame:

@@ -336,8 +336,9 @@ WHERE rank BETWEEN 101 AND 200""",
 )
 def _(spark, sf):
     rows = catalogue(spark, sf).identity_rows(CatalogueQuery())
-    ranked = ranking.global_rank(rows, ranking.order_keys("newest"))
-    return ranked.filter(F.col("rank").between(101, 200)).select("content_type", "record_id", "rank")
+    part, before = ranking.narrowed(rows, ranking.sort_keys("newest"), 100, 200, 150, sample=64)
+    page = ranking.slice_rows(part, ranking.sort_keys("newest"), 100 - before, 100)
+    return page.select("content_type", "record_id", (F.col("rank") + before).alias("rank"))
 
 
 @query(
@@ -418,9 +419,9 @@ WHERE rank BETWEEN 101 AND 200""",
     rows=IDENTITY_SQL,
 )
 def _(spark, sf):
-    # Beyond this limit the slice is ranked; the sample is smaller than the default limit.
+    # Beyond this limit the slice is selected; the sample is smaller than the default limit.
     rows = catalogue(spark, sf).identity_rows(CatalogueQuery())
-    page = ranking.slice_rows(rows, ranking.order_keys("newest"), 100, 100, top_k=150)
+    page = ranking.slice_rows(rows, ranking.sort_keys("newest"), 100, 100, top_k=150)
     return page.select("content_type", "record_id", "rank")
 
 

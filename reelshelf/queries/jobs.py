@@ -17,6 +17,7 @@ from reelshelf.queries.ingest import (
     M,
     P,
     PRINT_OUTCOME,
+    SERVICES,
     V,
     _details,
     _stored_manga,
@@ -200,21 +201,40 @@ def _(spark, sf):
     return out.withColumn("attempted", F.coalesce("attempted", F.lit(False)))
 
 
-STREAMED = f"""SELECT q.anime_id AS item_id, q.mal_id, {FETCHED} AS fetched FROM {{refresh_queue}} AS q"""
+# Links of an updated title as its answer leaves them: a list replaces the links it is
+# complete for, a list with a bad entry only adds, no list leaves them alone.
+LINKED = """SELECT COALESCE(c.anime_id, i.k) AS anime_id, COALESCE(c.service_key, i.key) AS service_key, COALESCE(i.url, c.url) AS url,
+i.k IS NULL AND c.anime_id % 5 IN (2, 3) AS gone, i.url IS DISTINCT FROM c.url AND (i.k IS NOT NULL OR c.anime_id % 5 IN (2, 3)) AS moved
+FROM (SELECT l.* FROM {anime_streaming_service} AS l JOIN {streamed} AS s ON s.item_id = l.anime_id AND s.fetched = 'updated') AS c
+FULL JOIN (SELECT v.* FROM {services} AS v JOIN {streamed} AS s ON s.item_id = v.k AND s.fetched = 'updated') AS i ON i.k = c.anime_id AND i.key = c.service_key"""
+STREAMED = {
+    "refresh_queue": REFRESH_QUEUE,
+    "streamed": f"SELECT q.anime_id AS item_id, q.mal_id, {FETCHED} AS fetched FROM {{refresh_queue}} AS q",
+    "services": SERVICES,
+    "linked": LINKED,
+}
 
 
 @query(
     "i19_streaming_backfill",
-    """SELECT s.item_id, s.fetched AS outcome, CASE WHEN s.fetched = 'updated' THEN CASE s.mal_id % 5 WHEN 0 THEN 'missing' WHEN 2 THEN 'empty' ELSE 'given' END END AS payload
-FROM {streamed} AS s""",
-    refresh_queue=REFRESH_QUEUE,
-    streamed=STREAMED,
+    """SELECT s.item_id, CASE WHEN s.fetched = 'updated' AND NOT EXISTS (SELECT 1 FROM {linked} AS l WHERE l.anime_id = s.item_id AND l.moved) THEN 'checked' ELSE s.fetched END AS outcome,
+CASE WHEN s.fetched = 'updated' THEN CASE s.mal_id % 5 WHEN 0 THEN 'missing' WHEN 2 THEN 'empty' ELSE 'given' END END AS payload FROM {streamed} AS s""",
+    **STREAMED,
 )
 def _(spark, sf):
     titles, _ = _committed(apply.apply_streaming_backfill(*_anime_answered(spark, sf), now()))
-    # Whether a link changed is checked by i10; here both count as handled.
-    outcome = F.when(F.col("outcome") == "checked", "updated").otherwise(F.col("outcome"))
-    return titles.select("item_id", outcome.alias("outcome"), "payload")
+    return titles.select("item_id", "outcome", "payload")
+
+
+@query(
+    "i19_stored_links",
+    """SELECT anime_id, service_key, url FROM {linked} WHERE NOT gone
+UNION ALL SELECT anime_id, service_key, url FROM {anime_streaming_service} WHERE anime_id NOT IN (SELECT item_id FROM {streamed} WHERE fetched IN ('updated', 'removed_adult'))""",
+    **STREAMED,
+)
+def _(spark, sf):
+    _, store = _committed(apply.apply_streaming_backfill(*_anime_answered(spark, sf), now()))
+    return store.read("anime_streaming_service").select("anime_id", "service_key", "url")
 
 
 # --- J1, J2, I20 ----------------------------------------------------------------------
@@ -316,22 +336,18 @@ UNION ALL SELECT 'streaming_backfill', CASE outcome WHEN 'updated' THEN 'checked
 UNION ALL SELECT 'print_refresh', outcome FROM {print_outcomes}""",
     "print_outcomes": PRINTED["outcomes"],
 }
-_RUNS: dict[tuple[str, str], tuple] = {}
 
 
 def _scheduled(spark, sf):
-    """The run's report; the queries on it share one run of a session."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _RUNS:
-        root = folder(spark)
-        land_pages(spark, sf, root)
-        anime, printed = _details(spark, sf, "anime"), _details(spark, sf, "manga")
-        kinds = F.explode(F.array(*[F.lit(q) for q in ("season_backfill", "anime_refresh", "streaming_backfill")]))
-        details = anime.withColumn("kind", kinds).unionByName(printed.withColumn("kind", F.lit("print_refresh")))
-        details.write.parquet(root + "/details")
-        store = store_of(spark, catalogue(spark, sf))
-        _RUNS[key] = run_scheduled(spark, store, root + "/pages", root + "/checkpoint", root + "/details", now())
-    return _RUNS[key]
+    """The report of one whole run on a new store."""
+    root = folder(spark)
+    land_pages(spark, sf, root)
+    anime, printed = _details(spark, sf, "anime"), _details(spark, sf, "manga")
+    kinds = F.explode(F.array(*[F.lit(q) for q in ("season_backfill", "anime_refresh", "streaming_backfill")]))
+    details = anime.withColumn("kind", kinds).unionByName(printed.withColumn("kind", F.lit("print_refresh")))
+    details.write.parquet(root + "/details")
+    store = store_of(spark, catalogue(spark, sf))
+    return run_scheduled(spark, store, root + "/pages", root + "/checkpoint", root + "/details", now())
 
 
 @query("i20_scheduled_run", HEALTH_SQL, **RUN)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from reelshelf import CatalogueQuery
 from reelshelf.operators import filters, profile, projection, ranking
+from reelshelf.session import materialise
 
 
 def keys(rows):
@@ -25,13 +26,42 @@ def test_pages_concatenate_to_the_full_order(cat):
     assert [k for page in pages for k in page] == whole
 
 
-def test_deep_slice_equals_top_k_slice(cat, monkeypatch):
-    rows = cat.identity_rows(CatalogueQuery())
-    order = ranking.order_keys("title")
-    shallow = ranking.slice_rows(rows, order, 30, 10).collect()
-    monkeypatch.setattr(ranking, "TOP_K_ROWS", 5)
-    deep = ranking.slice_rows(rows, order, 30, 10).select(*rows.columns, "rank")
-    assert sorted(shallow) == sorted(deep.collect())
+@pytest.mark.parametrize("sort", ["title", "newest"])
+def test_deep_slice_equals_top_k_slice(cat, sort, monkeypatch):
+    monkeypatch.setattr(ranking, "materialise", None)
+    rows = materialise(cat.identity_rows(CatalogueQuery()).coalesce(2))
+    order, total = ranking.sort_keys(sort), rows.count()
+    for offset in (total // 2, total - 4, total + 9):
+        shallow = ranking.slice_rows(rows, order, offset, 10).collect()
+        deep = ranking.slice_rows(rows, order, offset, 10, top_k=5).collect()
+        assert shallow == deep
+        part, before = ranking.narrowed(rows, order, offset, offset + 10, 60, sample=64)
+        assert before <= offset and (offset >= total or part.count() < total)
+
+
+def test_selection_with_repeated_rows_nulls_and_no_rows(spark):
+    """A third of all rows are one row; they can't be told apart, but are all counted."""
+    rows = [(None if i % 7 == 0 else i % 50, i) for i in range(1000)] + [(25, 999)] * 500
+    rows = materialise(spark.createDataFrame(rows, "score int, id int").coalesce(2))
+    for down, first in ((False, False), (False, True), (True, False), (True, True)):
+        order = [ranking.Key(F.col("score"), down, first), ranking.Key(F.col("id"))]
+        for offset in (140, 900, 1495):
+            shallow = ranking.slice_rows(rows, order, offset, 20).collect()
+            part, before = ranking.narrowed(rows, order, offset, offset + 20, 50, sample=128)
+            deep = ranking.slice_rows(part, order, offset - before, 20).collect()
+            assert [(r.score, r.id) for r in shallow] == [(r.score, r.id) for r in deep]
+    empty = rows.limit(0)
+    assert ranking.slice_rows(empty, order, 9, 5, top_k=1).count() == 0
+
+
+def test_selection_bounds_reach_the_scan(spark, tmp_path):
+    spark.range(5000).select(F.col("id").alias("score"), "id").write.parquet(str(tmp_path / "t"))
+    rows = spark.read.parquet(str(tmp_path / "t"))
+    order = [ranking.Key(F.col("score"), descending=True), ranking.Key(F.col("id"))]
+    page = ranking.slice_rows(rows, order, 4000, 5, top_k=100)
+    assert [r.id for r in page.orderBy("rank").collect()] == [999, 998, 997, 996, 995]
+    plan = page._jdf.queryExecution().executedPlan().toString()
+    assert "LessThanOrEqual(score" in plan and "GreaterThanOrEqual(score" in plan
 
 
 @pytest.mark.parametrize("sort", ["top_rated", "newest", "oldest", "title", "most_popular", "most_members"])
