@@ -93,7 +93,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
 
     Held-out rows never take part. The rows with the smallest hash of their id are
     taken, so the sample does not depend on the cluster. Rows far above the expected
-    bound are left out where they lie; only about twice the sample is ordered.
+    bound are left out where they lie; only about twice the sample is ordered. Of rows
+    that repeat an id, the one whose text has the smallest digest is taken.
     """
     known = (
         labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
@@ -108,4 +109,6 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     place = F.row_number().over(Window.partitionBy("label").orderBy("_hash", "doc_id"))
     chosen = known.where(near).withColumn("_place", place).where(F.col("_place") <= per_class).drop("_place", "_hash")
     # At most two times ``per_class`` rows.
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    text = F.coalesce("text", F.lit(""))
+    return rows.groupBy("doc_id", "label").agg(F.min_by(text, F.sha2(text, 256)).alias("text")).select("doc_id", "text", "label")

@@ -60,8 +60,10 @@ STAND_INS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b
 _LETTERS = str.maketrans(LOOKALIKES | {"l": "i"})
 _SIGNS = str.maketrans(STAND_INS)
 _MARKS = re.compile("[̀-ͯ​-‏⁠﻿­]")
-# A word with a stand-in that has a letter in it; signs behind the word's end aren't part of it.
-_DISGUISED = re.compile(r"(?<![^\W_])(?=[\d@$!|]*[^\W\d_])[^\W_]*(?:[\d@$!|]+[^\W_]+|\d+)+")
+_STAND_IN = re.compile(r"[\d@$!|]+")
+# Letters, digits and signs in a row.
+_RUN = re.compile(r"(?:[^\W_]|[@$!|])+")
+_LETTER = re.compile(r"[^\W\d_]")
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -69,8 +71,29 @@ def fold(text: str) -> str:
     """Text as the lexicon sees it."""
     if not text.isascii():
         text = _MARKS.sub("", unicodedata.normalize("NFKD", text))
-    text = _DISGUISED.sub(lambda m: m[0].translate(_SIGNS), text)
-    return text.lower().translate(_LETTERS)
+    return _undisguised(text).lower().translate(_LETTERS)
+
+
+def _undisguised(text: str) -> str:
+    """Text with the stand-ins of each run that has a letter; signs behind the last letter or digit stay.
+
+    Runs are found from their stand-ins, each is read once, so the time is linear.
+    """
+    out, done = [], 0
+    for hit in _STAND_IN.finditer(text):
+        start = hit.start()
+        if start < done:
+            continue
+        while start > done and text[start - 1].isalnum():
+            start -= 1
+        run = _RUN.match(text, start)[0]
+        word = run.rstrip("@$!|")
+        if _LETTER.search(word):
+            out += text[done:start], word.translate(_SIGNS), run[len(word) :]
+        else:
+            out += text[done:start], run
+        done = start + len(run)
+    return "".join(out) + text[done:]
 
 
 def words(text: str) -> list[str]:
@@ -127,10 +150,16 @@ class Lexicon:
             value = max(word if ends else 0.0, stem)
             if value > best.get(first, 0.0):
                 best[first] = value
-        for first, last in spared:
-            for at in [a for a in best if first <= a <= last]:
-                del best[at]
-        return sum(best.values()), length
+        spared.sort()
+        total, reach, phrases = 0.0, -1, iter([*spared, (size, size)])
+        first, last = next(phrases)
+        for at in sorted(best):
+            while first <= at:
+                reach = max(reach, last)
+                first, last = next(phrases)
+            if at > reach:
+                total += best[at]
+        return total, length
 
     def score(self, text: str) -> float:
         found, length = self.weight(text)
@@ -171,7 +200,7 @@ def _chance(toxic: int, clean: int, share: float) -> float:
     return total
 
 
-def learn(texts: list[str], labels: list[int]) -> Lexicon:
+def learn(texts: list[str], labels: list[int], chance: float = CHANCE) -> Lexicon:
     """Lexicon of the folded words and stems that mark toxic documents."""
     counts, totals = {0: Counter(), 1: Counter()}, Counter(labels)
     if len(totals) < 2:
@@ -182,7 +211,7 @@ def learn(texts: list[str], labels: list[int]) -> Lexicon:
     rated = []
     for entry, n in counts[1].items():
         ratio = (n / totals[1]) / ((counts[0][entry] + 0.5) / totals[0])
-        if n >= LEAST_DOCS and ratio >= LEAST_RATIO and _chance(n, counts[0][entry], share) <= CHANCE:
+        if n >= LEAST_DOCS and ratio >= LEAST_RATIO and _chance(n, counts[0][entry], share) <= chance:
             rated.append((n * np.log(ratio), float(np.log(ratio)), entry))
     chosen = sorted(rated, key=lambda r: (-r[0], r[2]))[:ENTRIES]
     whole = {text: weight for _, weight, (stem, text) in chosen if not stem}

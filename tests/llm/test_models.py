@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+import time
 import zlib
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from reelshelf.llm import language_id, quality, toxicity
-from reelshelf.llm.features import segments
+from reelshelf.llm.features import labelled_sample, segments
 
 SF = "/root/testdata/sf0.1"
 LABELS = "doc_id long, quality int, toxic int"
@@ -66,6 +71,59 @@ def test_folding():
     assert fold("idiot$$$ 2015") == "idiot$$$ 2015"
 
 
+DISGUISED = re.compile(r"(?<![^\W_])(?=[\d@$!|]*[^\W\d_])[^\W_]*(?:[\d@$!|]+[^\W_]+|\d+)+")
+
+
+@given(st.text(alphabet="ab1٣7$!|_ .ß²", max_size=14))
+@settings(max_examples=3000, deadline=None)
+def test_stand_ins_against_a_pattern_that_tries_every_place(text):
+    plain = DISGUISED.sub(lambda m: m[0].translate(toxicity._SIGNS), text)
+    assert toxicity._undisguised(text) == plain
+
+
+def plain_weight(lexicon, text):
+    """Every entry and phrase tried at every place of the folded text."""
+    folded = toxicity.fold(text)
+    alnum = lambda i: 0 <= i < len(folded) and folded[i].isalnum()
+    starts = [i for i in range(len(folded)) if not alnum(i - 1)]
+    spared = [(i, i + len(p)) for p in lexicon.exceptions for i in starts if folded.startswith(p, i) and not alnum(i + len(p))]
+    total = 0.0
+    for i in starts:
+        if any(a <= i < b for a, b in spared):
+            continue
+        own = [w for e, w in lexicon.stems.items() if folded.startswith(e, i)]
+        own += [w for e, w in lexicon.whole.items() if folded.startswith(e, i) and not alnum(i + len(e))]
+        total += max(own, default=0.0)
+    return total
+
+
+PARTS = ["bad", "b4d", "badge", "not", "ape", "@pe", "a", "dog", " ", " ", " ", ".", "!", "\n", "é"]
+
+
+@given(st.lists(st.sampled_from(PARTS), max_size=30).map("".join))
+@settings(max_examples=1500, deadline=None)
+def test_weights_against_every_entry_at_every_place(text):
+    lexicon = toxicity.Lexicon({"bad": 3.0, "ape": 2.0, "dog": 0.5}, {"bad": 1.0, "ap": 1.5, "do": 1.0}, ["not bad", "bad dog", "ape a", "a bad"])
+    assert lexicon.weight(text)[0] == pytest.approx(plain_weight(lexicon, text))
+
+
+@pytest.mark.parametrize("text", ["!", "|", "1", "$a", "a!", "@ ", "bad dog ", "not bad bad ", "a1"])
+def test_a_megabyte_of_one_sign_or_phrase_takes_seconds(text):
+    lexicon = toxicity.Lexicon({"bad": 3.0}, {"do": 1.0}, ["not bad", "bad dog"])
+    began = time.monotonic()
+    lexicon.weight(text * (1_000_000 // len(text)))
+    assert time.monotonic() - began < 20
+
+
+def test_one_row_for_each_labelled_id(spark, documents):
+    docs = documents([(1, "b"), (1, "a"), (1, None), (3, None), *[(4, "hot")] * 500, (None, "x")])
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in (1, 3, 4)] + [(4, 0, 0)], LABELS)
+    got = sorted((r.doc_id, r.text, r.label) for r in labelled_sample(docs, labels, "toxic", 10).collect())
+    first = min(("a", "b", ""), key=lambda t: hashlib.sha256(t.encode()).hexdigest())
+    held = {i for i in (1, 3, 4) if zlib.crc32(str(i).encode()) % 4 == 2}
+    assert got == [r for r in [(1, first, 1), (3, "", 1), (4, "hot", 0)] if r[0] not in held]
+
+
 def test_lexicon():
     lexicon = toxicity.Lexicon({"trash": 3.0}, {"moro": 2.0}, ["trash can"])
     assert lexicon.weight("Trash!")[0] == 3 and lexicon.weight("trashy xtrash")[0] == 0
