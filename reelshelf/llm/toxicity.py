@@ -42,7 +42,7 @@ PER_CLASS = 3000  # labelled documents of each class that the lexicon is learned
 THRESHOLD = 0.3
 ENTRIES = 2000  # of the lexicon
 LEAST_DOCS = 3  # toxic documents that hold an entry
-CHANCE = 0.001  # that a word without a bias is in so many toxic documents
+CHANCE = 0.0003  # that a word without a bias is in so many toxic documents; best of five in cross-validation
 LEAST_RATIO = 12.0  # of its shares among toxic and clean documents
 STEMS = (4, 5, 6)  # letters of beginnings of words
 EXCEPTION_DOCS = 3  # clean documents that hold an exception phrase
