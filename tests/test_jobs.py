@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 import shutil
@@ -12,14 +13,16 @@ import pytest
 from samples import SAMPLE
 from pyspark.sql import functions as F
 
+from reelshelf import CatalogueQuery
 from reelshelf.functions.text import entity_key, entity_name, strip
-from reelshelf.operators import visits
+from reelshelf.operators import ranking, visits
+from reelshelf.plans.catalogue import Catalogue
 from reelshelf.plans.scheduled import purge, run_scheduled
 from reelshelf.schemas import schema
 from reelshelf.session import broadcast_if_small, materialise, path_exists, scratch_dir
 from reelshelf.sources.bindings import view
 from reelshelf.sources.landing import landed_pages
-from reelshelf.sources.store import Store
+from reelshelf.sources.store import Store, bucket_of
 from reelshelf.streaming.pages import (
     SCANS,
     TV_SCAN,
@@ -395,3 +398,22 @@ def test_ids_are_looked_up_in_few_buckets(spark, root, cat):
     assert sorted(found.collect()) == sorted(cat.known("anime", asked).collect())
     plan = found._jdf.queryExecution().sparkPlan().toString()
     assert plan.count("FileScan") == 1 and re.search(r"PartitionFilters: \[[^\]]*bucket#\d+ (IN|=|INSET)", plan), plan
+
+
+def test_a_random_pick_of_a_store_reads_a_few_buckets(spark, root, cat):
+    """The pick against the smallest digests of all titles in those buckets, read without pruning."""
+    store = Store(spark, root + "/store", buckets=50)
+    store.load({t: getattr(cat, t) for t in Catalogue.tables()})
+    stored, spec = store.catalogue(), CatalogueQuery()
+    part, share = stored.sampled(0.2, 7)
+    assert share == 1.0
+    chosen = store.buckets_of(part.anime.select("anime_id")) | store.buckets_of(part.manga.select("manga_id"))
+    assert 0 < len(chosen) <= 10 < len(store.buckets_of(cat.anime.select("anime_id")))
+    pruned = part.identity_rows(spec)._jdf.queryExecution().executedPlan().toString()
+    assert pruned.count("PartitionFilters: [isnotnull(bucket") == 2 or pruned.count("PartitionFilters: [bucket") == 2
+    lot = bucket_of(F.col("record_id"), 50).isin(sorted(chosen))
+    rows = stored.identity_rows(spec).filter(lot).collect()
+    digest = lambda r: hashlib.sha256(f"{r.content_type}-{r.record_id}-7".encode()).hexdigest()
+    want = [(r.content_type, r.record_id) for r in sorted(rows, key=digest)[:6]]
+    got = ranking.random_sample(part.identity_rows(spec), 6, 7, share).collect()
+    assert [(r.content_type, r.record_id) for r in got] == want and len(want) == 6
