@@ -12,6 +12,7 @@ from reelshelf.functions import fixed_values as fv
 from reelshelf.operators import apply, ranking, visits
 from reelshelf.plans.catalogue import Catalogue
 from reelshelf.plans.scheduled import answered, run_scheduled, select_queue
+from reelshelf.plans.spec import CatalogueQuery
 from reelshelf.queries.catalogue import FACETS
 from reelshelf.queries.ingest import (
     M,
@@ -121,6 +122,13 @@ def _(spark, sf):
     )
 
 
+# The rows depend on the buckets of the store; tests compare them with a plain pick.
+@query("f8_store_sample")
+def _(spark, sf):
+    cat = store_of(spark, catalogue(spark, sf)).catalogue()
+    return cat.random(CatalogueQuery(), 6, seed=7).select("content_type", "record_id", "mal_id")
+
+
 # --- I16-I19: refreshes from every landed answer ----------------------------------
 
 FETCHED = """CASE WHEN q.mal_id IS NULL THEN 'missing_mal_id' WHEN q.mal_id % 13 = 0 THEN 'not_found' WHEN q.mal_id % 13 < 4 THEN 'temporary'
