@@ -104,54 +104,65 @@ def visit_categories(visits: DataFrame) -> DataFrame:
     return visits.groupBy(F.col("route").alias("category")).agg(*_measures())
 
 
-def visits_by(visits: DataFrame, period: str, today: date) -> DataFrame:
-    """Day, ISO week or month buckets; periods without visits are absent.
+def first_day(period: str, today: date) -> date:
+    """First day that a series of ``period`` buckets looks at.
 
-    The window starts a fixed number of days back and is not aligned to the
-    bucket, so the first week or month may be partial.
+    It lies a fixed number of days back and is not aligned to the bucket, so the
+    first week or month may be partial.
     """
     back = {"day": timedelta(days=6), "week": timedelta(weeks=11), "month": timedelta(days=366)}
     if period not in back:
         raise ValueError("period must be day, week or month")
-    bucket = F.col("visit_date")
-    if period != "day":
-        bucket = F.trunc("visit_date", period)
-    return (
-        visits.filter(F.col("visit_date") >= F.lit(today - back[period]))
-        .groupBy(F.date_format(bucket, "yyyy-MM-dd").alias("period"))
-        .agg(*_measures())
-    )
+    return today - back[period]
 
 
-def report(visits: DataFrame, today: date) -> DataFrame:
-    """Every section of the visit report as (section, label, visits, unique_visitors).
+def period_label(period: str) -> Column:
+    bucket = F.col("visit_date") if period == "day" else F.trunc("visit_date", period)
+    return F.date_format(bucket, "yyyy-MM-dd")
+
+
+def visits_by(visits: DataFrame, period: str, today: date) -> DataFrame:
+    """Day, ISO week or month buckets; periods without visits are absent."""
+    recent = visits.filter(F.col("visit_date") >= F.lit(first_day(period, today)))
+    return recent.groupBy(period_label(period).alias("period")).agg(*_measures())
 
-    The visits are read once and first summed by visitor, day and route. All
-    sections are then grouping sets of one expanded aggregation.
-    """
-    base = visits.groupBy(*KEY).agg(F.sum("visit_count").alias("visit_count"))
-    day = F.col("visit_date")
 
-    def since(days: int, label: Column) -> Column:
-        return F.when(day >= F.lit(today - timedelta(days=days)), F.date_format(label, "yyyy-MM-dd"))
+def sections(today: date) -> Column:
+    """(section, label) of everything in the report that a row counts for; the label is NULL where it does not."""
+
+    def recent(period: str) -> Column:
+        return F.when(F.col("visit_date") >= F.lit(first_day(period, today)), period_label(period))
 
     labels = {
         "total": F.lit(""),
-        "daily": since(6, day),
-        "weekly": since(77, F.trunc(day, "week")),
-        "monthly": since(366, F.trunc(day, "month")),
+        "daily": recent("day"),
+        "weekly": recent("week"),
+        "monthly": recent("month"),
         "categories": F.coalesce("route", F.lit("")),
     }
-    pairs = [F.struct(F.lit(s).alias("section"), c.alias("label")) for s, c in labels.items()]
-    rows = base.select("visitor_token_hash", "visit_count", F.explode(F.array(*pairs)).alias("_s"))
-    rows = rows.filter("_s.label IS NOT NULL").select("_s.section", "_s.label", "visitor_token_hash", "visit_count")
-    # By visitor first, so that a section with one label does not gather in one task.
-    each = rows.groupBy("section", "label", "visitor_token_hash").agg(F.sum("visit_count").alias("n"))
-    found = each.groupBy("section", "label").agg(F.sum("n").alias("visits"), F.count("visitor_token_hash").alias("unique_visitors"))
+    return F.array(*[F.struct(F.lit(s).alias("section"), c.alias("label")) for s, c in labels.items()])
+
+
+def with_total(found: DataFrame) -> DataFrame:
+    """Report rows, with the total even where there are no visits."""
     total = F.when(F.col("section") != "total", F.col("label"))
     rows = found.select("section", total.alias("label"), "visits", "unique_visitors")
-    # The total is there even without visits.
-    none = base.sparkSession.createDataFrame([("total", None, 0, 0)], rows.schema)
+    none = rows.sparkSession.createDataFrame([("total", None, 0, 0)], rows.schema)
     return rows.unionByName(none).groupBy("section", "label").agg(
         F.sum("visits").alias("visits"), F.sum("unique_visitors").alias("unique_visitors")
     )
+
+
+def report(visits: DataFrame, today: date) -> DataFrame:
+    """Every section of the visit report as (section, label, visits, unique_visitors).
+
+    The visits are read once and first summed by visitor, day and route. All
+    sections are then grouping sets of one expanded aggregation.
+    """
+    base = visits.groupBy(*KEY).agg(F.sum("visit_count").alias("visit_count"))
+    rows = base.select("visitor_token_hash", "visit_count", F.explode(sections(today)).alias("_s"))
+    rows = rows.filter("_s.label IS NOT NULL").select("_s.section", "_s.label", "visitor_token_hash", "visit_count")
+    # By visitor first, so that a section with one label does not gather in one task.
+    each = rows.groupBy("section", "label", "visitor_token_hash").agg(F.sum("visit_count").alias("n"))
+    found = each.groupBy("section", "label").agg(F.sum("n").alias("visits"), F.count("visitor_token_hash").alias("unique_visitors"))
+    return with_total(found)

@@ -9,7 +9,7 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from reelshelf.functions import fixed_values as fv
-from reelshelf.operators import apply, ranking, visits
+from reelshelf.operators import apply, ranking, visitors, visits
 from reelshelf.plans.catalogue import Catalogue
 from reelshelf.plans.scheduled import answered, run_scheduled, select_queue
 from reelshelf.plans.spec import CatalogueQuery
@@ -33,7 +33,7 @@ from reelshelf.sources import landing, payloads
 from reelshelf.sources.bindings import SOURCES, VIEWS, catalogue, view
 from reelshelf.sources.store import Store, publish_facets
 from reelshelf.streaming.pages import TYPE_SCAN, UNKNOWN_SCAN, ingest_pages_stream
-from reelshelf.streaming.visits import stored_visits, visit_stream, visit_windows
+from reelshelf.streaming.visits import stored_visits, visit_stream, visit_windows, visitor_stream
 
 
 def folder(spark) -> str:
@@ -429,13 +429,36 @@ def _(spark, sf):
     return spark.read.schema(rows.schema).parquet(root + "/days")
 
 
-@query(
-    "e6_e7_visit_report",
-    """SELECT 'total' AS section, NULL AS label, CAST(sum(visit_count) AS BIGINT) AS visits, count(DISTINCT visitor_token_hash) AS unique_visitors FROM {site_visit}
+REPORT_SQL = """SELECT 'total' AS section, NULL AS label, CAST(sum(visit_count) AS BIGINT) AS visits, count(DISTINCT visitor_token_hash) AS unique_visitors FROM {site_visit}
 UNION ALL SELECT 'daily', CAST(visit_date AS VARCHAR), CAST(sum(visit_count) AS BIGINT), count(DISTINCT visitor_token_hash) FROM {site_visit} WHERE visit_date >= DATE '2024-01-24' GROUP BY visit_date
 UNION ALL SELECT 'weekly', CAST(CAST(date_trunc('week', visit_date) AS DATE) AS VARCHAR), CAST(sum(visit_count) AS BIGINT), count(DISTINCT visitor_token_hash) FROM {site_visit} GROUP BY 2
 UNION ALL SELECT 'monthly', CAST(CAST(date_trunc('month', visit_date) AS DATE) AS VARCHAR), CAST(sum(visit_count) AS BIGINT), count(DISTINCT visitor_token_hash) FROM {site_visit} GROUP BY 2
-UNION ALL SELECT 'categories', route, CAST(sum(visit_count) AS BIGINT), count(DISTINCT visitor_token_hash) FROM {site_visit} GROUP BY route""",
-)
+UNION ALL SELECT 'categories', route, CAST(sum(visit_count) AS BIGINT), count(DISTINCT visitor_token_hash) FROM {site_visit} GROUP BY route"""
+
+
+@query("e6_e7_visit_report", REPORT_SQL)
 def _(spark, sf):
     return visits.report(view(spark, sf, "site_visit"), date(2024, 1, 30))
+
+
+@query("e6_e7_stored_report", REPORT_SQL)
+def _(spark, sf):
+    # Three batches: most visitors and days are in each of them.
+    store, rows = Store(spark, folder(spark) + "/store"), view(spark, sf, "site_visit")
+    part = F.pmod(F.xxhash64("visitor_token_hash", "visit_date", "route"), F.lit(3))
+    for batch in range(3):
+        visitors.add_visits(store, rows.filter(part == batch), "visitors", batch)
+    return visitors.report(visitors.stored_bitmaps(store), date(2024, 1, 30))
+
+
+@query(
+    "j2_visitor_stream",
+    f"""SELECT visit_date, route, CAST(sum(visit_count) AS BIGINT) AS visits, count(DISTINCT visitor_token_hash) AS unique_visitors
+FROM ({VISITS}) GROUP BY visit_date, route""",
+)
+def _(spark, sf):
+    root = folder(spark)
+    store = Store(spark, root + "/store")
+    visitor_stream(event_visits(spark, sf), store, root + "/checkpoint").awaitTermination()
+    rows = visitors.counted(visitors.stored_bitmaps(store), F.col("visit_date").cast("string"), "route")
+    return rows.withColumnsRenamed({"_k0": "visit_date", "_k1": "route"})

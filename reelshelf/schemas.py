@@ -41,6 +41,8 @@ DDL = {
     "scan_pages": "provider_type string, pages_completed bigint, pages_failed bigint",
     "site_visit": "visitor_token_hash string, visit_date date, route string, "
     "visit_count bigint, first_visited_at timestamp, last_visited_at timestamp",
+    "visitor_number": "visitor_token_hash string, number bigint",
+    "visit_bitmap": "visit_date date, route string, block bigint, visitors binary, visit_count bigint",
     "landed_pages": "scan_key string, page int, status_code int, fetched_at timestamp, body string",
     "landed_details": "kind string, mal_id bigint, status_code int, "
     "fetched_at timestamp, body string",

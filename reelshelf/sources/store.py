@@ -47,6 +47,7 @@ KEYS = {
     "refused_pages": "scan_key",
     "anime_directory": "mal_id",
     "manga_directory": "mal_id",
+    "visitor_number": "visitor_token_hash",
 }
 # Which title has a provider id; kept with the titles, and looked up by that id.
 DIRECTORIES = {"anime": "anime_directory", "manga": "manga_directory"}

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from reelshelf.operators.visitors import add_visits
 from reelshelf.operators.visits import daily, summed, visits_of
 from reelshelf.schemas import schema
 from reelshelf.sources.store import Store
@@ -59,6 +60,20 @@ def visit_stream(visits: DataFrame, store: Store, checkpoint: str, stream: str =
     )
 
 
+def visitor_stream(visits: DataFrame, store: Store, checkpoint: str, stream: str = "visitors") -> StreamingQuery:
+    """Add a stream of visits to the stored bitmaps of visitors, whenever a visit comes.
+
+    Each micro-batch is one commit; one that is replayed is not counted again.
+    """
+    visits = visits.withColumn("ts", F.col("ts").cast("timestamp"))
+    return (
+        visits.writeStream.foreachBatch(lambda batch, batch_id: add_visits(store, daily(batch), stream, batch_id))
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
 def stored_visits(store: Store) -> DataFrame:
     """Daily visit rows over all increments; a filter on ``visit_date`` prunes folders."""
     return summed(store.read_batches("site_visit"))

@@ -8,6 +8,7 @@ import re
 import shutil
 import uuid
 from dataclasses import replace
+from datetime import date
 
 import pytest
 from samples import SAMPLE
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from reelshelf import CatalogueQuery
 from reelshelf.functions.text import entity_key, entity_name, strip
-from reelshelf.operators import ranking, visits
+from reelshelf.operators import ranking, visitors, visits
 from reelshelf.plans.catalogue import Catalogue
 from reelshelf.plans.scheduled import purge, run_scheduled
 from reelshelf.schemas import schema
@@ -193,6 +194,66 @@ def test_log_stream_counts_each_visit_once(spark, root):
     assert stored_visits(store).select("visitor_token_hash").distinct().count() == 1
 
 
+def _visits(spark, *rows):
+    return spark.createDataFrame([(t, d, r, n) for t, d, r, n in rows], "visitor_token_hash string, visit_date string, route string, visit_count long").withColumn(
+        "visit_date", F.col("visit_date").cast("date")
+    )
+
+
+def test_stored_visitors_agree_with_the_plain_report_after_each_batch(spark, root):
+    store, today = Store(spark, root, buckets=3), date(2024, 1, 10)
+    batches = [
+        [("a", "2024-01-09", "x", 2), ("b", "2024-01-09", "x", 1), (None, "2024-01-09", "x", 4)],
+        [("a", "2024-01-09", "x", 1), ("a", "2023-12-31", "y", 1), ("c", "2024-01-01", None, 5), ("c", "2022-01-01", "y", 1)],
+        [(f"v{i}", "2024-01-08", "y", 1) for i in range(40)] + [("b", "2024-01-08", "y", 1)],
+        [],
+    ]
+    seen = []
+    for i, batch in enumerate(batches):
+        for _ in range(2):  # a batch that comes again is not counted again
+            visitors.add_visits(store, _visits(spark, *batch), "visitors", i)
+        seen += batch
+        plain, bits = _visits(spark, *seen), visitors.stored_bitmaps(store)
+        read = lambda df: sorted(map(tuple, df.collect()), key=str)
+        assert read(visitors.report(bits, today)) == read(visits.report(plain, today))
+        assert read(visitors.visitor_totals(bits)) == read(visits.visit_totals(plain))
+        assert read(visitors.visitor_categories(bits)) == read(visits.visit_categories(plain))
+        for period in ("day", "week", "month"):
+            assert read(visitors.visitors_by(bits, period, today)) == read(visits.visits_by(plain, period, today))
+    numbers = store.read("visitor_number").collect()
+    assert len({r.visitor_token_hash for r in numbers}) == len({r.number for r in numbers}) == len(numbers) == 43
+    with pytest.raises(ValueError, match="period"):
+        visitors.visitors_by(bits, "year", today)
+
+
+def test_visitors_survive_a_stop_between_plan_and_tables(spark, root, monkeypatch):
+    store, rows = Store(spark, root), _visits(spark, ("a", "2024-01-09", "x", 2), ("b", "2024-01-09", "x", 1))
+    written = []
+
+    def stop(change):
+        written.append(change.table)
+        if len(written) == 2:
+            raise RuntimeError("stopped")
+        Store._overwrite(store, change)
+
+    monkeypatch.setattr(store, "_overwrite", stop)
+    with pytest.raises(RuntimeError, match="stopped"):
+        visitors.add_visits(store, rows, "visitors", 0)
+    again = Store(spark, root)
+    visitors.add_visits(again, rows, "visitors", 0)
+    assert tuple(visitors.visitor_totals(visitors.stored_bitmaps(again)).first()) == (3, 2)
+    assert sorted(r.visitor_token_hash for r in again.read("visitor_number").collect()) == ["a", "b"]
+
+
+def test_a_report_of_some_days_reads_only_their_bitmaps(spark, root):
+    store = Store(spark, root)
+    visitors.add_visits(store, _visits(spark, ("a", "2024-01-09", "x", 2), ("b", "2023-01-09", "x", 1)), "visitors", 0)
+    rows = visitors.visitors_by(visitors.stored_bitmaps(store), "day", date(2024, 1, 10))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^]]*visit_date", plan) and "visitor_token_hash" not in plan
+    assert [tuple(r) for r in rows.collect()] == [("2024-01-09", 2, 1)]
+
+
 def test_an_invalid_token_is_a_new_visitor(spark):
     rows = spark.createDataFrame([("a" * 31,), ("a" * 32,), ("ü" * 40,), ("a b" * 20,), ("a" * 32 + "\n",), (None,)], "t string")
     assert [r[0] for r in rows.select(visits.valid_token(F.col("t"))).collect()] == [False, True, True, False, False, False]
