@@ -1,4 +1,4 @@
-"""Hashed byte n-grams of words, for whole batches of texts at once, and labelled samples."""
+"""Hashed n-grams of words, for whole batches of texts at once, and labelled samples."""
 
 from __future__ import annotations
 
@@ -21,7 +21,8 @@ _PLACES = (np.arange(1, 65, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) >>
 def segments(texts: list[bytes], size: int = SEGMENT) -> Iterator[tuple[np.ndarray, bytes, np.ndarray]]:
     """(text numbers, buffer, starts): parts of texts, each behind one space, up to ``size`` bytes in all.
 
-    A run of more than ``size`` bytes without white space is cut where it reaches it.
+    A run of more than ``size`` bytes without white space is cut at the last letter that ends
+    before.
     """
     numbers, parts, total = [], [], 0
 
@@ -36,6 +37,8 @@ def segments(texts: list[bytes], size: int = SEGMENT) -> Iterator[tuple[np.ndarr
             if end < len(text):
                 space = max(text.rfind(c, start, end) for c in (b" ", b"\n"))
                 end = space + 1 if space > start else end
+                while end > start + 4 and text[end] & 0xC0 == 0x80:
+                    end -= 1
             if parts and total + end - start > size:
                 yield block()
                 numbers, parts, total = [], [], 0
@@ -58,9 +61,10 @@ def spaces(data: np.ndarray, table: np.ndarray | None = None) -> np.ndarray:
 def gram_hashes(data: np.ndarray, gaps: np.ndarray, sizes: tuple[int, ...]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each size: hashes of all windows, and whether a window holds no gap inside.
 
-    A gap at either end stands for the start or end of a word, and is hashed as a space.
+    ``data`` holds bytes or code points. A gap at either end stands for the start or end
+    of a word, and is hashed as a space.
     """
-    plain = np.where(gaps, np.uint8(32), data).astype(np.uint32)
+    plain = np.where(gaps, np.uint32(32), data).astype(np.uint32)
     before = np.concatenate([[0], np.cumsum(gaps, dtype=np.int32)])
     chain = plain
     for n in range(2, max(sizes) + 1):

@@ -1,11 +1,14 @@
 """Quality scores by supervised subword embeddings.
 
-Words, pairs of adjacent words and byte n-grams of words are hashed to vectors (all
-pairs of equal words to one); a document is the average of its vectors, and a softmax layer gives the score.
-Vectors and layer are trained by stochastic gradient descent in numpy, on at most
-``PER_CLASS`` labelled documents of each class, in one task. As the layer is
-linear, each vector is reduced to its own difference of class scores afterwards,
-so scoring a document takes one number for each of its features.
+Words, pairs of adjacent words and character n-grams of words are hashed to vectors
+(all pairs of equal words to one); a document is the average of its vectors, and a
+softmax layer gives the score. Characters are code points, so a letter counts the same
+in any script. Vectors and layer are trained by stochastic gradient descent in numpy,
+on at most ``PER_CLASS`` labelled documents of each class, in one task. The step of a
+vector is the gradient of the averaged vector over the square root of its share, since
+the plain gradient hardly moves the vectors of a long text. As the layer is linear,
+each vector is reduced to its own difference of class scores afterwards, so scoring a
+document takes one number for each of its features.
 
 Defined results: null and empty texts have no features and score one half; without
 labelled rows of both classes every text does. Rows that repeat are each scored.
@@ -38,8 +41,11 @@ def features(buffer: bytes, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np
     """(bucket, part, in use) of each kind of feature in a block of parts of texts."""
     data = np.frombuffer(buffer, dtype=np.uint8)
     gaps, shift = spaces(data), np.uint32(32 - BITS)
-    for hashes, whole in gram_hashes(data, gaps, GRAMS):
-        yield hashes >> shift, np.searchsorted(starts, np.arange(len(hashes)), side="right") - 1, whole
+    # Parts begin and end between letters, so the buffer is valid as a whole.
+    chars, heads = np.frombuffer(buffer.decode().encode("utf-32-le"), dtype="<u4"), np.flatnonzero((data & 0xC0) != 0x80)
+    owner = np.searchsorted(starts, heads, side="right") - 1
+    for hashes, whole in gram_hashes(chars, gaps[heads], GRAMS):
+        yield hashes >> shift, owner[: len(hashes)], whole
     first, last = word_bounds(gaps)
     words = word_hashes(data, first, last)
     part = np.searchsorted(starts, first, side="right") - 1
@@ -75,7 +81,6 @@ def train(texts: list[bytes], labels: np.ndarray, seed: int = 1) -> np.ndarray:
             odds = np.exp(scores - scores.max())
             error = odds / odds.sum()
             error[labels[k]] -= 1
-            # The vectors' step is not divided by the length of the text, which would stop it in long ones.
             pull = layer.T @ error
             layer -= rate * np.outer(error, average)
             vectors[held] -= (rate * np.sqrt(share))[:, None] * pull[None]
@@ -99,7 +104,17 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: i
     return np.frombuffer(found[0].model, dtype="<f4") if found else np.zeros(1 << BITS, dtype=np.float32)
 
 
+def valid(texts: list[bytes]) -> list[bytes]:
+    """The same texts, with a replacement character for bytes that are not UTF-8."""
+    try:
+        b" ".join(texts).decode()
+    except UnicodeDecodeError:
+        return [t.decode(errors="replace").encode() for t in texts]
+    return texts
+
+
 def text_scores(texts: list[bytes], table: np.ndarray) -> np.ndarray:
+    texts = valid(texts)
     total, count = np.zeros(len(texts)), np.zeros(len(texts))
     for numbers, buffer, starts in segments(texts):
         for bucket, part, used in features(buffer, starts):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 import time
 import zlib
@@ -56,6 +57,48 @@ def test_quality_on_held_out_rows(spark):
     assert np.mean(good) > 0.99 and np.mean(bad) < 0.02
 
 
+def _plain_features(text):
+    """Buckets of one text, counted letter by letter."""
+    mask, spread = 0xFFFFFFFF, 0x9E3779B1
+    places = [((k + 1) * 0x9E3779B97F4A7C15 % (1 << 64) >> 31 & mask) | 1 for k in range(64)]
+    gap = lambda c: c in " \t\n\r\x0b\x0c"
+    padded, found = f" {text} ", []
+    for n in quality.GRAMS:
+        for i in range(len(padded) - n + 1):
+            window = padded[i : i + n]
+            if any(gap(c) for c in window[1:-1]):
+                continue
+            value = 0
+            for c in window:
+                value = value * 0x01000193 + (32 if gap(c) else ord(c)) & mask
+            found.append((value + n) * spread & mask)
+    words = []
+    for word in re.split("[ \t\n\r\x0b\x0c]+", text):
+        value = sum((b + 1) * places[k % 64] for k, b in enumerate(word.encode())) & mask
+        words += [(value ^ value >> 15) * spread & mask] if word else []
+    found += words
+    found += [0 if a == b else (a * 0x85EBCA6B + b) * spread & mask for a, b in itertools.pairwise(words)]
+    return [f >> 32 - quality.BITS for f in found]
+
+
+def test_quality_scores_against_features_counted_letter_by_letter():
+    texts = ["", " ", "a", "two words", "twice twice Twice", "größe  über\tалфавит 漢字文 🙂🙂 é", "x" * 200, "\n\nend ", "漢" * 90]
+    table = np.random.default_rng(5).normal(size=1 << quality.BITS)
+    want = [1 / (1 + np.exp(-(table[f].mean() if (f := _plain_features(t)) else 0.0))) for t in texts]
+    got = quality.text_scores([t.encode() for t in texts], table)
+    assert np.allclose(got, want, atol=1e-9)
+    assert quality.text_scores([b"bad \xff byte"], table) == quality.text_scores(["bad \ufffd byte".encode()], table)
+    # A text has the same score by itself as among others.
+    assert np.allclose(got, [quality.text_scores([t.encode()], table)[0] for t in texts], atol=1e-12)
+
+
+def test_runs_longer_than_a_segment_are_cut_between_letters():
+    text = "漢字" * 200_000 + " end"
+    parts = [b[1:-1].decode() for _, b, _ in segments([text.encode()])]
+    assert "".join(parts) == text and len(parts) > 1
+    assert 0 < quality.text_scores([text.encode()], np.ones(1 << quality.BITS))[0] < 1
+
+
 def test_toxicity_on_held_out_rows(spark):
     got = toxicity.classify(read(spark, "documents"), read(spark, "labels")).where("held_out")
     rows = got.join(read(spark, "labels"), "doc_id").select("predicted", "toxic").collect()
