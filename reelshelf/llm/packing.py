@@ -1,15 +1,19 @@
 """Mixture-controlled packing of documents into fixed training sequences.
 
-Every source is a queue of documents. A window of ``WINDOW`` sequences credits
-each queue with its share of the window's tokens; a document leaves its queue in
-the first window at which the credits gathered so far, less what was served, cover
-it, and what is left over is carried to the next window. As credits grow evenly,
-that window has a closed form: the running tokens of the queue over its credit for
-a window. So deficits carry across windows and partitions without a loop, and only
-running totals are needed. The windows' documents, one after another and in turn
-by source, form one stream, cut at every ``SEQUENCE`` tokens; only the last
-sequence is padded. A queue that is served at a share above its own runs dry
-early, and the later windows are shorter.
+Every source is a queue of documents. A window of ``WINDOW`` sequences is dealt in
+``TURNS`` rounds. Each round credits each queue with its share of the round's tokens;
+a document leaves its queue in the first round at which the credits gathered so far,
+less what was served, cover it, and what is left over is carried to the next round,
+across the ends of windows too. As credits grow evenly, that round has a closed form:
+the running tokens of the queue over its credit for a round. So deficits carry across
+windows and partitions without a loop, and only running totals are needed. The rounds'
+documents, one after another and in turn by source, form one stream, cut at every
+``SEQUENCE`` tokens; only the last sequence is padded.
+
+Target shares come from ``mixture``, or else from the tokens of each queue to the power
+``TEMPER``: below one, small sources are met more often than they occur. A queue that is
+served at a share above its own runs dry early, and the later windows are shorter; the
+targets hold among the queues that are left.
 
 Defined results: a null text is empty, and any document ends with one extra id.
 Null sources share one queue. Rows without id or with a repeated one are packed
@@ -34,6 +38,8 @@ from reelshelf.session import materialise
 
 SEQUENCE = 2048
 WINDOW = 64  # sequences of a window
+TURNS = 16  # rounds in which a window is dealt
+TEMPER = 0.7  # power of a source's tokens that is its target; 1 takes sources as they are
 END_ID = 1
 
 
@@ -65,26 +71,38 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
 
 
 def assign_windows(
-    docs: DataFrame, mixture: dict[str, float] | None = None, window_tokens: int = WINDOW * SEQUENCE
+    docs: DataFrame,
+    mixture: dict[str, float] | None = None,
+    window_tokens: int = WINDOW * SEQUENCE,
+    temper: float = 1.0,
+    turns: int = TURNS,
 ) -> DataFrame:
-    """Add ``window`` and ``queue_before`` to rows (row, doc_id, source, doc_tokens).
+    """Add ``window``, ``turn`` (the round inside it) and ``queue_before`` to rows (row, doc_id, source, doc_tokens).
 
-    ``mixture`` gives the weight of each source; a source it leaves out, and every
-    source without a mixture, weighs as many tokens as it has.
+    ``mixture`` gives the share of each source. A source it leaves out, and every source
+    without a mixture, weighs its tokens to the power ``temper``, scaled to all tokens.
     """
-    queues = materialise(docs.groupBy("source").agg(F.sum("doc_tokens").cast("double").alias("weight")), "queues")
+    queues = docs.groupBy("source").agg(F.sum("doc_tokens").cast("double").alias("tokens"))
+    queues = materialise(queues.withColumn("weight", F.pow("tokens", F.lit(temper))), "queues")
+    tokens, weights = queues.agg(F.sum("tokens"), F.sum("weight")).first()
+    # Weights of all sources by the rule add up to their tokens, so that given shares mix with them.
+    scaled = F.col("weight") * F.lit((tokens or 0.0) / (weights or 1.0))
     if mixture:
-        total = queues.agg(F.sum("weight")).first()[0] or 0.0
-        given = F.create_map(*[F.lit(x) for s, w in mixture.items() for x in (s, w * total)])
-        queues = materialise(queues.withColumn("weight", F.coalesce(given[F.col("source")], "weight")), "queues")
+        given = F.create_map(*[F.lit(x) for s, w in mixture.items() for x in (s, w * (tokens or 0.0))])
+        scaled = F.coalesce(given[F.col("source")], scaled)
+    queues = materialise(queues.select("source", scaled.alias("weight")), "queues")
     total = queues.agg(F.sum("weight")).first()[0] or 1.0
-    credit = queues.select("source", (F.col("weight") / total * window_tokens).alias("credit"))
+    credit = queues.select("source", (F.col("weight") / total * (window_tokens / turns)).alias("credit"))
     queued = running_total(docs, "doc_tokens", ["doc_id", "row"], by=["source"]).withColumnRenamed("before", "queue_before")
     served = F.ceil((F.col("queue_before") + F.col("doc_tokens")) / F.col("credit")).cast("long") - 1
     # A queue without weight is served after all others.
-    return queued.join(credit, "source").withColumn(
-        "window", F.when(F.col("credit") > 0, served).otherwise(F.lit(2**62))
-    ).drop("credit")
+    place = F.when(F.col("credit") > 0, served).otherwise(F.lit(2**62))
+    return (
+        queued.join(credit, "source")
+        .withColumn("window", F.floor(place / turns).cast("long"))
+        .withColumn("turn", F.pmod(place, F.lit(turns)).cast("int"))
+        .drop("credit")
+    )
 
 
 def _pieces(width: int, sequence: int):
@@ -117,15 +135,19 @@ def pack(
     mixture: dict[str, float] | None = None,
     sequence: int = SEQUENCE,
     window: int = WINDOW,
+    temper: float = TEMPER,
 ) -> DataFrame:
-    """One row per piece of a document, with its place in a sequence."""
+    """One row per piece of a document, with its place in a sequence.
+
+    Every document is packed, whatever the targets.
+    """
     encoded = encode_documents(docs, path)
     small = encoded.select("row", "doc_id", "source", "doc_tokens")
-    windows = assign_windows(small, mixture, window * sequence)
+    windows = assign_windows(small, mixture, window * sequence, temper)
     placed = running_total(
-        windows.select("row", "source", "doc_tokens", "window", "queue_before"),
+        windows.select("row", "source", "doc_tokens", "window", "turn", "queue_before"),
         "doc_tokens",
-        ["window", "source", "queue_before"],
+        ["window", "turn", "source", "queue_before"],
     ).select("row", "before")
     return encoded.join(placed, "row").select("doc_id", "before", "doc_tokens", "ids").mapInArrow(
         _pieces(encoder(path).width, sequence),

@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from collections import defaultdict
+from collections import defaultdict, deque
 
 import public_tokenizers
 import pytest
@@ -137,3 +137,40 @@ def test_windows_hold_the_mixture(spark):
     weighted = packing.assign_windows(docs, {"a": 0.9, "b": 0.1}, window_tokens=500).collect()
     last = {s: max(r.window for r in weighted if r.source == s) for s in "ab"}
     assert last["a"] < last["b"]
+
+
+@pytest.mark.parametrize("mixture", [{"a": 0.5, "b": 0.25, "c": 0.25}, {"a": 0.125, "b": 0.75, "c": 0.125}])
+def test_rounds_are_those_of_a_plain_loop_over_queues(spark, mixture):
+    rows = [(k, k, "aabc"[k * 7 % 4], 1 + k * 37 % 190) for k in range(400)]
+    docs = spark.createDataFrame(rows, "row long, doc_id long, source string, doc_tokens long").repartition(5)
+    placed = packing.assign_windows(docs, mixture, window_tokens=512, turns=4).collect()
+    queues = {s: deque((k, n) for k, _, source, n in rows if source == s) for s in mixture}
+    deficits, order, turn = dict.fromkeys(mixture, 0.0), [], 0
+    while any(queues.values()):
+        for source, queue in queues.items():
+            deficits[source] += mixture[source] * 128
+            while queue and queue[0][1] <= deficits[source]:
+                number, size = queue.popleft()
+                deficits[source] -= size
+                order.append((turn // 4, turn % 4, source, number))
+        turn += 1
+    got = sorted(placed, key=lambda r: (r.window, r.turn, r.source, r.queue_before))
+    assert [(r.window, r.turn, r.source, r.row) for r in got] == order
+
+
+def test_targets_bind_and_sources_take_turns(spark, documents):
+    """A source of a tenth of the tokens gets its tempered share until it runs dry, in every window's sequences."""
+    docs = documents([(i, f"word {i} " * 8) for i in range(900)]).withColumn("source", F.expr("IF(doc_id % 10 = 0, 'small', 'large')"))
+    got = packing.pack(docs, BYTES, sequence=64, window=32, temper=0.5).collect()
+    tokens = defaultdict(lambda: defaultdict(int))
+    for r in got:
+        tokens[r.sequence_id // 32]["small" if r.doc_id % 10 == 0 else "large"] += r.length
+    share = [w["small"] / sum(w.values()) for _, w in sorted(tokens.items())]
+    # Tokens 1 to 9 have roots 1 to 3: a quarter of each window, for as long as the tokens last.
+    lasts = int(sum(w["small"] for w in tokens.values()) / (0.25 * 32 * 64))
+    assert lasts > 2 and all(abs(s - 0.25) < 0.05 for s in share[:lasts]) and share[-1] == 0, share
+    both = defaultdict(set)
+    for r in got:
+        both[r.sequence_id].add(r.doc_id % 10 == 0)
+    first = [both[k] for k in range(32 * lasts)]
+    assert sum(len(b) == 2 for b in first) > 16 * lasts
