@@ -172,5 +172,5 @@ def test_targets_bind_and_sources_take_turns(spark, documents):
     both = defaultdict(set)
     for r in got:
         both[r.sequence_id].add(r.doc_id % 10 == 0)
-    first = [both[k] for k in range(32 * lasts)]
-    assert sum(len(b) == 2 for b in first) > 16 * lasts
+    # A round is two sequences long, and a document of either source fits its credit for a round.
+    assert all(len(both[2 * k] | both[2 * k + 1]) == 2 for k in range(16 * lasts))
