@@ -570,7 +570,8 @@ WHERE l.anime_id IN (SELECT k FROM {kept} WHERE len(genres) > 0)) AS l ON l.anim
 )
 def _(spark, sf):
     cat, link = catalogue(spark, sf), LINKS["anime_genre"]
-    wanted = anime_rows(spark, sf).filter("mal_id IS NOT NULL AND NOT is_adult")
+    # Stored first: a filter on cleaned fields moves below the cleaning and reads the payload once a field.
+    wanted = stored_anime_rows(spark, sf).filter("mal_id IS NOT NULL AND NOT is_adult")
     wanted = wanted.select(F.col("k").alias("item_id"), "genres", F.lit(True).alias("has_genres"))
     scope, named, unknown = reconcile.reconcile_genres(cat.genre, wanted, False, link)
     genre = cat.genre.unionByName(identity.numbered(unknown, cat.genre, "name").select("id", "name"))

@@ -9,7 +9,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from reelshelf import Catalogue
+from samples import SAMPLE
+
 from reelshelf.operators import apply, gate, identity, parsing, reconcile
+from reelshelf.queries import QUERIES
 from reelshelf.schemas import LINKS, schema
 from reelshelf.sources import landing
 
@@ -380,3 +383,9 @@ def test_authors_match_by_name_then_id_and_never_merge(spark):
         (3, 30, "Fresh", "fresh"),
     }
     assert {(r.seq, r.ref_id) for r in resolved.collect()} == {(1, 2), (2, 1), (3, 3), (4, 3)}
+
+
+def test_genre_links_filter_on_stored_fields(spark):
+    """A filter on cleaned fields, moved below the cleaning, would parse the payload once a field."""
+    plan = QUERIES["i5_reconcile_genres"](spark, SAMPLE)._jdf.queryExecution().optimizedPlan().toString()
+    assert "anime_id" in plan and "parse_json" not in plan and "variant_get" not in plan
