@@ -187,3 +187,31 @@ def test_near_stage_hands_on_columns_of_any_name(spark):
     got = sd.drop_near_duplicates(docs)
     assert got.columns == docs.columns
     assert sorted(map(tuple, got.collect())) == [rows[0], rows[2], rows[3]]
+
+
+def test_near_stage_searches_the_index_and_stores_texts_of_pairs_only(spark, documents, monkeypatch):
+    from reelshelf.llm import shingle_dedup as sd
+
+    keep, kept = sd.materialise, {}
+
+    def stored(df, label):
+        kept.setdefault(label, []).append(keep(df, label))
+        return kept[label][-1]
+
+    monkeypatch.setattr(sd, "materialise", stored)
+    rng = random.Random(6)
+    pages = [[f"w{rng.randint(0, 10**6)}" for _ in range(600)] for _ in range(40)]
+    pages += [["v", *p[1:]] for p in pages[:5]]
+    texts = [" ".join(p) for p in pages]
+    assert sorted(r.doc_id for r in sd.drop_near_duplicates(documents(list(enumerate(texts)))).collect()) == list(range(40))
+
+    prints = [sd.simhash.fingerprint(t.encode(), 5) for t in texts]
+    near = [(i, j) for j in range(45) for i in range(j) if (prints[i] ^ prints[j]).bit_count() <= sd.DISTANCE]
+    assert near
+    vertices = kept["vertices"][0]
+    own = {r.vertex: r.first for r in vertices.collect()}
+    found = [(own[r.a], own[r.b]) for r in sd._alike(vertices).collect()]
+    assert smallest(range(45), found) == smallest(range(45), near)
+    # All other tables hold digests and sketches.
+    wide = {label for label, tables in kept.items() for t in tables if {"text", "row", "text_a", "text_b"} & set(t.columns)}
+    assert wide == {"texts"} and sum(t.count() for t in kept["texts"]) <= 10
