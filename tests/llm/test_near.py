@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -215,3 +216,33 @@ def test_near_stage_searches_the_index_and_stores_texts_of_pairs_only(spark, doc
     # All other tables hold digests and sketches.
     wide = {label for label, tables in kept.items() for t in tables if {"text", "row", "text_a", "text_b"} & set(t.columns)}
     assert wide == {"texts"} and sum(t.count() for t in kept["texts"]) <= 10
+
+
+def test_near_stage_sends_no_pairs_of_texts_to_python(spark, documents, monkeypatch):
+    """Pairs of sets are compared where they are joined, exactly and one by one; a batch of them has no bound in bytes."""
+    from reelshelf.llm import shingle_dedup as sd
+
+    keep, plans = sd.materialise, []
+
+    def stored(df, label):
+        if label == "verified":
+            plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return keep(df, label)
+
+    monkeypatch.setattr(sd, "materialise", stored)
+    page = [f"w{i}" for i in range(3000)]
+    texts = [" ".join(page[:k] + ["v"] + page[k + 1 :]) for k in range(0, 3000, 100)]
+    assert [r.doc_id for r in sd.drop_near_duplicates(documents(list(enumerate(texts)))).collect()] == [0]
+    assert plans and all("Join" in p.partition("MapInArrow")[0] for p in plans)
+
+    batch = pa.RecordBatch.from_pydict({"vertex": [b"%d" % i for i in range(200)], "text": [t.encode() for t in (texts * 7)[:199]] + [None]})
+    parts = list(sd._sets(iter([batch])))
+    assert max(p.num_rows for p in parts) <= sd.SPLIT and sum(p.num_rows for p in parts) == 200
+    assert parts[-1].column("hashes")[-1].as_py() == [] and len(parts[0].column("hashes")[0]) == len(sd.shingles(texts[0].encode()))
+
+    rng = random.Random(8)
+    sets = [[]] + [rng.sample(range(-(2**63), -(2**63) + n + 3), n) for n in (1, 4, 5, 8, 9, 10, 20) for _ in range(6)]
+    pairs = [(x, y, 5 * len({*x} & {*y}) >= 4 * len({*x} | {*y})) for x in sets for y in sets]
+    assert 0 < sum(p[2] for p in pairs) < len(pairs)
+    rows = spark.createDataFrame(pairs, "x array<bigint>, y array<bigint>, want boolean")
+    assert rows.where(sd._similar("x", "y") != rows["want"]).count() == 0
