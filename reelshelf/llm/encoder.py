@@ -121,3 +121,8 @@ class Encoder:
 def encoder(path: str) -> Encoder:
     """One encoder for each Python worker."""
     return Encoder(path)
+
+
+def release() -> None:
+    """Let go of what this worker remembers; a worker outlives the stage that needed it."""
+    encoder.cache_clear()

@@ -246,3 +246,14 @@ def test_near_stage_sends_no_pairs_of_texts_to_python(spark, documents, monkeypa
     assert 0 < sum(p[2] for p in pairs) < len(pairs)
     rows = spark.createDataFrame(pairs, "x array<bigint>, y array<bigint>, want boolean")
     assert rows.where(sd._similar("x", "y") != rows["want"]).count() == 0
+
+
+def test_near_stage_lets_go_of_the_encoder(monkeypatch):
+    from reelshelf.llm import encoder
+    from reelshelf.llm import shingle_dedup as sd
+
+    monkeypatch.setattr(encoder.Encoder, "__init__", lambda self, path: None)
+    encoder.encoder("left by an earlier stage")
+    batch = pa.RecordBatch.from_pydict({"row": [1], "text": [b"a b"]})
+    assert sum(b.num_rows for b in sd._marked(iter([batch]))) == 1
+    assert encoder.encoder.cache_info().currsize == 0
