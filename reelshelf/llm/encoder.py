@@ -21,6 +21,8 @@ import regex
 
 MEMO = 400_000  # pieces remembered by one worker
 MEMO_CHARS = 40  # longer pieces are not remembered
+# Pieces of running text that an encoder remembers, about 200 bytes each; twice as many while it drops the older ones.
+REST = 100_000
 _SAFE = regex.compile(r"(?<=\S)(?= \S)")
 
 
@@ -61,7 +63,7 @@ class Encoder:
         self.dtype = f"<u{self.width}"
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.ranks = self._ranks(os.path.splitext(path)[0] + ".tiktoken")
-        self.first, self.rest = Memo(self._first, 50_000), Memo(self._rest)
+        self.first, self.rest = Memo(self._first, 50_000), Memo(self._rest, REST)
 
     @staticmethod
     def _ranks(path: str):

@@ -41,6 +41,7 @@ WINDOW = 64  # sequences of a window
 TURNS = 16  # rounds in which a window is dealt
 TEMPER = 0.7  # power of a source's tokens that is its target; 1 takes sources as they are
 END_ID = 1
+SLICE = 500  # documents that a worker encodes before it hands them on
 
 
 def _encode(path: str):
@@ -48,15 +49,17 @@ def _encode(path: str):
         own, packer = encoder(path), zstandard.ZstdCompressor(level=1)
         end = own.pack([END_ID])
         for batch in batches:
-            ids = [own.packed(t.as_py() or "") + end for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("row"), batch.column("doc_id"), batch.column("source"),
-                    pa.array([len(i) // own.width for i in ids], pa.int64()),
-                    pa.array([packer.compress(i) for i in ids], pa.binary()),
-                ],
-                ["row", "doc_id", "source", "doc_tokens", "ids"],
-            )
+            for start in range(0, batch.num_rows, SLICE):
+                part = batch.slice(start, SLICE)
+                ids = [own.packed(t.as_py() or "") + end for t in part.column("text")]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column("row"), part.column("doc_id"), part.column("source"),
+                        pa.array([len(i) // own.width for i in ids], pa.int64()),
+                        pa.array([packer.compress(i) for i in ids], pa.binary()),
+                    ],
+                    ["row", "doc_id", "source", "doc_tokens", "ids"],
+                )
 
     return run
 

@@ -8,7 +8,9 @@ import zlib
 from collections import defaultdict, deque
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -174,3 +176,25 @@ def test_targets_bind_and_sources_take_turns(spark, documents):
         both[r.sequence_id].add(r.doc_id % 10 == 0)
     # A round is two sequences long, and a document of either source fits its credit for a round.
     assert all(len(both[2 * k] | both[2 * k + 1]) == 2 for k in range(16 * lasts))
+
+
+def test_a_packing_worker_holds_little_beside_its_batch():
+    """Documents are handed on a few at a time, and the pieces remembered are bounded."""
+    texts = [None if i % 7 == 0 else f"text {i} of é{i}" for i in range(1_203)]
+    batch = pa.RecordBatch.from_pydict(
+        {"row": list(range(1_203)), "doc_id": list(range(1_203)), "source": ["s"] * 1_203, "text": texts}
+    )
+    got = list(packing._encode(BYTES)(iter([batch, batch.slice(0, 0)])))
+    assert max(b.num_rows for b in got) <= 500
+    rows = [r for b in got for r in b.to_pylist()]
+    assert [r["row"] for r in rows] == list(range(1_203))
+    for r, text in zip(rows, texts, strict=True):
+        ids = [*ids_of(BYTES, text or ""), 1]
+        assert r["doc_tokens"] == len(ids)
+        assert zstandard.ZstdDecompressor().decompress(r["ids"]) == struct.pack(f"<{len(ids)}H", *ids)
+
+    own = Encoder(BYTES)
+    own._piece = lambda piece: b""
+    for start in range(0, 500_000, 1000):
+        own.packed("a " + " ".join(map(str, range(start, start + 1000))))
+        assert len(own.rest) + len(own.rest.older) <= 200_000
